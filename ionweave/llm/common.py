@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionweave.session import ship
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
@@ -15,7 +17,7 @@ WORD_GAPS = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words_of(text: str | None) -> list[bytes]:

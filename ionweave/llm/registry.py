@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from ionweave.llm.bpe import op6_bpe
+from ionweave.llm.packing import op5_packing
+from ionweave.llm.quality import op7_fertility
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op6_bpe,)
+    own = (op5_packing, op6_bpe, op7_fertility)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
