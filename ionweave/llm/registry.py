@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from ionweave.llm.bpe import op6_bpe
 from ionweave.llm.jaccard import op4_jaccard
+from ionweave.llm import linededup
+from ionweave.llm.linededup import op9_line_dedup
 from ionweave.llm.packing import op5_packing
 from ionweave.llm.quality import op7_fertility
 from ionweave.llm.topk import op1_topk
@@ -16,9 +18,10 @@ from ionweave.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op10_toxicity)
+    own = (op1_topk, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op9_line_dedup, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op9_line_dedup": linededup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
