@@ -12,13 +12,14 @@ from ionweave.llm.jaccard import op4_jaccard
 from ionweave.llm import linededup
 from ionweave.llm.linededup import op9_line_dedup
 from ionweave.llm.packing import op5_packing
+from ionweave.llm.pii import op2_pii
 from ionweave.llm.quality import op7_fertility
 from ionweave.llm.topk import op1_topk
 from ionweave.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op9_line_dedup, op10_toxicity)
+    own = (op1_topk, op2_pii, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op9_line_dedup, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
