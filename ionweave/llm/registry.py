@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from ionweave.llm.bpe import op6_bpe
 from ionweave.llm.jaccard import op4_jaccard
-from ionweave.llm import linededup
+from ionweave.llm import licenses, linededup
+from ionweave.llm.licenses import op8_licenses
 from ionweave.llm.linededup import op9_line_dedup
 from ionweave.llm.packing import op5_packing
 from ionweave.llm.pii import op2_pii
@@ -19,10 +20,10 @@ from ionweave.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_pii, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op9_line_dedup, op10_toxicity)
+    own = (op1_topk, op2_pii, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op8_licenses, op9_line_dedup, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op9_line_dedup": linededup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op8_licenses": licenses.ORACLE, "op9_line_dedup": linededup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
