@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from ionweave.llm import licenses, linededup
 from ionweave.llm.bpe import op6_bpe
 from ionweave.llm.jaccard import op4_jaccard
-from ionweave.llm import licenses, linededup
 from ionweave.llm.licenses import op8_licenses
 from ionweave.llm.linededup import op9_line_dedup
 from ionweave.llm.packing import op5_packing
@@ -17,10 +17,11 @@ from ionweave.llm.pii import op2_pii
 from ionweave.llm.quality import op7_fertility
 from ionweave.llm.topk import op1_topk
 from ionweave.llm.toxicity import op10_toxicity
+from ionweave.llm.urls import op3_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_pii, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op8_licenses, op9_line_dedup, op10_toxicity)
+    own = (op1_topk, op2_pii, op3_urls, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op8_licenses, op9_line_dedup, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
