@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in stages that are each written and read again.
 
-Each stage is a function of (spark, docs, sf_dir), works on all that the one before it kept, and calls one operator.
+Each stage is a function of (spark, docs, sf_dir), works on all that the one before it kept, and calls one operator. All but the
+last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,12 +11,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ionweave.llm.common import cut, table
+from ionweave.llm.jaccard import one_of_each
+from ionweave.llm.linededup import drop_repeated_lines
+from ionweave.llm.packing import pack
+from ionweave.llm.pii import sanitise
+from ionweave.llm.toxicity import drop_toxic
+from ionweave.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: The stages learn weights, find components and pack, which SQL can't express; tests use brute force.
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic, under a lexicon learned from the labels."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove later occurrences of repeated passages of three lines; drop documents of which nothing is left."""
+    return drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, the one with the smallest id."""
+    ship(spark)
+    return one_of_each(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data, and terms that disclose it, in the texts."""
+    return sanitise(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all texts, in pieces with their places in training sequences."""
+    ship(spark)
+    return pack(docs, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("pii", pii), ("packing", packing)]
+
+#: The stages learn weights, find components and pack, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
