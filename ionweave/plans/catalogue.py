@@ -3,15 +3,284 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ionweave.config import Settings
+from ionweave.functions import peaks as P
+from ionweave.operators import clean as C
+from ionweave.operators.cluster import cluster, component_labels, medoid_by_pairs
+from ionweave.operators.encode import encode, encode_relational
+from ionweave.operators.pairs import pairs, precursor_blocks
+from ionweave.plans import adapters as A
+from ionweave.session import cut
+from ionweave.sources.mgf import START, mgf_blocks, parse_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Limits that cut something of the driver's spectra.
+SETTINGS = Settings(max_peaks_used=20, min_intensity=0.3, precursor_tol=(200.0, "ppm"), eps=0.45)
+#: Signatures at most so many of 64 bits apart are linked.
+NEAR = 24
+
+
+def long(c: str, name: str | None = None):
+    return F.col(c).cast("long").alias(name or c)
+
+
+def _count_and_sum(peaks, name: str = "mz", digits: int = 2):
+    total = F.aggregate(P._col(peaks), F.lit(0.0), lambda a, p: a + p[name])
+    return F.size(peaks).cast("long").alias("n"), F.round(total, digits).alias("total")
+
+
+def mz_range(spark, d):
+    return A.spectra(spark, d).withColumn("p", P.mz_range("peaks", 101.0, 1500.0)).select(long("spec_index", "id"), *_count_and_sum("p"))
+
+
+def valid_spectra(spark, d):
+    return A.spectra(spark, d).withColumn("p", P.mz_range("peaks", 101.0, 1500.0)).filter(P.is_valid("p", 20, 1300.0)).select(long("spec_index", "id"))
+
+
+def precursor_removed(spark, d):
+    p = P.remove_precursor("peaks", "precursor_mz", "precursor_charge", 25.0)
+    return A.spectra(spark, d).withColumn("p", p).select(long("spec_index", "id"), *_count_and_sum("p"))
+
+
+def topk_intensity(spark, d):
+    return A.spectra(spark, d).withColumn("p", P.most_intense("peaks", 20, 0.3)).select(long("spec_index", "id"), *_count_and_sum("p", "intensity"))
+
+
+def _scaled(scaling: str) -> Query:
+    def query(spark, d):
+        p = P.scale(P.most_intense("peaks", 20, 0.3), scaling, 20)
+        return A.spectra(spark, d).withColumn("p", p).select(long("spec_index", "id"), *_count_and_sum("p", "intensity", 4))
+
+    return query
+
+
+def l2_norm(spark, d):
+    p = A.spectra(spark, d).withColumn("p", P.unit_norm("peaks"))
+    return p.select(long("spec_index", "id"), F.round(F.array_max("p.intensity"), 6).alias("top"), F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["intensity"] * x["intensity"]), 6).alias("norm"))
+
+
+def bucket_index(spark, d):
+    return A.spectra(spark, d).select(long("spec_index", "id"), P.bucket("precursor_mz", "precursor_charge", 1).cast("long").alias("bucket"))
+
+
+def _bucketed(spark, d):
+    return A.spectra(spark, d).withColumn("bucket", P.bucket("precursor_mz", "precursor_charge", 1))
+
+
+def bucket_sizes(spark, d):
+    return C.bucket_sizes(_bucketed(spark, d)).select(long("precursor_charge"), long("bucket"), long("size"))
+
+
+def bucket_histogram(spark, d):
+    return C.size_histogram(_bucketed(spark, d), (0, 2, 4, 8, 16, 1000000)).select(long("bin"), long("buckets"), F.round("share", 4).alias("share"))
+
+
+def charge_filter(spark, d):
+    return C.charges(A.spectra(spark, d), (3,)).groupBy("precursor_charge").agg(F.count("*").alias("n")).select(long("precursor_charge"), long("n"))
+
+
+def distinct_charges(spark, d):
+    return A.spectra(spark, d).select(long("precursor_charge")).distinct()
+
+
+def mass_diff(spark, d):
+    s = A.spectra(spark, d).select("spec_index", F.col("precursor_mz").cast("double").alias("m"))
+    return s.select(long("spec_index", "id"), F.round(P.mass_diff(F.col("m"), F.lit(950.0), "Da"), 4).alias("da"), F.round(P.mass_diff(F.col("m"), F.lit(950.0), "ppm"), 2).alias("ppm"))
+
+
+def clean_summary(spark, d):
+    """Clean spectra by charge and bucket: how many, their peaks, the mean of their highest normalised intensity."""
+    c = C.clean(A.spectra(spark, d), SETTINGS)
+    by = c.groupBy("precursor_charge", "bucket").agg(F.count("*").alias("spectra"), F.sum(F.size("peaks")).alias("n_peaks"), F.avg(F.array_max("peaks.intensity")).alias("top"))
+    return by.select(long("precursor_charge"), long("bucket"), long("spectra"), long("n_peaks"), F.round("top", 4).alias("top"))
+
+
+def _levels(spark, d):
+    c = C.clean(A.spectra(spark, d), SETTINGS).select("spec_index", F.explode("peaks").alias("p"))
+    return c.select(F.col("spec_index").alias("id"), P.mz_bin("p.mz").alias("bin"), P.level(F.col("p.intensity"), 16).alias("level"))
+
+
+def bin_level(spark, d):
+    return _levels(spark, d).groupBy("bin", "level").agg(F.count("*").alias("n")).select(long("bin"), long("level"), long("n"))
+
+
+def encode_small(spark, d):
+    """Hypervectors of 64 dimensions from codebooks that are an arithmetic rule: their ones, and the sum of the ones' places."""
+    dims = spark.range(64).select(F.col("id").cast("int").alias("dim"))
+    sign = lambda ok: F.when(ok, 1).otherwise(-1).alias("sign")
+    levels = spark.range(17).select(F.col("id").cast("int").alias("level")).join(dims).select("level", "dim", sign((F.col("level") * 37 + F.col("dim") * 101) % 97 < 48))
+    bins = spark.range(1501).select(F.col("id").cast("int").alias("bin")).join(dims).select("bin", "dim", sign((F.col("bin") * 7919 + F.col("dim") * 104729) % 1009 < 504))
+    bits = encode_relational(_levels(spark, d), levels, bins, ["id"])
+    return bits.groupBy("id").agg(F.sum("bit").alias("ones"), F.sum(F.col("bit") * F.col("dim")).alias("places")).select(long("id"), long("ones"), long("places"))
+
+
+def _near(spark, d):
+    return pairs(A.signatures(spark, d), "id", None, keys=("bucket",)).withColumn("bits", F.rint(F.col("dist") * 64).cast("long"))
+
+
+def sig_pairs(spark, d):
+    return _near(spark, d).filter(f"bits <= {NEAR}").select(long("bucket"), long("i"), long("j"), "bits")
+
+
+def hamming_hist(spark, d):
+    return _near(spark, d).groupBy("bits").agg(F.count("*").alias("n")).select("bits", long("n"))
+
+
+def _precursors(spark, d):
+    return _bucketed(spark, d).select(F.col("spec_index").alias("id"), "precursor_charge", "bucket", "precursor_mz", F.array(F.col("spec_index")).alias("hv"))
+
+
+def masked_pairs(spark, d):
+    p = pairs(_precursors(spark, d), "id", 200.0, "ppm")
+    return p.select(long("precursor_charge"), long("bucket"), long("i"), long("j"), F.rint(F.col("dist") * 64).cast("long").alias("bits"))
+
+
+def precursor_blocks_(spark, d):
+    b = precursor_blocks(_precursors(spark, d), 200.0, "ppm")
+    return b.select(long("id"), long("precursor_charge"), long("bucket"), long("block"))
+
+
+def _components(spark, d):
+    return cut(component_labels(A.signatures(spark, d), "id", NEAR / 64, None, keys=("bucket",)), "components")
+
+
+def dbscan_components(spark, d):
+    return _components(spark, d).filter("component is not null").select(long("id"), long("component"))
+
+
+def hc_single_components(spark, d):
+    return component_labels(A.signatures(spark, d), "id", NEAR / 64, None, keys=("bucket",), noise=False).select(long("id"), long("component"))
+
+
+def cluster_sizes(spark, d):
+    return dbscan_components(spark, d).groupBy("component").agg(F.count("*").alias("n")).select("component", long("n"))
+
+
+def label_base(spark, d):
+    """For each bucket, in order, how many labels those before it take: components, and noise rows one each."""
+    rows = _components(spark, d).join(A.signatures(spark, d).select("id", "bucket"), "id")
+    by = rows.groupBy("bucket").agg(F.count_distinct("component").alias("found"), F.count_if(F.col("component").isNull()).alias("noise"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return by.select(long("bucket"), long("found"), long("noise"), F.coalesce(F.sum(F.col("found") + F.col("noise")).over(before), F.lit(0)).cast("long").alias("base"))
+
+
+def medoid(spark, d):
+    members = dbscan_components(spark, d).withColumnRenamed("component", "cluster")
+    return medoid_by_pairs(members, _near(spark, d).select("i", "j", F.col("bits").alias("dist"))).select(long("cluster"), long("id"))
+
+
+def rep_join(spark, d):
+    reps = medoid(spark, d)
+    vectors = A.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    return vectors.join(reps, "id").select(long("id"), long("label"), long("cluster"), F.round("x", 5).alias("x"))
+
+
+def mgf_lines(spark, d):
+    return mgf_blocks(A.spectra(spark, d).withColumn("title", F.concat(F.lit("part "), F.col("spec_index").cast("string"))))
+
+
+def mgf_round_trip(spark, d):
+    """Blocks written and parsed again: peaks of each spectrum and their sum."""
+    blocks = mgf_blocks(A.spectra(spark, d)).select(F.regexp_replace("value", f"^{START}", "").alias("value")).withColumn("title", F.regexp_extract("value", "(?m)^TITLE=[^:]*:([0-9]+)", 1).cast("long"))
+    return parse_blocks(blocks).select(long("title", "id"), long("precursor_charge"), *_count_and_sum("peaks", "mz", 2))
+
+
+def _clustered(algorithm: str, rt_tol: float | None = None) -> Query:
+    def query(spark, d):
+        s = replace(SETTINGS, cluster_alg=algorithm, rt_tol=rt_tol)
+        out = cluster(encode(C.clean(A.spectra(spark, d), s), s), s)
+        return out.select(long("spec_index", "id"), long("bucket"), long("precursor_charge"), "cluster", "is_representative")
+
+    return query
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    own = (mz_range, valid_spectra, precursor_removed, topk_intensity, l2_norm, bucket_index, bucket_sizes, bucket_histogram, charge_filter, distinct_charges, mass_diff, clean_summary, bin_level, encode_small)
+    own += (sig_pairs, hamming_hist, masked_pairs, dbscan_components, hc_single_components, cluster_sizes, label_base, medoid, rep_join, mgf_lines, mgf_round_trip)
+    scaled = {f"scale_{s}": _scaled(s) for s in ("root", "log", "rank")}
+    whole = {f"cluster_{a}": _clustered(a) for a in ("dbscan", "hc_single", "hc_complete", "hc_average")}
+    return {f.__name__: f for f in own} | scaled | {"precursor_blocks": precursor_blocks_} | whole | {"cluster_with_times": _clustered("hc_complete", 600.0)}
+
+
+_PEAKS = """raw AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size % 2 + 2 AS BIGINT) AS z, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS pmz, CAST(p_size * 60 AS DOUBLE) AS rt,
+  CAST(50 AS DOUBLE) + CAST((l_orderkey * 7919 + l_linenumber * 104729) % 150000 AS DOUBLE) / 100 AS mz, CAST(l_extendedprice AS DOUBLE) AS y
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+spectra AS (SELECT DISTINCT id, z, pmz, rt FROM raw),
+bucketed AS (SELECT *, CAST(floor(round_even((pmz - CAST(1.00794 AS DOUBLE)) * z / CAST(1.0005079 AS DOUBLE), 0)) AS BIGINT) AS bucket FROM spectra)"""
+_TOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY y DESC, mz) AS nth, max(y) OVER (PARTITION BY id) AS most FROM {src}),
+top AS (SELECT * FROM ranked WHERE nth <= 20 AND y > CAST(0.3 AS DOUBLE) * most)"""
+_NEAR_PRECURSOR = "EXISTS (SELECT 1 FROM (VALUES (1), (2), (3)) AS c(c) WHERE c.c <= r.z AND abs(r.mz - ((r.pmz - CAST(1.007825 AS DOUBLE)) * r.z / c.c + CAST(1.007825 AS DOUBLE))) <= {tol})"
+_CLEAN = f"""one AS (SELECT * FROM raw WHERE mz BETWEEN 101 AND 1500),
+ok1 AS (SELECT id FROM one GROUP BY id HAVING count(*) >= 5 AND max(mz) - min(mz) >= 250),
+two AS (SELECT r.* FROM one AS r JOIN ok1 USING (id) WHERE NOT {_NEAR_PRECURSOR.format(tol="CAST(1.5 AS DOUBLE)")}),
+ok2 AS (SELECT id FROM two GROUP BY id HAVING count(*) >= 5 AND max(mz) - min(mz) >= 250),
+three AS (SELECT two.* FROM two JOIN ok2 USING (id)),
+{_TOP.format(src="three")},
+ok3 AS (SELECT id FROM top GROUP BY id HAVING count(*) >= 5 AND max(mz) - min(mz) >= 250),
+clean AS (SELECT id, mz, y / sqrt(sum(y * y) OVER (PARTITION BY id)) AS v FROM top JOIN ok3 USING (id))"""
+_SIGNS = """sig AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS bucket, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+near AS (SELECT a.bucket, a.id AS i, b.id AS j, CAST(list_sum(list_transform(list_zip(a.s, b.s), lambda t: CASE WHEN t[1] <> t[2] THEN 1 ELSE 0 END)) AS BIGINT) AS bits
+  FROM sig AS a JOIN sig AS b ON a.bucket = b.bucket AND a.id < b.id)"""
+_COMPONENTS = f"""links AS (SELECT i AS a, j AS b FROM near WHERE bits <= {NEAR} UNION ALL SELECT j, i FROM near WHERE bits <= {NEAR}),
+reach(id, o) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.id, l.b FROM reach AS r JOIN links AS l ON r.o = l.a),
+comp AS (SELECT id, min(o) AS component FROM reach GROUP BY id)"""
+
+
+def _scaled_sql(value: str) -> str:
+    return f"WITH {_PEAKS}, {_TOP.format(src='raw')} SELECT id, count(*) AS n, round(sum({value}), 4) AS total FROM (SELECT *, count(*) OVER (PARTITION BY id) AS size, row_number() OVER (PARTITION BY id ORDER BY y DESC, mz) AS r FROM top) AS t GROUP BY id"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    clean = f"WITH {_PEAKS}, {_CLEAN}"
+    levels = f"{clean}, levels AS (SELECT id, CAST(floor(mz) AS BIGINT) AS bin, CAST(floor(v * 16) AS BIGINT) AS level FROM clean)"
+    sig = f"WITH {_SIGNS}"
+    comp = f"WITH RECURSIVE {_SIGNS}, {_COMPONENTS}"
+    within = f"""{comp}, sides AS (SELECT i AS id, j AS o, bits FROM near UNION ALL SELECT j, i, bits FROM near),
+totals AS (SELECT c.component AS cluster, s.id, sum(s.bits) AS total FROM sides AS s JOIN comp AS c ON s.id = c.id JOIN comp AS e ON s.o = e.id AND c.component = e.component GROUP BY c.component, s.id),
+medoids AS (SELECT cluster, id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY total, id) AS nth FROM totals) AS t WHERE nth = 1)"""
+    return {
+        "mz_range": f"WITH {_PEAKS} SELECT id, sum(CASE WHEN mz BETWEEN 101 AND 1500 THEN 1 ELSE 0 END)::BIGINT AS n, round(sum(CASE WHEN mz BETWEEN 101 AND 1500 THEN mz ELSE 0 END), 2) AS total FROM raw GROUP BY id",
+        "valid_spectra": f"WITH {_PEAKS} SELECT id FROM raw WHERE mz BETWEEN 101 AND 1500 GROUP BY id HAVING count(*) >= 20 AND max(mz) - min(mz) >= 1300",
+        "precursor_removed": f"WITH {_PEAKS}, kept AS (SELECT r.id, r.mz, NOT {_NEAR_PRECURSOR.format(tol='25')} AS stays FROM raw AS r) SELECT id, sum(CASE WHEN stays THEN 1 ELSE 0 END)::BIGINT AS n, round(sum(CASE WHEN stays THEN mz ELSE 0 END), 2) AS total FROM kept GROUP BY id",
+        "topk_intensity": f"WITH {_PEAKS}, {_TOP.format(src='raw')} SELECT id, count(*) AS n, round(sum(y), 2) AS total FROM top GROUP BY id",
+        "scale_root": _scaled_sql("sqrt(y)"),
+        "scale_log": _scaled_sql("ln(1 + y) / ln(2)"),
+        "scale_rank": _scaled_sql("CAST(20 - (r - 1) AS DOUBLE)"),
+        "l2_norm": f"WITH {_PEAKS} SELECT id, round(max(y) / sqrt(sum(y * y)), 6) AS top, CAST(1 AS DOUBLE) AS norm FROM raw GROUP BY id",
+        "bucket_index": f"WITH {_PEAKS} SELECT id, bucket FROM bucketed",
+        "bucket_sizes": f"WITH {_PEAKS} SELECT z AS precursor_charge, bucket, count(*) AS size FROM bucketed GROUP BY z, bucket",
+        "bucket_histogram": f"""WITH {_PEAKS}, sizes AS (SELECT count(*) AS size FROM bucketed GROUP BY z, bucket),
+bins AS (SELECT CASE WHEN size < 2 THEN 0 WHEN size < 4 THEN 1 WHEN size < 8 THEN 2 WHEN size < 16 THEN 3 ELSE 4 END AS bin FROM sizes)
+SELECT CAST(bin AS BIGINT) AS bin, count(*) AS buckets, round(CAST(100 AS DOUBLE) * count(*) / (SELECT count(*) FROM bins), 4) AS share FROM bins GROUP BY bin""",
+        "charge_filter": f"WITH {_PEAKS} SELECT z AS precursor_charge, count(*) AS n FROM spectra WHERE z = 3 GROUP BY z",
+        "distinct_charges": f"WITH {_PEAKS} SELECT DISTINCT z AS precursor_charge FROM spectra",
+        "mass_diff": f"WITH {_PEAKS} SELECT id, round(pmz - 950, 4) AS da, round((pmz - 950) / 950 * 1000000, 2) AS ppm FROM spectra",
+        "clean_summary": f"""{clean}, each AS (SELECT id, count(*) AS n, max(v) AS top FROM clean GROUP BY id)
+SELECT b.z AS precursor_charge, b.bucket, count(*) AS spectra, CAST(sum(e.n) AS BIGINT) AS n_peaks, round(avg(e.top), 4) AS top FROM each AS e JOIN bucketed AS b USING (id) GROUP BY b.z, b.bucket""",
+        "bin_level": f"{levels} SELECT bin, level, count(*) AS n FROM levels GROUP BY bin, level",
+        "encode_small": f"""{levels}, dims AS (SELECT unnest(range(64)) AS dim),
+bits AS (SELECT id, dim, CASE WHEN sum((CASE WHEN (level * 37 + dim * 101) % 97 < 48 THEN 1 ELSE -1 END) * (CASE WHEN (bin * 7919 + dim * 104729) % 1009 < 504 THEN 1 ELSE -1 END)) > 0 THEN 1 ELSE 0 END AS bit FROM levels, dims GROUP BY id, dim)
+SELECT id, CAST(sum(bit) AS BIGINT) AS ones, CAST(sum(bit * dim) AS BIGINT) AS places FROM bits GROUP BY id""",
+        "sig_pairs": f"{sig} SELECT bucket, i, j, bits FROM near WHERE bits <= {NEAR}",
+        "hamming_hist": f"{sig} SELECT bits, count(*) AS n FROM near GROUP BY bits",
+        "masked_pairs": f"""WITH {_PEAKS} SELECT a.z AS precursor_charge, a.bucket, a.id AS i, b.id AS j, CAST(bit_count(xor(a.id, b.id)) AS BIGINT) AS bits
+FROM bucketed AS a JOIN bucketed AS b ON a.z = b.z AND a.bucket = b.bucket AND a.id < b.id AND abs(a.pmz - b.pmz) * 1000000 < b.pmz * 200""",
+        "precursor_blocks": f"""WITH {_PEAKS}, gaps AS (SELECT *, CASE WHEN (pmz - lag(pmz) OVER w) * 1000000 >= pmz * 200 THEN 1 ELSE 0 END AS cut FROM bucketed WINDOW w AS (PARTITION BY z, bucket ORDER BY pmz, id))
+SELECT id, z AS precursor_charge, bucket, CAST(sum(cut) OVER (PARTITION BY z, bucket ORDER BY pmz, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS block FROM gaps""",
+        "dbscan_components": f"{comp} SELECT id, component FROM comp",
+        "hc_single_components": f"{comp} SELECT s.id, coalesce(c.component, s.id) AS component FROM sig AS s LEFT JOIN comp AS c ON s.id = c.id",
+        "cluster_sizes": f"{comp} SELECT component, count(*) AS n FROM comp GROUP BY component",
+        "label_base": f"""{comp}, per AS (SELECT s.bucket, count(DISTINCT c.component) AS found, sum(CASE WHEN c.component IS NULL THEN 1 ELSE 0 END)::BIGINT AS noise FROM sig AS s LEFT JOIN comp AS c ON s.id = c.id GROUP BY s.bucket)
+SELECT bucket, found, noise, CAST(coalesce(sum(found + noise) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM per""",
+        "medoid": f"{within} SELECT cluster, id FROM medoids",
+        "rep_join": f"{within} SELECT m.id, CAST(e.label AS BIGINT) AS label, m.cluster, round(CAST(e.embedding[1] AS DOUBLE), 5) AS x FROM medoids AS m JOIN embeddings AS e ON e.vec_id = m.id",
+        "mgf_lines": f"""WITH {_PEAKS} SELECT 'BEGIN IONS' || chr(10) || 'TITLE=part ' || id || chr(10) || printf('PEPMASS=%f', pmz) || chr(10) || printf('RTINSECONDS=%f', rt) || chr(10) || 'CHARGE=' || z || '+' || chr(10)
+|| string_agg(printf('%.5f %.1f', mz, y), chr(10) ORDER BY mz, y) || chr(10) || 'END IONS' AS value FROM raw GROUP BY id, z, pmz, rt""",
+        "mgf_round_trip": f"WITH {_PEAKS} SELECT id, z AS precursor_charge, count(*) AS n, round(sum(CAST(CAST(mz AS FLOAT) AS DOUBLE)), 2) AS total FROM raw GROUP BY id, z",
+    }
