@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.session import ship
+from ionweave.session import cut, shared_dir, ship
+
+__all__ = ["LOWER", "cut", "empty_if_null", "shared_dir", "ship", "spill_freed", "table", "words_of"]
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -25,33 +24,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one of this machine only where none is set, as in tests."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not got:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        got = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not got:
-        got = tempfile.mkdtemp(prefix="ionweave-")
-        spark.sparkContext.setCheckpointDir(got)
-    return got
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Later stages depend on stored files and not on an executor's memory or shuffle files, so a lost executor costs
-    its running tasks only. The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ionweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spill_freed(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that are no longer referred to; the results don't depend on it."""
     import gc
