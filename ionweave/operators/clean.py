@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.config import Settings
@@ -56,5 +56,6 @@ def size_histogram(df: DataFrame, edges: tuple[int, ...] = (0, 300, 1000, 5000,
     for k in range(len(edges) - 1):
         bin_ = bin_.when((size >= edges[k]) & (size < edges[k + 1]), F.lit(k))
     counted = bucket_sizes(df).select(bin_.alias("bin")).groupBy("bin").agg(F.count("*").alias("buckets"))
-    total = counted.agg(F.sum("buckets").alias("_all"))
-    return counted.join(F.broadcast(total)).filter("bin is not null").select("bin", "buckets", (100.0 * F.col("buckets") / F.col("_all")).alias("share"))
+    # at most one row for each bin goes through the window
+    share = 100.0 * F.col("buckets") / F.sum("buckets").over(Window.partitionBy(F.lit(0)))
+    return counted.withColumn("share", share).filter("bin is not null").select("bin", "buckets", "share")
