@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ionweave.session import cut, shared_dir, ship
 
-__all__ = ["LOWER", "cut", "empty_if_null", "shared_dir", "ship", "spill_freed", "table", "words_of"]
+__all__ = ["LOWER", "cut", "fresh", "shared_dir", "ship", "spill_freed", "table", "words_of"]
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -32,5 +31,9 @@ def spill_freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def empty_if_null(name: str):
-    return F.coalesce(F.col(name), F.lit(""))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import cut, table
+from ionweave.llm.common import cut, fresh, table
 
 WINDOW = 3
 #: What is trimmed from a line.
@@ -49,25 +49,28 @@ def covered_lines(docs: DataFrame, id_col: str, text_col: str, size: int = WINDO
     return later.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("covered"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` with covered lines removed from its texts, and two columns more: ``_n_lines`` and ``_n_removed``."""
-    covered = covered_lines(docs, id_col, text_col, size).withColumnRenamed("id", "_id")
-    met = docs.join(covered, F.col(id_col) == F.col("_id"), "left").drop("_id")
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", size: int = WINDOW) -> DataFrame:
+    """``docs`` with covered lines removed from its texts, and two columns more, of which the names are given."""
+    key, gone = fresh(docs, "_id"), fresh(docs, "_covered")
+    covered = covered_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("covered").alias(gone))
+    met = docs.join(covered, F.col(id_col) == F.col(key), "left")
     lines = lines_of(text_col)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    text = F.when(F.col("covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = [F.size(lines).alias("_n_lines"), F.coalesce(F.size("covered"), F.lit(0)).alias("_n_removed")]
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    counts = [F.size(lines).cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed)]
     return met.select(*((text.alias(c) if c == text_col else F.col(c)) for c in docs.columns), *counts)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """``docs`` without repeated passages; rows that lost lines and have no text left go."""
-    return without_repeats(docs, id_col, text_col, size).filter((F.col("_n_removed") == 0) | (F.btrim(text_col, F.lit(BLANKS + "\n")) != "")).select(*docs.columns)
+    total, removed = fresh(docs, "_lines"), fresh(docs, "_removed")
+    left = without_repeats(docs, id_col, text_col, total, removed, size)
+    return left.filter((F.col(removed) == 0) | (F.btrim(text_col, F.lit(BLANKS + "\n")) != "")).select(*docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), "text")
+    return without_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE = r"""

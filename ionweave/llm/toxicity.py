@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ionweave.llm.common import cut, table
+from ionweave.llm.common import cut, fresh, table
 
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 INSULT_WEIGHT = 5.0
@@ -239,9 +239,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, with their own columns."""
-    out = "score"
-    while out in docs.columns:
-        out += "_"
+    out = fresh(docs, "score")
     return score(docs, learn(docs, labels, id_col, text_col), text_col, out).filter(F.col(out) < threshold).drop(out)
 
 

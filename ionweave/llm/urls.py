@@ -81,9 +81,10 @@ def judge(
         step = here.join(turned, (F.col("host") == F.col("_h")) & (F.col("t") == F.col("_t")) & (F.col("seg") == F.col("_s")), "left")
         paths = cut(step.select("host", "path", "n", "labelled", "blocked", "s", "deeper", F.when(F.col("to").isNotNull(), F.concat("t", F.lit("/"), "to")).otherwise(F.col("t")).alias("t")), "paths")
     paths = paths.withColumn("template", F.when(F.col("deeper"), F.concat("t", F.lit("/**"))).otherwise(F.col("t")))
-    corpus = paths.agg((F.coalesce(F.sum("blocked"), F.lit(0)) / F.greatest(F.lit(1), F.coalesce(F.sum("labelled"), F.lit(0)))).alias("prior"))
-    stats = paths.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).join(F.broadcast(corpus))
-    stats = stats.select("_h", "_t", ((F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)).alias("template_purity"))
+    corpus = paths.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
+    prior = F.lit((corpus["b"] or 0) / (corpus["l"] or 1))
+    stats = paths.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    stats = stats.select("_h", "_t", ((F.col("b") + weight * prior) / (F.col("l") + weight)).alias("template_purity"))
     named = paths.select("host", "path", "template").join(stats, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select(F.col("host").alias("_h"), F.col("path").alias("_p"), "template", "template_purity")
     named = cut(named, "templates")
     met = parsed.join(named, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
