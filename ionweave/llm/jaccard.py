@@ -4,6 +4,8 @@ A document is the set of its five-word shingles, as 64-bit hashes. Two sets with
 share an element among the first n - ceil(0.75 n) + 1 of each, in any order that is the same for all. The order here puts rare
 elements first: a count sketch of fixed size over all documents tells common from rare, ties go by hash.
 
+How many of those elements they must share follows from their sizes, and is a third condition beside the sizes themselves.
+
 1. Equal sets form classes; only the document with the smallest id goes on for each.
 2. Representatives that share a leading element meet. First, each is held against one leader an element. What
    that links forms components, most of them final.
@@ -28,16 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import LOWER, cut, spill_freed, table
+from ionweave.functions.hamming import bits_apart
+from ionweave.llm.common import LOWER, cut, fresh, spill_freed, table
 from ionweave.operators.components import components
 
 #: Counters a row of the sketch; with three rows of four bytes it is 3 MB, whatever the input.
 BUCKETS, ROWS = 1 << 18, 3
 #: Documents in one block of an index.
 BLOCK = 2048
+#: Bits of the bitmap of wanted documents.
+MARKS = 1 << 25
+#: Documents of one element that a task is to take.
+HOT = 20_000
 SLICE = 1_000_000
 _rng = np.random.RandomState(20240131)
 _odd = lambda n: _rng.randint(0, 2**32, n).astype(np.uint64) << np.uint64(32) | _rng.randint(0, 2**32, n).astype(np.uint64) | np.uint64(1)
@@ -102,6 +109,14 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def shared_at_least(a: str, b: str, percent: int) -> str:
+    """SQL for how many leading elements sets of a and b elements share if they are similar.
+
+    Similar sets overlap in percent (a + b) / (100 + percent) elements or more. Up to where the first of the two leading parts ends,
+    what they share is in both leading parts; beyond it are the other ceil(percent n / 100) - 1 elements of that set."""
+    return f"(ceil({percent} * ({a} + {b}) / {100 + percent}) - ceil({percent} * greatest({a}, {b}) / 100))"
+
+
 def sketch_places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counter and sign of each element in each row of the sketch."""
     h = np.stack([mixed(x * s) for s in _SALT[:ROWS]])
@@ -123,35 +138,49 @@ def commonness(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
             part = some[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["place", "n"])
 
-    got = docs.select(text_col).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(ROWS * BUCKETS, dtype=np.int32)
-    sketch[got["place"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
-    return sketch
+    got = docs.select(text_col).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(ROWS * BUCKETS, dtype=np.float32)
+    sketch[got["place"].to_numpy()] = got["n"].to_numpy()
+    # what a rare element is taken for: a counter's spread, by the median as few elements are common
+    noise = float(np.median(np.abs(sketch))) / 0.6745
+    return np.append(sketch, np.float32(max(2.0, 3 * noise)))
 
 
-def levels(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """0 for elements in fewer than some 64 documents, then one more for each doubling."""
+def levels(s: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each element, 0 if the sketch can't tell it from rare ones, then one more for each doubling of its
+    documents; and its salts, so that some ``HOT`` of its documents go to each, 0 if they are fewer in all."""
     place, sign = sketch_places(s)
     estimate = np.median(sketch[place] * sign, axis=0)
-    return np.floor(np.log2(np.maximum(estimate, 32) / 32)).astype(np.int64)
+    level = np.floor(np.log2(np.maximum(estimate / sketch[-1], 1))).astype(np.int64)
+    return level, np.where(estimate > HOT, 2 * estimate // HOT, 0).astype(np.int32)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sketch) -> DataFrame:
-    """(id, n, f1, f2, lead): set size, fingerprint of the set, leading elements."""
+    """(id, n, f1, f2, lead, salts, bits): set size, fingerprint of the set, leading elements and the salts of each, and 1024 bits
+    of which each element of the set turns one over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, f1, f2, lead = [], [], [], []
+            n, f1, f2, lead, salts, bits = [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(s))
                 f1.append(int(mixed(s * _SALT[3]).sum(dtype=np.uint64).view(np.int64)) if s.size else 0)
                 f2.append(int(np.bitwise_xor.reduce(mixed(s + _SALT[3])).view(np.int64)) if s.size else 0)
+                dealt = np.zeros(0, dtype=np.int32)
+                turned = np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
                 if s.size:
-                    s = s[np.lexsort((s, levels(s, sketch.value)))][: len(s) - needed(len(s), percent) + 1]
+                    level, dealt = levels(s, sketch.value)
+                    first = np.lexsort((s, level))[: len(s) - needed(len(s), percent) + 1]
+                    s, dealt = s[first], dealt[first]
                 lead.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(lead, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "lead"])
+                salts.append(dealt)
+                bits.append(turned)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(lead, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["id", "n", "f1", "f2", "lead", "salts", "bits"],
+            )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n int, f1 long, f2 long, lead array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n int, f1 long, f2 long, lead array<long>, salts array<int>, bits array<long>")
 
 
 class Index:
@@ -221,14 +250,50 @@ class Index:
         return found[:1] if first_only else found
 
 
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, block) of representatives whose bits allow that they are similar: sets of a and b elements that are
+    differ in (a + b) (100 - percent) / (100 + percent) elements at most, and each of those turns one bit at most."""
+    side = lambda p: classes.select(F.col("rep").alias(f"_{p}"), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits{p}"))
+    met = pairs.join(side("a"), F.col("id") == F.col("_a")).join(side("b"), F.col("block") == F.col("_b"))
+    return met.filter(bits_apart("bitsa", "bitsb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("id", "block")
+
+
+def hash_ids(ids):
+    """A hash of ids that needs only what Spark's columns and numpy do alike: ids that follow each other spread, shifts mix."""
+    if isinstance(ids, np.ndarray):
+        return ids ^ (ids >> 25) ^ (ids >> 50)
+    return ids.bitwiseXOR(F.shiftright(ids, 25)).bitwiseXOR(F.shiftright(ids, 50))
+
+
+def marked_ids(places: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) in which the hash of each id sets a bit. Documents whose bit isn't set need not be shuffled;
+    the more ids, the fewer it spares, and no result depends on it."""
+    place = hash_ids(F.col("id")).bitwiseAND(F.lit(MARKS - 1))
+    got = places.select(F.shiftright(place, 6).alias("word"), place.alias("p")).select("word", F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    got = got.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(MARKS // 64, dtype=np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return words
+
+
+def named_by(ids: pa.Array, words: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the bit of each id; a null id has none."""
+    h = hash_ids(ids.fill_null(0).to_numpy(zero_copy_only=False)) & np.int64(MARKS - 1)
+    return (((words[h >> 6] >> (h & 63)) & 1) == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def searched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int, percent: int, first_only: bool) -> DataFrame:
     """Links (a, b) that searches in blocks find. ``places``: (id, block, salt, asks), a row for each document and block, with
     asks 0 for members of the index and 1 for queries. Blocks stream through a task in order: one index is held at a time."""
 
+    named = docs.sparkSession.sparkContext.broadcast(marked_ids(places))
+
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of documents that may be wanted; the join that follows leaves those that are."""
         for b in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(b.column(0).to_pylist(), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([sets, b.column(1), b.column(2)], names=["elements", "id", "at"])
+            b = b.filter(pa.array(named_by(b.column(0), named.value)))
+            sets = pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["_id", "elements"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, sets, index = None, [], [], None
@@ -247,10 +312,8 @@ def searched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("block", "salt", "asks")).alias("at"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    met = texts.join(wanted, F.col("_id") == F.col("id")).select("_text", "id", "at")
-    rows = met.mapInArrow(hash_sets, "elements binary, id long, at array<struct<block:long,salt:long,asks:int>>")
-    rows = rows.select(F.explode("at").alias("x"), "id", "elements").select("x.block", "x.salt", "x.asks", "id", "elements")
+    sets = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(hash_sets, "_id long, elements binary")
+    rows = sets.join(wanted, F.col("_id") == F.col("id")).select(F.explode("at").alias("x"), "id", "elements").select("x.block", "x.salt", "x.asks", "id", "elements")
     return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(search, "a long, b long")
 
 
@@ -273,17 +336,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("percent is 1 to 100, k is 1 to 64")
     sketch = spark.sparkContext.broadcast(commonness(docs, text_col, k))
     signed = cut(signatures(docs, id_col, text_col, k, percent, sketch), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lead")).alias("x"))
-    classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), F.col("x.lead").alias("lead")), "classes")
+    classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lead", "salts", "bits")).alias("x"))
+    classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), F.arrays_zip("x.lead", "x.salts").alias("lead"), "x.bits"), "classes")
     spill_freed(spark)
 
-    leads = classes.select("rep", "n", F.explode("lead").alias("t"))
-    shared = leads.groupBy("t").agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last")).filter("first.rep < last").select(F.col("t").alias("_t"), "first")
-    hits = cut(leads.join(shared, F.col("t") == F.col("_t")).select("t", "rep", "n", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n")), "hits")
+    # a common element's documents are dealt into salts, each with a leader; which of them link across salts shows later
+    leads = classes.select("rep", "n", F.explode("lead").alias("x")).select("rep", "n", F.col("x.lead").alias("t"), F.when(F.col("x.salts") > 0, F.pmod(F.xxhash64("rep"), F.col("x.salts"))).otherwise(-1).cast("int").alias("salt"))
+    by_rep = Window.partitionBy("t", "salt").orderBy("rep", "n")
+    leads = leads.withColumn("leader", F.first(F.struct("rep", "n")).over(by_rep)).withColumn("next", F.lead("rep").over(by_rep))
+    hits = leads.filter("salt >= 0 or next is not null or rep <> leader.rep").select("t", "rep", "n", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n"))
+    hits = cut(hits, "hits")
     spill_freed(spark)
 
-    stars = hits.filter("rep <> leader").filter(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)").select(F.col("rep").alias("id"), F.col("leader").alias("block")).distinct()
-    stars = cut(stars, "stars")
+    stars = hits.filter("rep <> leader").filter(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)").groupBy("rep", "leader", "n", "leader_n").agg(F.count("*").alias("both"))
+    stars = stars.filter(f"both >= {shared_at_least('n', 'leader_n', percent)}").select(F.col("rep").alias("id"), F.col("leader").alias("block"))
+    stars = cut(near_enough(stars, classes, percent), "stars")
     dealt, sizes = salted(stars, block_size)
     places = cut(dealt.unionByName(asking(sizes.select(F.col("block").alias("id"), "block"), sizes)), "places")
     links = cut(searched(docs, places, id_col, text_col, k, percent, False), "links")
@@ -292,14 +359,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sizes_of = near.groupBy("component").agg(F.count("*").alias("members"))
     known = near.join(sizes_of, "component").select(F.col("id").alias("_id"), F.col("component").alias("_c"), "members")
-    marked = hits.join(known, F.col("rep") == F.col("_id"), "left").select("t", "rep", F.coalesce("_c", "rep").alias("c"), F.coalesce("members", F.lit(1)).alias("members"))
+    marked = hits.join(known, F.col("rep") == F.col("_id"), "left").select("t", "rep", "n", F.coalesce("_c", "rep").alias("c"), F.coalesce("members", F.lit(1)).alias("members"))
     marked = cut(marked, "marked")
     open_ = marked.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("t").alias("_t"))
-    rest = cut(marked.join(open_, F.col("t") == F.col("_t")).select("t", "rep", "c", "members"), "rest")
+    rest = cut(marked.join(open_, F.col("t") == F.col("_t")).select("t", "rep", "n", "c", "members"), "rest")
     # a document asks each larger component (of equal ones, the one with the smaller name) that it shares an element with
-    there = rest.select("t", F.col("c").alias("block"), F.col("members").alias("many")).distinct()
-    queries = rest.join(there, "t").filter("c <> block and (members < many or (members = many and c > block))").select(F.col("rep").alias("id"), "block").distinct()
+    there = rest.groupBy("t", F.col("c").alias("block")).agg(F.max("members").alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    queries = rest.join(there, "t").filter("c <> block and (members < many or (members = many and c > block))")
+    queries = queries.groupBy("rep", "n", "block").agg(F.count("*").alias("both"), F.max("many").alias("many"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    queries = queries.withColumn("lo", F.expr(f"greatest(lo, cast(ceil({percent} * n / 100) as int))")).withColumn("hi", F.expr(f"least(hi, cast(floor(100 * n / {percent}) as int))"))
+    # the number falls as sizes part, so the ends of the sizes in question have the least; one less for the rounding between
+    few = f"least({shared_at_least('n', 'lo', percent)}, {shared_at_least('n', 'hi', percent)}) - 1"
+    queries = queries.filter("lo <= hi").filter(f"both >= {few}").select(F.col("rep").alias("id"), "block", "many")
+    # a component of one is held against the query itself
     queries = cut(queries, "queries")
+    queries = cut(queries.filter("many > 1").select("id", "block").unionByName(near_enough(queries.filter("many = 1").select("id", "block"), classes, percent)), "queries")
     asked = queries.select(F.col("block").alias("_b")).distinct()
     dealt, sizes = salted(rest.select(F.col("rep").alias("id"), F.col("c").alias("block")).distinct().join(asked, F.col("block") == F.col("_b"), "left_semi"), block_size)
     places = cut(dealt.unionByName(asking(queries, sizes)), "places")
@@ -315,8 +389,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id; rows without an id all stay."""
     found = jaccard_components(docs, id_col, text_col, **how)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    first = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    key = fresh(docs, "_keep")
+    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
+    first = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col).cast("long") == F.col(key), "left_semi").dropDuplicates([id_col])
     return first.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
