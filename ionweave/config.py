@@ -40,6 +40,8 @@ class Settings:
     refine: bool = True
     mz_binning: str = "unit"
     seed: int = 0
+    #: Rows of a group up to which DBSCAN and single linkage take it whole.
+    max_group: int = 8000
     #: Reproduce the live behaviour of the representative, the tolerance mask and the retention time key.
     compat: bool = False
     extra: dict = field(default_factory=dict, compare=False, repr=False)

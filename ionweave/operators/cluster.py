@@ -13,9 +13,10 @@ from ionweave.operators.components import components
 from ionweave.operators.pairs import pairs, precursor_blocks
 from ionweave.session import cut, ship
 
-GROUP = ["precursor_charge", "bucket", "block"]
+BLOCK = ["precursor_charge", "bucket", "block"]
+GROUP = [*BLOCK, "part"]
 ORDER = ["identifier", "spec_index"]
-_LOCAL = "precursor_charge byte, bucket int, block int, identifier string, spec_index long, precursor_mz float, scan int, retention_time float, local long, is_representative boolean"
+_LOCAL = "precursor_charge byte, bucket int, block int, part string, identifier string, spec_index long, precursor_mz float, scan int, retention_time float, local long, is_representative boolean"
 
 
 def grouped(encoded: DataFrame, s: Settings) -> DataFrame:
@@ -26,6 +27,23 @@ def grouped(encoded: DataFrame, s: Settings) -> DataFrame:
     return precursor_blocks(encoded, *s.precursor_tol)
 
 
+def parted(blocked: DataFrame, s: Settings) -> DataFrame:
+    """``blocked`` with a column ``part``, empty but for blocks of more than ``max_group`` rows where the algorithm finds components.
+
+    There a part is a component, found by distributed joins over pairs, so that a task's group is a component and not the block.
+    Complete and average linkage have no such parts and take a block whole.
+    """
+    whole = blocked.withColumn("part", F.lit(""))
+    if s.cluster_alg not in ("dbscan", "hc_single") or s.compat:
+        return whole
+    large = cut(blocked.groupBy(*BLOCK).agg(F.count("*").alias("_n")).filter(F.col("_n") > s.max_group).drop("_n"), "large")
+    if large.isEmpty():
+        return whole
+    rows = cut(blocked.join(large, BLOCK, "left_semi").withColumn("_uid", F.to_json(F.struct(*ORDER))), "rows")
+    found = component_labels(rows, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), noise=False).withColumnRenamed("component", "part")
+    return whole.join(large, BLOCK, "left_anti").unionByName(rows.join(found, "_uid").drop("_uid"))
+
+
 def local_labels(blocked: DataFrame, s: Settings) -> DataFrame:
     """Labels in each group (-1: noise) and representatives. One shuffle; a group is in one task, as linkage needs it."""
     ship(blocked.sparkSession)
@@ -46,7 +64,7 @@ def unique_labels(local: DataFrame) -> DataFrame:
     of their group. Running totals are over groups, not rows; rows meet their group's in a join."""
     local = cut(local, "local")
     sizes = local.groupBy(*GROUP).agg((F.greatest(F.max("local"), F.lit(-1)) + 1).alias("found"), F.count_if(F.col("local") < 0).alias("noise"))
-    before = Window.partitionBy("precursor_charge").orderBy("bucket", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("precursor_charge").orderBy("bucket", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*GROUP, "found", F.coalesce(F.sum(F.col("found") + F.col("noise")).over(before), F.lit(0)).alias("base"))
     nth = F.row_number().over(Window.partitionBy(*GROUP, F.col("local") < 0).orderBy(*ORDER)) - 1
     rows = local.withColumn("_nth", nth).join(bases, GROUP)
@@ -55,7 +73,7 @@ def unique_labels(local: DataFrame) -> DataFrame:
 
 def cluster(encoded: DataFrame, s: Settings) -> DataFrame:
     """CLUSTERED rows, with ``spec_index`` beside them. All charges go in one job."""
-    out = unique_labels(local_labels(grouped(encoded, s), s))
+    out = unique_labels(local_labels(parted(grouped(encoded, s), s), s))
     return out.select("bucket", "precursor_charge", "precursor_mz", "identifier", "scan", "retention_time", "cluster", "is_representative", "spec_index")
 
 

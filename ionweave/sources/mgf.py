@@ -52,10 +52,15 @@ def read_mgf(spark: SparkSession, path: str, pattern: str = "*.mgf") -> DataFram
     place of the split in units of 1 KiB above, the row in its task in the lower 33 bits; files are under a tebibyte.
     """
     blocks = spark.read.option("lineSep", START).option("pathGlobFilter", pattern).text(path)
-    place = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 10), 33)
+    return spectra_of(blocks.select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("file_block_start")))
+
+
+def spectra_of(blocks: DataFrame) -> DataFrame:
+    """RAW spectra of blocks (value, file_name, file_block_start)."""
+    place = F.shiftleft(F.shiftright(F.col("file_block_start"), 10), 33)
     rows = blocks.select(
         "value",
-        F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("identifier"),
+        F.regexp_replace("file_name", r"\.[^.]*$", "").alias("identifier"),
         place.bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("spec_index"),
     )
     found = parse_blocks(rows)

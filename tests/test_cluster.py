@@ -43,7 +43,7 @@ def test_labels_are_dense_and_blocks_change_nothing(spark, algorithm):
         assert set(labels) == set(range(max(labels) + 1))
         reps = [got[r[1]]["cluster"] for r in rows if r[2] == z and got[r[1]]["is_representative"]]
         assert sorted(reps) == sorted(set(labels))
-    whole = {r["spec_index"]: r["local"] for r in local_labels(df.selectExpr("*", "0 as block"), s).collect()}
+    whole = {r["spec_index"]: r["local"] for r in local_labels(df.selectExpr("*", "0 as block", "'' as part"), s).collect()}
     for own in by_bucket(rows).values():
         ids = [r[1] for r in own]
         a = partition([whole[i] for i in ids])
@@ -70,6 +70,21 @@ def test_distributed_components_equal_the_kernel(spark):
         assert all(min(v) == k for k, v in mine.items())
 
 
+@pytest.mark.parametrize("algorithm", ["dbscan", "hc_single"])
+def test_large_blocks_go_by_components(spark, algorithm):
+    df, rows = encoded(spark, seed=8)
+    s = replace(S, cluster_alg=algorithm)
+    ids = [r[1] for r in rows]
+    flags = lambda got: {i: got[i]["is_representative"] for i in ids}
+    a = {r["spec_index"]: r for r in cluster(df, s).collect()}
+    b = {r["spec_index"]: r for r in cluster(df, replace(s, max_group=3)).collect()}
+    for z in (2, 3):
+        own = [r[1] for r in rows if r[2] == z]
+        assert partition([a[i]["cluster"] for i in own]) == partition([b[i]["cluster"] for i in own])
+        assert {b[i]["cluster"] for i in own} == set(range(max(b[i]["cluster"] for i in own) + 1))
+    assert flags(a) == flags(b)
+
+
 def test_compat_and_wide_threshold_take_whole_buckets(spark):
     df, _ = encoded(spark, 30)
     for s in (replace(S, compat=True), replace(S, eps=1.0)):

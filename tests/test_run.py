@@ -46,3 +46,21 @@ def test_run_finds_the_kinds_and_resumes(spark, folder, tmp_path):
 def test_compat_runs(spark, folder, tmp_path):
     s = Settings(input_filepath=str(folder), output_filename=str(tmp_path / "c"), eps=0.3, compat=True, representative_mgf=True, cluster_alg="hc_average")
     assert run(spark, s).count() == 120
+
+
+def test_stream_encodes_new_files_once(spark, folder, tmp_path):
+    import shutil
+
+    from ionweave.operators.clean import clean
+    from ionweave.operators.encode import encode
+    from ionweave.streaming.ingest import encode_stream
+
+    top = tmp_path / "in"
+    top.mkdir()
+    s = Settings(input_filepath=str(top))
+    for k, name in enumerate(("a.mgf", "b.mgf")):
+        shutil.copy(folder / name, top / name)
+        encode_stream(spark, s, str(tmp_path / "hv"), str(tmp_path / "state")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "hv")).count() == 60 * (k + 1)
+    key = lambda df: sorted((r["identifier"], r["spec_index"], tuple(r["hv"])) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "hv"))) == key(encode(clean(read_mgf(spark, str(folder)), s), s))
