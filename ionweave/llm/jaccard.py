@@ -397,3 +397,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+listed AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+          ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM listed),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM listed),
+met AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM shingles AS a JOIN shingles AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT i, j FROM met JOIN sizes AS x ON x.doc_id = i JOIN sizes AS y ON y.doc_id = j WHERE 100 * o >= 75 * (x.n + y.n - o)),
+both_ways AS (SELECT i, j FROM linked UNION ALL SELECT j, i FROM linked),
+reach(id, o) AS (SELECT DISTINCT i, i FROM both_ways UNION SELECT r.id, b.j FROM reach AS r JOIN both_ways AS b ON r.o = b.i),
+smallest AS (SELECT id, min(o) AS component FROM reach GROUP BY id)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(l.component, s.doc_id) AS component_id FROM sizes AS s LEFT JOIN smallest AS l ON l.id = s.doc_id
+"""

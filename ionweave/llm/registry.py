@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ionweave.llm import licenses, linededup
+from ionweave.llm import jaccard, licenses, linededup, topk
 from ionweave.llm.bpe import op6_bpe
 from ionweave.llm.jaccard import op4_jaccard
 from ionweave.llm.licenses import op8_licenses
@@ -26,5 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op8_licenses": licenses.ORACLE, "op9_line_dedup": linededup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_topk": topk.ORACLE, "op4_jaccard": jaccard.ORACLE, "op8_licenses": licenses.ORACLE, "op9_line_dedup": linededup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
