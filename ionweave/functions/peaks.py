@@ -67,9 +67,16 @@ def most_intense(peaks, k: int, min_share: float = 0.0) -> Column:
     return F.array_sort(F.transform(kept, lambda x: F.struct(x["mz"].alias("mz"), (-x["i"]).alias("intensity"))))
 
 
-def scale(peaks, scaling: str, max_rank: int | None = None, degree: int = 2, base: int = 2) -> Column:
-    """Intensities by their root, logarithm or rank (``max_rank`` for the most intense, down by one); 'off' leaves them."""
+def scale(peaks, scaling: str, max_rank: int | None = None, degree: int = 2, base: int = 2, max_intensity: float | None = None) -> Column:
+    """Intensities by their root, logarithm or rank (``max_rank`` for the most intense, down by one); 'off' leaves them.
+    Then, with ``max_intensity``, so that the highest is that."""
     p = _col(peaks)
+    if max_intensity is not None:
+        def to_top(q: Column) -> Column:
+            top = F.array_max(q["intensity"])
+            return F.transform(q, lambda x: F.struct(x["mz"].alias("mz"), F.try_divide(x["intensity"] * float(max_intensity), top).alias("intensity")))
+
+        return let(scale(p, scaling, max_rank, degree, base), to_top)
     if scaling == "off":
         return p
     of = {"root": lambda i: F.pow(i, F.lit(1.0 / degree)), "log": lambda i: F.log1p(i) / math.log(base)}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +48,53 @@ def parted(blocked: DataFrame, s: Settings) -> DataFrame:
 
 
 def local_labels(blocked: DataFrame, s: Settings) -> DataFrame:
-    """Labels in each group (-1: noise) and representatives. One shuffle; a group is in one task, as linkage needs it."""
+    """Labels in each group (-1: noise) and representatives. One shuffle; a group is in one task, as linkage needs it.
+
+    Groups are mostly small and many, so they stream through a task in order, one batch of rows at a time, rather than one
+    data frame each: a task holds a batch and the group that the batch ends in.
+    """
     ship(blocked.sparkSession)
     algorithm, eps, tol, unit, rt_tol, do_refine, compat = s.cluster_alg, s.eps, *s.precursor_tol, s.rt_tol, s.refine, s.compat
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, kind="stable", na_position="first")
-        hv = np.stack([np.asarray(x, dtype=np.int64) for x in pdf["hv"]]).view(np.uint64)
-        labels, flags = kernels.cluster_group(hv, pdf["precursor_mz"].to_numpy(np.float64), pdf["retention_time"].to_numpy(np.float64), algorithm, eps, tol, unit, rt_tol, do_refine, compat)
-        return pdf.drop(columns="hv").assign(local=labels, is_representative=flags)
-
     columns = [*GROUP, *ORDER, "precursor_mz", "scan", "retention_time"]
-    return blocked.select(*columns, "hv").groupBy(*GROUP).applyInPandas(run, _LOCAL)
+
+    def labelled(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """The rows of whole groups, which begin at ``starts``, with their labels."""
+        ends = np.append(starts[1:], len(rows))
+        local, flags = np.full(len(rows), -1, dtype=np.int64), np.ones(len(rows), dtype=bool)
+        hv = rows.column("hv").combine_chunks()
+        words = hv.flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+        mz, rt = (rows.column(c).to_numpy().astype(np.float64) for c in ("precursor_mz", "retention_time"))
+        for k in np.flatnonzero(ends - starts > 1):
+            own = slice(starts[k], ends[k])
+            local[own], flags[own] = kernels.cluster_group(words[own], mz[own], rt[own], algorithm, eps, tol, unit, rt_tol, do_refine, compat)
+        done = rows.select(columns).append_column("local", pa.array(local)).append_column("is_representative", pa.array(flags))
+        return done.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = _starts(rows)
+            if len(starts) > 1:
+                yield labelled(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield labelled(held, np.zeros(1, dtype=np.int64))
+
+    return blocked.select(*columns, "hv").repartition(*GROUP).sortWithinPartitions(*GROUP, *ORDER).mapInArrow(run, _LOCAL)
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where groups begin in ordered rows."""
+    fresh = np.zeros(len(rows), dtype=bool)
+    fresh[0] = True
+    for c in GROUP:
+        column = rows.column(c).combine_chunks()
+        fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(fresh)
 
 
 def unique_labels(local: DataFrame) -> DataFrame:

@@ -47,6 +47,7 @@ def test_scaling_and_norm(spark):
     assert [x[1] for x in one(spark, P.scale("peaks", "root"), p)] == [2, 3, 1]
     assert [x[1] for x in one(spark, P.scale("peaks", "log"), p)] == pytest.approx([math.log2(5), math.log2(10), 1])
     assert [x[1] for x in one(spark, P.scale("peaks", "rank", 50), p)] == [49, 50, 48]
+    assert [x[1] for x in one(spark, P.scale("peaks", "root", max_intensity=6.0), p)] == [4, 6, 2]
     with pytest.raises(Exception, match="max_rank"):
         one(spark, P.scale("peaks", "rank", 2), p)
     assert sum(x[1] ** 2 for x in one(spark, P.unit_norm("peaks"), p)) == pytest.approx(1)
