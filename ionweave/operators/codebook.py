@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -44,10 +45,14 @@ def bin_signs(dim: int, n: int, flip: float, rng: np.random.RandomState) -> np.n
 
 
 def build(s: Settings) -> Codebook:
-    """The codebook of the settings; its size depends on them only (7 MB by default), so it may be broadcast."""
-    rng = np.random.RandomState(s.seed)
-    levels = pack(level_signs(s.hd_dim, s.hd_Q, rng))
-    n = bin_count(s.min_mz or 0.0, s.max_mz or 2000.0, s.fragment_tol)
-    if s.mz_binning == "unit":
-        n = max(n, int(s.max_mz or 2000.0) + 1)
-    return Codebook(levels, bin_signs(s.hd_dim, n, s.hd_id_flip_factor, rng), s.hd_dim)
+    """The codebook of the settings. Its size depends on them only (under 10 MB by default), so it may be broadcast."""
+    n = int(s.max_mz or 2000.0) + 1 if s.mz_binning == "unit" else bin_count(s.min_mz or 0.0, s.max_mz or 2000.0, s.fragment_tol)
+    return _build(s.hd_dim, s.hd_Q, n, s.hd_id_flip_factor, s.seed)
+
+
+@lru_cache(maxsize=4)
+def _build(dim: int, q: int, n: int, flip: float, seed: int) -> Codebook:
+    # vectors of bins are a chain, so more of them begin with the same ones
+    rng = np.random.RandomState(seed)
+    levels = pack(level_signs(dim, q, rng))
+    return Codebook(levels, bin_signs(dim, n, flip, rng), dim)
