@@ -146,16 +146,16 @@ def commonness(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     return np.append(sketch, np.float32(max(2.0, 3 * noise)))
 
 
-def levels(s: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def levels(s: np.ndarray, sketch: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """The level of each element, 0 if the sketch can't tell it from rare ones, then one more for each doubling of its
-    documents; and its salts, so that some ``HOT`` of its documents go to each, 0 if they are fewer in all."""
+    documents; and its salts, so that some ``hot`` of its documents go to each, 0 if they are fewer in all."""
     place, sign = sketch_places(s)
     estimate = np.median(sketch[place] * sign, axis=0)
     level = np.floor(np.log2(np.maximum(estimate / sketch[-1], 1))).astype(np.int64)
-    return level, np.where(estimate > HOT, 2 * estimate // HOT, 0).astype(np.int32)
+    return level, np.where(estimate > hot, 2 * estimate // hot, 0).astype(np.int32)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sketch) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sketch, hot: int = HOT) -> DataFrame:
     """(id, n, f1, f2, lead, salts, bits): set size, fingerprint of the set, leading elements and the salts of each, and 1024 bits
     of which each element of the set turns one over."""
 
@@ -169,7 +169,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                 dealt = np.zeros(0, dtype=np.int32)
                 turned = np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
                 if s.size:
-                    level, dealt = levels(s, sketch.value)
+                    level, dealt = levels(s, sketch.value, hot)
                     first = np.lexsort((s, level))[: len(s) - needed(len(s), percent) + 1]
                     s, dealt = s[first], dealt[first]
                 lead.append(s.view(np.int64))
@@ -329,13 +329,13 @@ def asking(queries: DataFrame, sizes: DataFrame) -> DataFrame:
     return queries.join(sizes.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("asks"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, block_size: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, block_size: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(id, n_shingles, component_id) of each row. ``percent`` is the least similarity, ``k`` the words of a shingle (64 at most)."""
     spark = docs.sparkSession
     if not 0 < percent <= 100 or not 0 < k <= 64:
         raise ValueError("percent is 1 to 100, k is 1 to 64")
     sketch = spark.sparkContext.broadcast(commonness(docs, text_col, k))
-    signed = cut(signatures(docs, id_col, text_col, k, percent, sketch), "signatures")
+    signed = cut(signatures(docs, id_col, text_col, k, percent, sketch, hot), "signatures")
     classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lead", "salts", "bits")).alias("x"))
     classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), F.arrays_zip("x.lead", "x.salts").alias("lead"), "x.bits"), "classes")
     spill_freed(spark)
