@@ -36,9 +36,10 @@ def parted(blocked: DataFrame, s: Settings) -> DataFrame:
     There a part is a component, found by distributed joins over pairs, so that a task's group is a component and not the block.
     Complete and average linkage have no such parts and take a block whole.
     """
-    whole = blocked.withColumn("part", F.lit(""))
     if s.cluster_alg not in ("dbscan", "hc_single") or s.compat:
-        return whole
+        return blocked.withColumn("part", F.lit(""))
+    blocked = cut(blocked, "blocked")  # it is read for its sizes and again for its rows
+    whole = blocked.withColumn("part", F.lit(""))
     large = cut(blocked.groupBy(*BLOCK).agg(F.count("*").alias("_n")).filter(F.col("_n") > s.max_group).drop("_n"), "large")
     if large.isEmpty():
         return whole
