@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ionweave.llm.caching import Memo
-from ionweave.llm.common import table
+from ionweave.llm.common import parts, table
 
 #: White space as Unicode has it. Python's own class also has the four separators 1C to 1F, the tokenizers' has not.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -243,10 +243,11 @@ def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(_strings(vocab))
-        for b in batches:
+        for b in parts(batches):
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             ids = pa.array(list(bpe.encode_all(texts)), type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out_col])
+        bpe.memo.clear()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
@@ -262,7 +263,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = loaded(_strings(vocab))
         digits = [str(i) for i in range(len(bpe.bytes_of))]
         sha = hashlib.sha256
-        for b in batches:
+        for b in parts(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
             n, ids_sha, text_sha = [], [], []
             for ids in bpe.encode_all(texts):
@@ -270,6 +271,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids_sha.append(sha(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(sha(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=names)
+        bpe.memo.clear()
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
     kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType()]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ionweave.session import cut, shared_dir, ship
 
-__all__ = ["LOWER", "cut", "fresh", "shared_dir", "ship", "spill_freed", "table", "words_of"]
+__all__ = ["LOWER", "cut", "fresh", "parts", "shared_dir", "ship", "spill_freed", "table", "words_of"]
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -37,3 +40,10 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

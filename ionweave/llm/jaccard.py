@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions.hamming import bits_apart
-from ionweave.llm.common import LOWER, cut, fresh, spill_freed, table
+from ionweave.llm.common import LOWER, cut, fresh, parts, spill_freed, table
 from ionweave.operators.components import components
 
 #: Counters a row of the sketch; with three rows of four bytes it is 3 MB, whatever the input.
@@ -45,7 +45,7 @@ BLOCK = 2048
 MARKS = 1 << 25
 #: Documents of one element that a task is to take.
 HOT = 20_000
-SLICE = 1_000_000
+SLICE = 100_000
 _rng = np.random.RandomState(20240131)
 _odd = lambda n: _rng.randint(0, 2**32, n).astype(np.uint64) << np.uint64(32) | _rng.randint(0, 2**32, n).astype(np.uint64) | np.uint64(1)
 _BYTE, _PLACE, _SHORT, _SALT = _odd(256), _odd(64), _odd(64), _odd(4)
@@ -128,7 +128,7 @@ def commonness(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ROWS * BUCKETS, dtype=np.int64)
-        for b in batches:
+        for b in parts(batches):
             for s in shingle_sets(b.column(0).to_pylist(), k):
                 if s.size:
                     place, sign = sketch_places(s)
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     of which each element of the set turns one over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             n, f1, f2, lead, salts, bits = [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -290,14 +290,14 @@ def searched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k:
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of documents that may be wanted; the join that follows leaves those that are."""
-        for b in batches:
+        for b in parts(batches):
             b = b.filter(pa.array(named_by(b.column(0), named.value)))
             sets = pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), k)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["_id", "elements"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, sets, index = None, [], [], None
-        for b in batches:
+        for b in parts(batches):
             out: list[tuple[int, int]] = []
             for q, salt, asks, i, elements in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 if (q, salt) != block:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ionweave.llm.common import table
+from ionweave.llm.common import parts, table
 from ionweave.llm.words import loaded
 
 
@@ -160,7 +160,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow, strict=True)], names=names)
 
         done: list[list[Piece]] = []
-        for b in batches:
+        for b in parts(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
             heads = words.encode_all([x or "" for x in b.column(2).to_pylist()]) if prompt_col else iter([b""] * len(texts))
             for row, head, ids in zip(b.column(0).to_pylist(), heads, words.encode_all(texts), strict=True):
@@ -171,6 +171,7 @@ def pack(
                     if len(done) >= 256:
                         yield out(done)
                         done = []
+        words.memo.clear()
         for s in packer.flush():
             done.append(s)
             if len(done) >= 256:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionweave.llm.common import cut, table, words_of
+from ionweave.llm.common import parts as small
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -117,7 +118,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ranks:
         import public_tokenizers as public
 
         bytelevel, fallback, bytewise = vocabularies(ranks or public.path("byte_bpe_multi_50k.tiktoken"), pieces or public.path("piece_bpe_32k.model"))
-        for b in batches:
+        for b in small(batches):
             rows = []
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = text or ""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ionweave.llm.common import cut, fresh, table
+from ionweave.llm.common import cut, fresh, parts, table
 
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 INSULT_WEIGHT = 5.0
@@ -185,7 +185,7 @@ def learn(
             return pa.RecordBatch.from_arrays([pa.array(list(held)), *(pa.array([v[k] for v in held.values()]) for k in range(4))], names=["stem", "clean0", "toxic0", "clean3", "toxic3"])
 
         rows = [0] * 4
-        for b in batches:
+        for b in parts(batches):
             for t, y, part in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 rows[2 * part + y] += 1
                 for s in {s for w in set(_WORD.findall(fold(t or ""))) if len(w) > 2 for s in stems(w)}:
@@ -216,7 +216,7 @@ def learn(
     first = Model(chosen((0,)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             total, words = first.measures(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(words), b.column(1)], names=["total", "words", "y"])
 
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """``docs`` with a score for each row, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             got = pa.array(model.scores(b.column(text_col).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, out_col])
 
