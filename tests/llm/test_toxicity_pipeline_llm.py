@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -76,6 +77,19 @@ def test_held_out_rows_are_found(spark, tables):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held if r["doc_id"] in truth) / len(held) > 0.97
 
 
+def test_held_out_labels_teach_nothing(spark):
+    rows, labels = corpus(400)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    models = []
+    for turn in (False, True):
+        frame = spark.createDataFrame([(i, 1 - y if turn and held(i) else y) for i, _, y in labels], "doc_id long, toxic int")
+        models.append(learn(docs, frame))
+    without = learn(docs, spark.createDataFrame([(i, y) for i, _, y in labels if not held(i)], "doc_id long, toxic int"))
+    assert sum(held(i) for i, *_ in labels) > 80
+    assert models[0].weights == models[1].weights == without.weights and models[0].curve == models[1].curve == without.curve
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "you idiot moron", 2), (2, "a fine day", 3)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
