@@ -11,7 +11,7 @@ vector blocks and query blocks are shuffled to each other by block numbers, and
 
 Edge cases: vectors that are null, empty, of another length than ``dims``, or hold null or non-finite components, and rows without an id take
 no part. A query with fewer than k candidates gets them all. Equal vectors tie and are ordered by id; rows that repeat an id
-are candidates each and one query, by their smallest vector; no row with the query's own id is its candidate. Other columns are not read. An empty table gives no rows.
+are candidates each and one query, by their smallest vector; scores beyond a long are undefined and may be left out; no row with the query's own id is its candidate. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def top_k(
     if fact is None or not fact["q"]:
         return df.sparkSession.createDataFrame([], out)
     base = base.filter(F.size("v") == fact["d"])
-    bound = int(fact["norm"]) + 1
+    bound = min(int(fact["norm"]) + 1, 2**62)  # beyond it, scores are no longs
     n_v, n_q = max(1, -(-fact["n"] // vector_block)), max(1, -(-fact["q"] // query_block))
     vectors = base.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_v)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     queries = base.filter(is_query).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_q)).cast("int").alias("qb"))

@@ -42,7 +42,8 @@ _ALIKE = {
 _OTHER = re.compile("[ıɑɡͰ-ϿЀ-ӿ！-～]")
 _MAP = {ord(a): b for a, b in _ALIKE.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _DIGITS = str.maketrans("013457@$!", "oieastasi")
-_MIXED = re.compile(r"[^\W\d_]*(?:[013457@$!]+[^\W\d_]+)+")
+#: Words with such signs, from their first letter or sign; possessive, so that a long run is read once.
+_MIXED = re.compile(r"(?<![^\W\d_])(?<![013457@$!])[^\W\d_]*+(?:[013457@$!]++[^\W\d_]++)++")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -174,7 +175,6 @@ def learn(
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).filter("_y = _most and _y in (0, 1)").drop("_most")
     known = known.withColumn("_fold", fold_of("_id")).filter("_fold <> 2")
-
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).select("_id", "_y", (F.col("_fold") == 3).cast("int").alias("_part"))
     taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y", "_part")
 

@@ -49,3 +49,8 @@ def test_one_vector_repeated(spark):
 def test_empty_and_single(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
+
+
+def test_huge_components_do_not_stop_it(spark):
+    got = run(spark, [(0, [3.0e38, 1.0]), (5, [1.0, 2.0]), (7, [-3.0e38, 0.0])])
+    assert {(q, v) for q, _, v, _ in got} <= {(0, 5), (0, 7), (5, 0), (5, 7)}

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -17,6 +18,14 @@ def test_folding():
     assert fold("") == ""
 
 
+def test_long_runs_are_read_once():
+    began = time.process_time()
+    for text in ("a" * 300_000, "!" * 300_000, "1" * 300_000, "a1" * 150_000, "idiot" * 60_000):
+        fold(text)
+        Matcher(default_weights(), ()).measure(text)
+    assert time.process_time() - began < 20
+
+
 def test_matches_count_once_a_word_and_exceptions_do_not():
     m = Matcher({" idi": 2.0, f" {fold('idiot')} ": 5.0, f" {fold('clown')} ": 4.0}, ("clown fish",))
     assert m.measure("An idiot, idiom.") == (7.0, 3)
