@@ -1,10 +1,12 @@
 """Personal data by patterns, and terms that give protected entities away, with DataFrame functions only.
 
 Base spans are emails, IP addresses, card and phone numbers. The method adds terms: every value found is a protected entity c with
-information content IC(c) = -log2 p(c), p(c) being its share of all documents. A term t near it discloses
-PMI(c; t) = log2(p(c | t) / p(c)) of that. Where a term occurs with an entity in at least ``support`` different contexts, and
-PMI / IC reaches ``generalise``, it is generalised in the documents that hold the entity, and removed where it reaches ``remove``.
-Copies of one context count once, so what stands near an entity only because a document was copied is left alone.
+information content IC(c) = -log2 p(c), p(c) being its share of all documents. A term t of a document that holds c, however far
+from it, discloses PMI(c; t) = log2(p(c | t) / p(c)) of that. In place of p(c | t) stands its lower confidence bound (Wilson's, one-sided at
+80 %), so that an entity or term of few documents counts with what few documents show; there is no least number. Where PMI / IC
+reaches ``generalise``, a term is generalised in the documents that hold the entity, and removed where it reaches ``remove``.
+Equal texts are all counted, but are one observation to the bound, so what stands near an entity only because its whole document was
+copied discloses no more than one document does; a block repeated in different documents counts with each.
 
 Regular expressions are possessive and anchored behind a non-member (or the end of the match before), so that each gives the
 matches of its plain form in time that is linear in the text. Positions come from the pieces between matches, in code points.
@@ -27,11 +29,11 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-WORD = r"(?<!\p{L})\p{L}{3,}+"
+WORD = r"(?<!\p{L})\p{L}++"
 #: Matches whose positions are summed at a time.
 RUN = 64
-#: Code points on each side of a value that are its context.
-NEAR = 100
+#: Standard deviations of the one-sided bound of 80 %.
+Z = 0.8416
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -106,53 +108,57 @@ def joined(spans: Column) -> Column:
 
 
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, spans, text): every row once, written; the text stays only with rows that have spans."""
+    """(id, spans, text, copy): every row once, written; the text stays only with rows that have spans, 128 bits of its hash if they have an id too."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    return cut(rows.select("id", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "base")
-
-
-def contexts(base: DataFrame) -> DataFrame:
-    """(entity, id, context): the words near each value, values themselves blanked."""
-    x = base.filter((F.size("spans") > 0) & F.col("id").isNotNull()).select("id", "text", F.explode("spans").alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") - NEAR + 1), F.least(F.lit(NEAR), F.col("s.start")))
-    near = F.concat(left, F.lit(" \n "), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(NEAR)))
-    for p in (EMAIL, CARD, PHONE, IP):
-        near = F.regexp_replace(near, p, " ")
-    # words that the edges of the context cut are no words of it
-    near = F.when(F.col("s.start") > NEAR, F.regexp_replace(near, r"^\p{L}+", "")).otherwise(near)
-    near = F.when(F.col("s.end") + NEAR < F.char_length("text"), F.regexp_replace(near, r"\p{L}+$", "")).otherwise(near)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(WORD), F.lit(0)))
-    return x.select(F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind")), F.lower("s.value")).alias("entity"), "id", words.alias("context"))
-
-
-def disclosing(docs: DataFrame, base: DataFrame, text_col: str, support: int, generalise: float) -> DataFrame:
-    """(entity, term, disclosed): terms that disclose at least ``generalise`` of an entity's information content.
-
-    Contexts, then (entity, term) pairs and words are counted with partial aggregation; only pairs with enough support
-    meet the words' counts."""
-    near = cut(contexts(base), "contexts")
-    entities = near.groupBy("entity").agg(F.count_distinct("id").alias("n_c")).filter(F.col("n_c") >= support)
-    different = near.groupBy("entity", "context").agg(F.count_distinct("id").alias("held"))
-    pairs = different.select("entity", F.explode("context").alias("term"), "held").groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("held").alias("held"))
-    pairs = cut(pairs.filter(F.col("contexts") >= support), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("word"))
-    # an inner join with distinct terms: a semi join would be moved below the counting, where it meets every word
-    counts = words.groupBy("word").agg(F.count("*").alias("n_t")).join(pairs.select(F.col("term").alias("word")).distinct(), "word")
-    all_in = pairs.join(entities, "entity").join(counts.withColumnRenamed("word", "term"), "term")
-    p_c = F.try_divide(F.col("n_c"), F.lit(docs.count()))
-    disclosed = F.try_divide(F.log2(F.try_divide(F.least(F.lit(1.0), F.try_divide("held", "n_t")), p_c)), -F.log2(p_c))
-    return all_in.filter(p_c < 1).select("entity", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= generalise)
-
-
-def all_spans(docs: DataFrame, id_col: str, text_col: str, support: int = 3, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
+    has = F.size("spans") > 0
+    return cut(rows.select("id", "spans", F.when(has, F.col("text")).alias("text"), F.when(has & F.col("id").isNotNull(), F.unhex(F.substring(F.sha2("text", 256), 1, 32))).alias("copy")), "base")
+
+
+def holders(base: DataFrame) -> DataFrame:
+    """(id, copy, entities, words) of rows with values: the values, and all distinct words of the whole text but those within emails."""
+    names = F.array(*map(F.lit, KINDS))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), F.lower(s["value"]))))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", EMAIL, " ")), F.lit(WORD), F.lit(0)))
+    return base.filter("copy IS NOT NULL").select("id", "copy", entities.alias("entities"), words.alias("words"))
+
+
+def bound(p: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share p of n observations."""
+    return F.try_divide(p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n)
+
+
+def disclosing(docs: DataFrame, base: DataFrame, text_col: str, generalise: float, remove: float, z: float) -> DataFrame:
+    """(copy, terms): for each text, its terms that disclose at least ``generalise`` of the information content of an entity in it.
+
+    Words are counted with partial aggregation. As p(c | t) is at most n_c / n_t, a term of more than N^(1 - g) n_c^g documents can't
+    disclose g of c; such pairs are left out before they are counted, which changes no result.
+    """
+    held = cut(holders(base), "holders")
+    n_docs = docs.count()
+    copies = held.groupBy("copy").agg(F.count_distinct("id").alias("rows"))
+    entities = held.select("copy", F.explode("entities").alias("entity")).distinct().join(copies, "copy")
+    n_c = cut(entities.groupBy("entity").agg(F.sum("rows").alias("n_c")), "entities")
+    most = n_c.agg(F.max("n_c")).first()[0] or 0
+    limit = lambda c: 1.000001 * F.pow(F.lit(float(n_docs)), F.lit(1 - generalise)) * F.pow(c, F.lit(generalise))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
+    # the filter on a count keeps the join below from moving under the counting, where it meets every word
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= limit(F.lit(float(most))))
+    terms = held.select("copy", F.explode("words").alias("term")).distinct().join(counts, "term")
+    pairs = cut(entities.join(n_c, "entity").join(terms, "copy").filter(F.col("n_t") <= limit(F.col("n_c"))), "pairs")
+    both = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("rows").alias("held"), F.count("*").alias("texts"))
+    p_c = F.col("n_c") / F.lit(max(1, n_docs))
+    p = F.least(F.lit(1.0), F.try_divide("held", "n_t"))
+    disclosed = F.try_divide(F.log2(bound(p, F.col("n_t") * F.col("texts") / F.col("held"), z) / p_c), -F.log2(p_c))
+    found_out = both.filter(p_c < 1).select("entity", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= generalise)
+    by_text = pairs.join(found_out, ["entity", "term"]).groupBy("copy", "term").agg((F.max("disclosed") >= remove).alias("hard"))
+    return by_text.groupBy("copy").agg(F.collect_list(F.struct("term", "hard")).alias("terms"))
+
+
+def all_spans(docs: DataFrame, id_col: str, text_col: str, generalise: float = 0.9, remove: float = 0.97, z: float = Z) -> DataFrame:
     """(id, spans, more): base spans and term spans of every row."""
     base = with_base(docs, id_col, text_col)
-    terms = disclosing(docs, base, text_col, support, generalise)
-    terms = cut(terms.groupBy("entity").agg(F.collect_set(F.struct("term", (F.col("disclosed") >= remove).alias("hard"))).alias("terms")), "terms")
-    name = F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind"))
-    has = base.filter((F.size("spans") > 0) & F.col("id").isNotNull()).select("id", F.explode("spans").alias("s")).select("id", F.concat_ws(":", name, F.lower("s.value")).alias("entity")).distinct()
-    per_doc = has.join(terms, "entity").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).withColumnRenamed("id", "_id")
-    met = base.join(per_doc, F.col("id") == F.col("_id"), "left")
+    terms = cut(disclosing(docs, base, text_col, generalise, remove, z), "terms").withColumnRenamed("copy", "_copy")
+    met = base.join(terms, F.col("copy") == F.col("_copy"), "left")
 
     def of(hard: bool, kind: int) -> Column:
         some = F.array_sort(F.transform(F.filter("terms", lambda t: t["hard"] == hard), lambda t: t["term"]))

@@ -65,6 +65,20 @@ def test_terms_that_disclose_are_spans_and_copies_alone_are_not(spark):
     assert all(not got[i]["more"] for i in got if i < 1000 or i >= 2000)
 
 
+def test_terms_of_entities_in_one_or_two_documents_far_off_or_in_repeated_blocks(spark):
+    rnd = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
+    far = " ".join(rnd.choice(words) for _ in range(200))
+    block = "yours Wu Ferdinando mail f@example.com"
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(40))) for i in range(3000)]
+    docs += [(5000, f"Zebulon {far} z@example.com")] + [(5100 + i, f"{far} {rnd.choice(words)} Li {far} l@example.com") for i in range(2)]
+    docs += [(6000 + i, f"{' '.join(rnd.choice(words) for _ in range(30))} {block}") for i in range(20)]
+    got = {r["id"]: {x["value"].lower() for x in r["more"]} for r in L.all_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[5000] == {"zebulon"} and got[5100] == got[5101] == {"li"}
+    assert all(got[6000 + i] == {"yours", "wu", "ferdinando", "mail"} for i in range(20))
+    assert not any(got[i] for i in range(3000))
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     rows = [*[(i, t, 7) for i, t in corpus()], (5000, None, 1), (5001, "", 2), (None, "mail a@b.co or +1 (555) 123-4567", 3), (None, "mail a@b.co or +1 (555) 123-4567", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
