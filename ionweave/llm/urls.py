@@ -5,11 +5,13 @@ Pages that a rule decides are the labelled ones. Over all pages, each host has a
 
 * a segment that is a number (with or without an ending) or a hexadecimal name is a wildcard; so are all segments at a place where they are mostly different;
 * of the branches at one place, labelled ones whose share of blocked pages does not differ from that of all labelled branches there by
-  more than chance (a two-proportion test) merge into the wildcard.
+  more than chance (a two-proportion test) merge into the wildcard; a single labelled branch stands for itself;
+* a branch without labels merges with these if it is built like them: neither its number of pages nor the shares of its pages that end
+  there, or go on with a wildcard, differ from theirs by more than chance.
 
 A template is a page's path with these replacements, up to ``depth`` segments. It is rejected if its labelled purity, smoothed by
-the corpus' share of blocked pages, reaches ``purity``; pages without a rule get its verdict. Templates without labels keep the
-corpus' share, so nothing is rejected without evidence.
+the corpus' share of blocked pages, reaches ``purity``; pages without a rule get its verdict. Templates without labels are allowed
+outright, whatever the corpus' share that they show as purity, so nothing is rejected without evidence.
 
 Only distinct (host, path) pairs go through the tree; every count combines before its shuffle, and a hot host or path is a
 few rows after that. Pages meet their path's template in a join that Spark splits where one is hot.
@@ -67,7 +69,9 @@ def judge(
     paths = cut(paths.withColumn("s", F.slice(F.transform(segments, shape), 1, depth)).withColumn("deeper", F.size(segments) > depth).withColumn("t", F.lit("")), "paths")
     for level in range(depth):
         here = paths.withColumn("seg", F.get("s", F.lit(level)))
-        nodes = here.filter("seg is not null").groupBy("host", "t", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        after = F.get("s", F.lit(level + 1))
+        built = (F.sum(F.when(after.isNull() & ~F.col("deeper"), F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(after == "*", F.col("n")).otherwise(0)).alias("wild"))
+        nodes = here.filter("seg is not null").groupBy("host", "t", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), *built)
         places = nodes.groupBy("host", "t").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.count_if(F.col("labelled") > 0).alias("labelled_kinds"))
         met = nodes.join(places, ["host", "t"])
         variable = (F.col("kinds") >= children) & (F.col("kinds") >= variety * F.col("all_n"))
@@ -75,20 +79,33 @@ def judge(
         rest = F.col("all_labelled") - F.col("labelled")
         gap = F.abs(F.try_divide("blocked", "labelled") - F.try_divide(F.col("all_blocked") - F.col("blocked"), rest))
         chance = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest)))
-        alike = (F.col("labelled") > 0) & (F.col("labelled_kinds") > 1) & (gap <= z * chance)
+        alike = (F.col("labelled") > 0) & ((F.col("labelled_kinds") == 1) | F.coalesce(gap <= z * chance, F.lit(False)))
+        met = met.withColumn("variable", variable).withColumn("alike", alike)
+        agreed = met.filter("alike").groupBy(F.col("host").alias("_h"), F.col("t").alias("_t")).agg(F.count("*").alias("g"), *(F.sum(c).alias(f"g_{c}") for c in ("n", "ends", "wild")))
+        met = met.join(agreed, (F.col("host") == F.col("_h")) & (F.col("t") == F.col("_t")), "left").drop("_h", "_t")
+        mean = F.col("g_n") / F.col("g")
+        joins = (F.col("labelled") == 0) & (F.abs(F.col("n") - mean) <= z * F.sqrt(mean + mean / F.col("g")))
+        for c in ("ends", "wild"):
+            pooled = (F.col(c) + F.col(f"g_{c}")) / (F.col("n") + F.col("g_n"))
+            joins = joins & (F.abs(F.col(c) / F.col("n") - F.col(f"g_{c}") / F.col("g_n")) <= z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.col("g_n"))))
+        met = met.withColumn("joins", F.coalesce(joins, F.lit(False)))
+        # a single labelled branch becomes the wildcard only where another joins it
+        company = met.filter("joins").select(F.col("host").alias("_h"), F.col("t").alias("_t")).distinct().withColumn("joined", F.lit(True))
+        met = met.join(company, (F.col("host") == F.col("_h")) & (F.col("t") == F.col("_t")), "left").drop("_h", "_t")
+        merged = F.col("variable") | F.col("joins") | (F.col("alike") & ((F.col("labelled_kinds") > 1) | F.coalesce("joined", F.lit(False))))
         # written, as both sides of the join below read the paths
-        turned = cut(met.select(F.col("host").alias("_h"), F.col("t").alias("_t"), F.col("seg").alias("_s"), F.when(variable | F.coalesce(alike, F.lit(False)), "*").otherwise(F.col("seg")).alias("to")), "turned")
+        turned = cut(met.select(F.col("host").alias("_h"), F.col("t").alias("_t"), F.col("seg").alias("_s"), F.when(merged, "*").otherwise(F.col("seg")).alias("to")), "turned")
         step = here.join(turned, (F.col("host") == F.col("_h")) & (F.col("t") == F.col("_t")) & (F.col("seg") == F.col("_s")), "left")
         paths = cut(step.select("host", "path", "n", "labelled", "blocked", "s", "deeper", F.when(F.col("to").isNotNull(), F.concat("t", F.lit("/"), "to")).otherwise(F.col("t")).alias("t")), "paths")
     paths = paths.withColumn("template", F.when(F.col("deeper"), F.concat("t", F.lit("/**"))).otherwise(F.col("t")))
     corpus = paths.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     prior = F.lit((corpus["b"] or 0) / (corpus["l"] or 1))
     stats = paths.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    stats = stats.select("_h", "_t", ((F.col("b") + weight * prior) / (F.col("l") + weight)).alias("template_purity"))
-    named = paths.select("host", "path", "template").join(stats, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select(F.col("host").alias("_h"), F.col("path").alias("_p"), "template", "template_purity")
+    stats = stats.select("_h", "_t", ((F.col("b") + weight * prior) / (F.col("l") + weight)).alias("template_purity"), (F.col("l") > 0).alias("shown"))
+    named = paths.select("host", "path", "template").join(stats, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select(F.col("host").alias("_h"), F.col("path").alias("_p"), "template", "template_purity", "shown")
     named = cut(named, "templates")
     met = parsed.join(named, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return met.select(id_col, "host", "path", "rule", F.coalesce("said", F.when(F.col("template_purity") >= purity, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", F.round("template_purity", 6).alias("template_purity"))
+    return met.select(id_col, "host", "path", "rule", F.coalesce("said", F.when(F.col("shown") & (F.col("template_purity") >= purity), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", F.round("template_purity", 6).alias("template_purity"))
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,5 +54,16 @@ def test_alike_branches_merge_and_places_of_many_kinds_are_wildcards(spark):
     assert {t for u, t in got.items() if "v.org" in u} == {"/*"}
 
 
+def test_branches_without_labels_merge_with_labelled_ones_built_like_them(spark):
+    rules = (("x.org/es/", "block"), ("x.org/fr/", "block"), ("y.org/", "block"))
+    urls = [f"http://x.org/{b}/{k}" for b in ("es", "fr", "de") for k in range(10)] + [f"http://x.org/big/{k}" for k in range(90)] + [f"http://x.org/about/{w}" for w in ("us", "you", "them", "all", "it", "me", "we", "he", "she", "one")]
+    urls += [f"http://y.org/{k}" for k in range(200)] + ["http://z.org/only/1"]
+    got = {u: r for u, r in zip(urls, sorted(judge(frame(spark, urls), rules=rules).collect(), key=lambda r: r["page_id"]))}
+    assert {(got[f"http://x.org/de/{k}"]["template"], got[f"http://x.org/de/{k}"]["verdict"]) for k in range(10)} == {("/*/*", "block")}
+    assert {r["verdict"] for u, r in got.items() if "/big/" in u or "/about/" in u} == {"allow"}
+    # the corpus' share of blocked pages is 1, and says nothing of a template without labels
+    assert got["http://z.org/only/1"]["verdict"] == "allow"
+
+
 def test_empty(spark):
     assert judge(frame(spark, [])).count() == 0
