@@ -53,3 +53,12 @@ def test_verdicts(spark):
     assert not by[500]["base_failed"] and not by[500]["kept"]
     assert all(by[i]["base_failed"] and not by[i]["kept"] for i in (501, 502, 503, 504))
     assert judge(df.limit(0)).count() == 0
+
+
+def test_entropy_is_held_against_that_of_as_many_tokens(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, rnd.randint(40, 300)), "en") for i in range(200)]
+    rows += [(900, " ".join(rnd.choice("the river many house under".split()) for _ in range(120)), "en")]
+    by = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not by[900]["base_failed"] and not by[900]["kept"]
+    assert all(by[i]["kept"] for i in range(200))
