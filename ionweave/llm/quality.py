@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -107,13 +108,17 @@ def entropy_share(ids: np.ndarray) -> float:
     return float(max(0.0, -(p * np.log2(p)).sum()) / math.log2(ids.size))
 
 
-#: A run longer than this without white space is read in parts by the vocabularies, which take time beyond proportion to it.
+#: In very long texts, a run longer than this without white space is read in parts by the vocabularies, which take time beyond proportion to it.
 PART = 4000
+_RUN = re.compile(rf"\S{{{PART + 1},}}")
 
 
 def parts(text: str) -> list[str]:
-    """The text in parts that join to it; one part unless it is very long."""
-    return [text[i : i + PART] for i in range(0, len(text), PART)] if len(text) > 50 * PART else [text]
+    """The text in parts that join to it; one part unless it is very long and holds such a run. Nothing but these runs is cut."""
+    if len(text) <= 50 * PART:
+        return [text]
+    cuts = [i for m in _RUN.finditer(text) for i in range(m.start() + PART, m.end(), PART)]
+    return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ranks: str | None, pieces: str | None, langs: tuple[str, ...]) -> DataFrame:

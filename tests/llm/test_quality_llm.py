@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from ionweave.llm.quality import base_counts, judge, script_of
+from ionweave.llm.quality import base_counts, judge, parts, script_of
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -62,3 +62,10 @@ def test_entropy_is_held_against_that_of_as_many_tokens(spark):
     by = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not by[900]["base_failed"] and not by[900]["kept"]
     assert all(by[i]["kept"] for i in range(200))
+
+
+def test_very_long_texts_are_cut_only_in_long_runs():
+    words = "some words " * 30000
+    assert parts(words) == [words]
+    long = words + "x" * 9000 + " " + words
+    assert [len(p) for p in parts(long)] == [len(words) + 4000, 4000, 1001 + len(words)] and "".join(parts(long)) == long
