@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.session import cut
+from ionweave.session import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of each vertex that has a link; the component is its smallest vertex.
 
     Every round leaves at most as many edges as it found and is written; rounds grow as the logarithm of the longest
-    path. The driver sees a count and a checksum.
+    path. The driver sees a count and a checksum. ``discard`` of the result deletes the table it is read from.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges, before = cut(edges, "edges"), None
@@ -32,6 +32,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == now or not now[0]:
             break
         before = now
-        large = _star(edges, True).distinct()
-        edges = cut(_star(cut(large, "edges"), False).distinct(), "edges")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        large = cut(_star(edges, True).distinct(), "edges")
+        discard(edges)
+        edges = cut(_star(large, False).distinct(), "edges")
+        discard(large)
+    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out._ionweave_path = edges._ionweave_path
+    return out

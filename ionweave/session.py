@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,27 +26,46 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one of this machine only where none is set, as in tests."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder the cluster names. Where none is set, a temporary one, but only in local mode: on a cluster,
+    a folder of one machine would lose what other machines write."""
+    context = spark.sparkContext
+    got = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not got:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jvm_dir = context._jsc.sc().getCheckpointDir()
         got = jvm_dir.get() if jvm_dir.isDefined() else None
     if not got:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         got = tempfile.mkdtemp(prefix="ionweave-")
-        spark.sparkContext.setCheckpointDir(got)
+        context.setCheckpointDir(got)
     return got
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Later stages depend on stored files and not on an executor's memory or shuffle files, so a lost executor costs
-    its running tasks only. The files go when the session's JVM ends.
+    its running tasks only. The files go with ``discard``, at the latest when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ionweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ionweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once all that is made of them is written; other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "_ionweave_path", None)
+        if path:
+            files, place = _file_system(t.sparkSession, path)
+            files.delete(place, True)
