@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ionweave.session import cut, shared_dir, ship
+from ionweave.session import cut, discard, shared_dir, ship
 
-__all__ = ["LOWER", "cut", "fresh", "parts", "shared_dir", "ship", "spill_freed", "table", "words_of"]
+__all__ = ["LOWER", "cut", "discard", "fresh", "parts", "resident", "shared_dir", "ship", "spill_freed", "table", "words_of"]
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -47,3 +47,31 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+_resident: dict = {}
+
+
+def resident(key, make: Callable[[], object] = lambda: None):
+    """``make()``, kept by the worker until another key is asked for.
+
+    A worker that goes on to another stage needs the memory: what the one before loaded goes, also from the allocators.
+    """
+    if key not in _resident:
+        _resident.clear()
+        freed()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def freed() -> None:
+    """Give memory that is no longer used back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, without it
+        pass

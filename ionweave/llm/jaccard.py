@@ -26,21 +26,26 @@ gives no rows.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions.hamming import bits_apart
-from ionweave.llm.common import LOWER, cut, fresh, parts, spill_freed, table
+from ionweave.llm.common import LOWER, cut, discard, fresh, parts, resident, ship, spill_freed, table
 from ionweave.operators.components import components
 
 #: Counters a row of the sketch; with three rows of four bytes it is 3 MB, whatever the input.
 BUCKETS, ROWS = 1 << 18, 3
-#: Documents in one block of an index.
-BLOCK = 2048
+#: Documents in one block of an index, and queries that a task puts to it.
+BLOCK = 256
+#: Elements in one block of an index, where documents are long: 8 MB.
+ELEMENTS = 1 << 20
+#: Sizes are exact bands up to this; beyond it, bands are 1/50 wide.
+EXACT_SIZE = 48
 #: Bits of the bitmap of wanted documents.
 MARKS = 1 << 25
 #: Documents of one element that a task is to take.
@@ -52,7 +57,9 @@ _BYTE, _PLACE, _SHORT, _SALT = _odd(256), _odd(64), _odd(64), _odd(4)
 _BASE = int(_odd(1)[0])
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_NEXT_GAP = re.compile(rb"[\x09-\x0d\x20]")
+#: Powers of the base and of its inverse, for texts of usual length.
+_powers: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -62,17 +69,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(max(n, SLICE + 100_000), base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
+    """Powers of the base and of its inverse modulo 2**64, n at least of each. Only those for slices are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        p = np.full(max(n, 2 * SLICE), base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if n <= 2 * SLICE:
+        _powers[:] = out
+    return out
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in some text, and a hash of each."""
+    raw = np.frombuffer(raw, dtype=np.uint8)
+    gap = _GAP[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = powers(len(raw) + 1)
+    sums = np.cumsum(np.where(gap, np.uint64(0), _BYTE[raw]) * power[: len(raw)])
+    sums = np.concatenate([np.zeros(1, np.uint64), sums])
+    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def long_words(raw: bytes) -> np.ndarray:
+    """The hashes of the words of a long text, which is read in slices that end between words."""
+    out, at = [], 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):
+            found = _NEXT_GAP.search(raw, end)
+            end = found.start() if found else len(raw)
+        out.append(hashed_words(raw[at:end])[1])
+        at = end
+    return np.concatenate(out)
+
+
+def windows_of(word: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words that follow each other."""
+    n = max(len(word) - k + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out += word[j : j + n] * _PLACE[j]
+    return mixed(out)
+
+
+def short_text(word: np.ndarray) -> np.ndarray:
+    """The one element of a text of fewer than k words, if it has any."""
+    if not len(word):
+        return np.zeros(0, dtype=np.uint64)
+    return mixed(np.array([(word * _SHORT[: len(word)]).sum(dtype=np.uint64) + np.uint64(len(word))], dtype=np.uint64))
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Whole slices of texts are hashed together."""
+    """The sorted distinct shingle hashes of each text. Short texts are hashed in slices together, a long one in slices
+    of its own, so memory goes with the words of one text."""
     at = 0
     while at < len(texts):
         some, total = [], 0
@@ -80,28 +133,15 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
             some.append((texts[at] or "").encode("utf-8").translate(LOWER))
             total += len(some[-1]) + 1
             at += 1
-        raw = np.frombuffer(b" ".join(some) + b" ", dtype=np.uint8)
-        begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])])
-        gap = _GAP[raw]
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
-        power, inverse = powers(len(raw))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(gap, np.uint64(0), _BYTE[raw]) * power[: len(raw)])])
-        word = mixed((sums[ends] - sums[starts]) * inverse[starts])
-        first = np.searchsorted(starts, begins)
-        n = len(word) - k + 1
-        windows = np.zeros(max(n, 0), dtype=np.uint64)
-        for j in range(k):
-            windows += word[j : j + len(windows)] * _PLACE[j]
-        windows = mixed(windows)
-        for i in range(len(some)):
-            a, b = int(first[i]), int(first[i + 1])
-            if b - a >= k:
-                yield np.unique(windows[a : b - k + 1])
-            elif b > a:
-                yield mixed(np.array([(word[a:b] * _SHORT[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], dtype=np.uint64))
-            else:
-                yield np.zeros(0, dtype=np.uint64)
+        if len(some) == 1 and some[0]:
+            word = long_words(some[0])
+            first = np.array([0, len(word)])
+        else:
+            starts, word = hashed_words(b" ".join(some))
+            first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])]))
+        windows = windows_of(word, k)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield np.unique(windows[a : b - k + 1]) if b - a >= k else short_text(word[a:b])
 
 
 def needed(n: int, percent: int) -> int:
@@ -127,6 +167,7 @@ def commonness(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     """The count sketch of all distinct shingles of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("jaccard")
         counts = np.zeros(ROWS * BUCKETS, dtype=np.int64)
         for b in parts(batches):
             for s in shingle_sets(b.column(0).to_pylist(), k):
@@ -160,6 +201,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     of which each element of the set turns one over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("jaccard")
         for b in parts(batches):
             n, f1, f2, lead, salts, bits = [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), k):
@@ -255,7 +297,7 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     differ in (a + b) (100 - percent) / (100 + percent) elements at most, and each of those turns one bit at most."""
     side = lambda p: classes.select(F.col("rep").alias(f"_{p}"), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits{p}"))
     met = pairs.join(side("a"), F.col("id") == F.col("_a")).join(side("b"), F.col("block") == F.col("_b"))
-    return met.filter(bits_apart("bitsa", "bitsb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("id", "block")
+    return met.filter(bits_apart("bitsa", "bitsb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select(*pairs.columns)
 
 
 def hash_ids(ids):
@@ -282,20 +324,22 @@ def named_by(ids: pa.Array, words: np.ndarray) -> np.ndarray:
     return (((words[h >> 6] >> (h & 63)) & 1) == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def searched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k: int, percent: int, first_only: bool) -> DataFrame:
+def searched(docs: DataFrame, places: DataFrame, first_only: bool, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Links (a, b) that searches in blocks find. ``places``: (id, block, salt, asks), a row for each document and block, with
     asks 0 for members of the index and 1 for queries. Blocks stream through a task in order: one index is held at a time."""
 
-    named = docs.sparkSession.sparkContext.broadcast(marked_ids(places))
+    named = ship(docs.sparkSession).sparkContext.broadcast(marked_ids(places))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of documents that may be wanted; the join that follows leaves those that are."""
+        resident("jaccard")
         for b in parts(batches):
             b = b.filter(pa.array(named_by(b.column(0), named.value)))
             sets = pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), k)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["_id", "elements"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("jaccard")
         block, ids, sets, index = None, [], [], None
         for b in parts(batches):
             out: list[tuple[int, int]] = []
@@ -317,73 +361,180 @@ def searched(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, k:
     return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(search, "a long, b long")
 
 
-def salted(members: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
-    """Members (id, block) dealt into salts of bounded size, and each block's number of salts."""
-    sizes = members.groupBy("block").agg(F.ceil(F.count("*") / F.lit(float(block_size))).cast("long").alias("salts"))
-    dealt = members.join(sizes.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).select("id", "block", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(0).alias("asks"))
-    return dealt, sizes
+def placed(members: DataFrame, queries: DataFrame, block_size: int) -> DataFrame:
+    """Places (id, block, salt, asks) of members (id, block, n) and queries (id, block): members are dealt into salts of
+    bounded size, queries into as many chunks as bound theirs, and each salt meets each chunk once."""
+    count = lambda x: F.ceil(x).cast("long")
+    salts = F.greatest(F.count("*") / F.lit(float(block_size)), F.sum("n") / F.lit(float(ELEMENTS)))
+    sizes = members.groupBy("block").agg(count(salts).alias("salts")).withColumnRenamed("block", "_b")
+    asked = queries.groupBy("block").agg(count(F.count("*") / F.lit(float(16 * block_size))).alias("chunks"))
+    sizes = sizes.join(asked, F.col("_b") == F.col("block")).select("_b", "salts", "chunks")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
 
+    def dealt(rows: DataFrame, salt, chunk, asks: int) -> DataFrame:
+        met = rows.join(sizes, F.col("block") == F.col("_b")).select("id", "block", "chunks", "salts", salt.alias("s"))
+        met = met.select("id", "block", "chunks", "s", chunk.alias("c"))
+        return met.select("id", "block", (F.col("s") * F.col("chunks") + F.col("c")).alias("salt"), F.lit(asks).alias("asks"))
 
-def asking(queries: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Queries (id, block), one row for each salt of the block."""
-    return queries.join(sizes.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("asks"))
+    return dealt(members, deal("salts"), all_of("chunks"), 0).unionByName(dealt(queries, all_of("salts"), deal("chunks"), 1))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, block_size: int = BLOCK, hot: int = HOT) -> DataFrame:
+def linked(docs: DataFrame, members: DataFrame, queries: DataFrame, block_size: int, first_only: bool, **how) -> DataFrame:
+    """The links (a, b) that queries find among members, written."""
+    places = cut(placed(members, queries, block_size), "places")
+    links = cut(searched(docs, places, first_only=first_only, **how), "links")
+    discard(places)
+    spill_freed(docs.sparkSession)
+    return links
+
+
+def leading(classes: DataFrame) -> DataFrame:
+    """(rep, n, t, salt): the leading elements of each representative; the documents of a common one are dealt into salts."""
+    rows = classes.select("rep", "n", F.explode("lead").alias("x"))
+    salt = F.when(F.col("x.salts") > 0, F.pmod(F.xxhash64("rep"), F.col("x.salts"))).otherwise(-1).cast("int")
+    return rows.select("rep", "n", F.col("x.lead").alias("t"), salt.alias("salt"))
+
+
+def star_pairs(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, block, n): rows (rep, n, leader, leader_n), one for each shared element, as pairs that may be similar; written."""
+    near = stars.filter(f"rep <> leader and 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
+    near = near.groupBy("rep", "leader", "n", "leader_n").agg(F.count("*").alias("both"))
+    near = near.filter(f"both >= {shared_at_least('n', 'leader_n', percent)}")
+    return cut(near_enough(near.select(F.col("rep").alias("id"), F.col("leader").alias("block"), "n"), classes, percent), "stars")
+
+
+def star_links(docs: DataFrame, stars: DataFrame, block_size: int, **how) -> DataFrame:
+    """The links of pairs (id, block, n): what is near a leader is the index, the leader the query."""
+    leaders = stars.select(F.col("block").alias("id"), "block").distinct()
+    return linked(docs, stars, leaders, block_size, False, **how)
+
+
+def open_rows(hits: DataFrame, near: DataFrame) -> DataFrame:
+    """(t, rep, n, c, members, deal): documents, with their component, of elements found in several components; written.
+    ``deal`` is the number of salts for the element's documents."""
+    sizes = near.groupBy("component").agg(F.count("*").alias("members")).withColumnRenamed("component", "_c")
+    known = near.join(sizes, F.col("component") == F.col("_c")).select(F.col("id").alias("_id"), "_c", "members")
+    marked = hits.select("t", "rep", "n").join(known, F.col("rep") == F.col("_id"), "left")
+    marked = marked.select("t", "rep", "n", F.coalesce("_c", "rep").alias("c"), F.coalesce("members", F.lit(1)).alias("members"))
+    marked = cut(marked, "marked")
+    spans = marked.groupBy(F.col("t").alias("_t")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many"))
+    spans = spans.filter("lo < hi").select("_t", F.ceil(F.col("many") / F.lit(float(HOT))).cast("int").alias("deal"))
+    rest = cut(marked.join(spans, F.col("t") == F.col("_t")).drop("_t"), "rest")
+    discard(marked)
+    return rest
+
+
+def band_of(n: str) -> Column:
+    """Sizes in bands: each its own up to ``EXACT_SIZE``, then 1/50 wide."""
+    return F.expr(f"cast(if({n} <= {EXACT_SIZE}, {n}, {EXACT_SIZE + 1} + floor(ln({n} / {EXACT_SIZE + 1}.0D) / ln(1.02D))) as int)")
+
+
+def hopeful(rest: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``rest`` whose document may be similar to one of another component by that element; written.
+
+    Similar documents of a and b elements share ``shared_at_least`` leading ones, so each has as many that other documents
+    have too. What the documents of an element and a band of sizes have of these at most, and their least and largest
+    size, shows for a whole band at once that none of it is similar to a document, before pairs are made.
+    """
+    own = rest.groupBy("rep").agg(F.count("*").alias("own")).withColumnRenamed("rep", "_r")
+    rows = rest.join(own, F.col("rep") == F.col("_r")).drop("_r").withColumn("band", band_of("n"))
+    rows = cut(rows, "rows")
+    extent = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("most"), F.min("c").alias("c0"), F.max("c").alias("c1")]
+    cells = rows.groupBy(F.col("t").alias("_t"), F.col("band").alias("_band")).agg(*extent)
+    # a band meets those of sizes that can be similar to one of its own; one more on each side for rounding
+    least, most = (band_of(x) for x in (f"floor(lo * {percent} / 100)", f"ceil(hi * 100 / {percent})"))
+    meets = F.explode(F.sequence(F.greatest(least - 1, F.lit(0)), most + 1))
+    cells = cells.select("_t", "lo", "hi", "most", "c0", "c1", meets.alias("_band"))
+    # the sizes of a cell that fit a document of n; the number to share rises up to n, and falls beyond but for rounding
+    low, high = f"greatest(lo, cast(ceil({percent} * n / 100) as int))", f"least(hi, cast(floor(100 * n / {percent}) as int))"
+    below = f"if({low} <= n, {shared_at_least('n', low, percent)}, 1000000000)"
+    above = f"if({high} > n, {shared_at_least('n', high, percent)} - if({high} > greatest(n, {low}), 1, 0), 1000000000)"
+    may = F.expr(f"{low} <= {high} and least(own, most) >= least({below}, {above}) and (c0 <> c or c1 <> c)")
+    kept = rows.join(cells, (F.col("t") == F.col("_t")) & (F.col("band") == F.col("_band")) & may, "left_semi")
+    # an element that is left with one component is none of another's any more
+    spans = kept.groupBy(F.col("t").alias("_t")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("_t")
+    out = cut(kept.join(spans, F.col("t") == F.col("_t"), "left_semi").select(*rest.columns), "rest")
+    discard(rows, rest)
+    return out
+
+
+def asked(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, block, many): documents and the larger components (of equal ones, those with the smaller name) that they share
+    enough elements with; written."""
+    here = rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")))
+    there = rest.groupBy("t", F.col("c").alias("block"), "deal").agg(F.max("members").alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    there = there.select("t", "block", "many", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("salt"))
+    pairs = here.join(there, ["t", "salt"]).filter("c <> block and (members < many or (members = many and c > block))")
+    pairs = pairs.groupBy("rep", "n", "block").agg(F.count("*").alias("both"), F.max("many").alias("many"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    fit = F.expr(f"greatest(lo, cast(ceil({percent} * n / 100) as int))"), F.expr(f"least(hi, cast(floor(100 * n / {percent}) as int))")
+    pairs = pairs.withColumn("low", fit[0]).withColumn("hi", fit[1]).withColumn("lo", F.col("low"))
+    # the number falls as sizes part, so the ends of the sizes in question have the least; one less for the rounding between
+    few = f"least({shared_at_least('n', 'lo', percent)}, {shared_at_least('n', 'hi', percent)}) - if(lo = hi, 0, 1)"
+    pairs = cut(pairs.filter("lo <= hi").filter(f"both >= {few}").select(F.col("rep").alias("id"), "block", "many"), "pairs")
+    # a component of one is held against the query itself
+    alone = near_enough(pairs.filter("many = 1"), classes, percent)
+    out = cut(pairs.filter("many > 1").unionByName(alone), "queries")
+    discard(pairs)
+    return out
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, block_size: int = BLOCK, hot: int = HOT
+) -> DataFrame:
     """(id, n_shingles, component_id) of each row. ``percent`` is the least similarity, ``k`` the words of a shingle (64 at most)."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     if not 0 < percent <= 100 or not 0 < k <= 64:
         raise ValueError("percent is 1 to 100, k is 1 to 64")
+    how = {"id_col": id_col, "text_col": text_col, "k": k, "percent": percent}
     sketch = spark.sparkContext.broadcast(commonness(docs, text_col, k))
     signed = cut(signatures(docs, id_col, text_col, k, percent, sketch, hot), "signatures")
     classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lead", "salts", "bits")).alias("x"))
     classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), F.arrays_zip("x.lead", "x.salts").alias("lead"), "x.bits"), "classes")
+    own = cut(signed.select("id", "f1", "f2", "n"), "own")
+    discard(signed)
     spill_freed(spark)
 
-    # a common element's documents are dealt into salts, each with a leader; which of them link across salts shows later
-    leads = classes.select("rep", "n", F.explode("lead").alias("x")).select("rep", "n", F.col("x.lead").alias("t"), F.when(F.col("x.salts") > 0, F.pmod(F.xxhash64("rep"), F.col("x.salts"))).otherwise(-1).cast("int").alias("salt"))
+    # a salt of a common element has a leader of its own; what links across salts shows later
     by_rep = Window.partitionBy("t", "salt").orderBy("rep", "n")
-    leads = leads.withColumn("leader", F.first(F.struct("rep", "n")).over(by_rep)).withColumn("next", F.lead("rep").over(by_rep))
-    hits = leads.filter("salt >= 0 or next is not null or rep <> leader.rep").select("t", "rep", "n", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n"))
-    hits = cut(hits, "hits")
-    spill_freed(spark)
-
-    stars = hits.filter("rep <> leader").filter(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)").groupBy("rep", "leader", "n", "leader_n").agg(F.count("*").alias("both"))
-    stars = stars.filter(f"both >= {shared_at_least('n', 'leader_n', percent)}").select(F.col("rep").alias("id"), F.col("leader").alias("block"))
-    stars = cut(near_enough(stars, classes, percent), "stars")
-    dealt, sizes = salted(stars, block_size)
-    places = cut(dealt.unionByName(asking(sizes.select(F.col("block").alias("id"), "block"), sizes)), "places")
-    links = cut(searched(docs, places, id_col, text_col, k, percent, False), "links")
+    leads = leading(classes).withColumn("x", F.first(F.struct("rep", "n")).over(by_rep)).withColumn("next", F.lead("rep").over(by_rep))
+    leads = leads.filter("salt >= 0 or next is not null or rep <> x.rep").select("t", "rep", "n", F.col("x.rep").alias("leader"), F.col("x.n").alias("leader_n"))
+    hits = cut(leads, "hits")
     spill_freed(spark)
-    near = cut(components(links), "near")
-
-    sizes_of = near.groupBy("component").agg(F.count("*").alias("members"))
-    known = near.join(sizes_of, "component").select(F.col("id").alias("_id"), F.col("component").alias("_c"), "members")
-    marked = hits.join(known, F.col("rep") == F.col("_id"), "left").select("t", "rep", "n", F.coalesce("_c", "rep").alias("c"), F.coalesce("members", F.lit(1)).alias("members"))
-    marked = cut(marked, "marked")
-    open_ = marked.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("t").alias("_t"))
-    rest = cut(marked.join(open_, F.col("t") == F.col("_t")).select("t", "rep", "n", "c", "members"), "rest")
-    # a document asks each larger component (of equal ones, the one with the smaller name) that it shares an element with
-    there = rest.groupBy("t", F.col("c").alias("block")).agg(F.max("members").alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    queries = rest.join(there, "t").filter("c <> block and (members < many or (members = many and c > block))")
-    queries = queries.groupBy("rep", "n", "block").agg(F.count("*").alias("both"), F.max("many").alias("many"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    queries = queries.withColumn("lo", F.expr(f"greatest(lo, cast(ceil({percent} * n / 100) as int))")).withColumn("hi", F.expr(f"least(hi, cast(floor(100 * n / {percent}) as int))"))
-    # the number falls as sizes part, so the ends of the sizes in question have the least; one less for the rounding between
-    few = f"least({shared_at_least('n', 'lo', percent)}, {shared_at_least('n', 'hi', percent)}) - 1"
-    queries = queries.filter("lo <= hi").filter(f"both >= {few}").select(F.col("rep").alias("id"), "block", "many")
-    # a component of one is held against the query itself
-    queries = cut(queries, "queries")
-    queries = cut(queries.filter("many > 1").select("id", "block").unionByName(near_enough(queries.filter("many = 1").select("id", "block"), classes, percent)), "queries")
-    asked = queries.select(F.col("block").alias("_b")).distinct()
-    dealt, sizes = salted(rest.select(F.col("rep").alias("id"), F.col("c").alias("block")).distinct().join(asked, F.col("block") == F.col("_b"), "left_semi"), block_size)
-    places = cut(dealt.unionByName(asking(queries, sizes)), "places")
-    more = cut(searched(docs, places, id_col, text_col, k, percent, True), "links")
+    stars = star_pairs(hits, classes, percent)
+    links = star_links(docs, stars, block_size, **how)
+    near = cut(found := components(links), "near")
+    discard(stars, links, found)
+
+    # what is left open is held against the shortest document of each element and band of sizes, then against components
+    rest = hopeful(hopeful(open_rows(hits, near), percent), percent)
+    if not rest.isEmpty():
+        shortest = Window.partitionBy("t", "salt", "band").orderBy("n", "rep")
+        dealt = rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal"))).withColumn("band", band_of("n"))
+        dealt = dealt.withColumn("x", F.first(F.struct("rep", "n", "c")).over(shortest)).filter("c <> x.c")
+        stars = star_pairs(dealt.select("rep", "n", F.col("x.rep").alias("leader"), F.col("x.n").alias("leader_n")), classes, percent)
+        links = star_links(docs, stars, block_size, **how)
+        edges = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        nearer = cut(found := components(edges.unionByName(links)), "near")
+        discard(stars, links, found, near, rest)
+        near = nearer
+        rest = hopeful(open_rows(hits, near), percent)
+    links = []
+    if not rest.isEmpty():
+        queries = asked(rest, classes, percent)
+        wanted = queries.select(F.col("block").alias("_b")).distinct()
+        members = rest.select(F.col("rep").alias("id"), F.col("c").alias("block"), "n").distinct()
+        members = members.join(wanted, F.col("block") == F.col("_b"), "left_semi")
+        links = [linked(docs, members, queries.select("id", "block"), block_size, True, **how)]
+        discard(queries)
+    edges = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    whole = components(edges.unionByName(links[0])) if links else near
+    named = classes.select("f1", "f2", "n", "rep").join(whole.withColumnRenamed("id", "rep"), "rep", "left")
+    named = cut(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "named")
+    discard(hits, rest, classes, near, whole, *links)
     spill_freed(spark)
-    whole = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = classes.select("f1", "f2", "n", "rep").join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    named = cut(named, "named")
-    own = signed.select("id", "f1", "f2", "n")
-    return own.join(named, ["f1", "f2", "n"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
+    return own.join(named, ["f1", "f2", "n"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from ionweave.llm import jaccard
 from ionweave.llm.jaccard import Index, commonness, jaccard_components, levels, one_of_each, shingle_sets
 
 
@@ -84,6 +85,50 @@ def test_salted_elements_lose_no_link(spark):
     check(spark, rows, hot=8, block_size=7)
 
 
+def templates(seed, own):
+    """Documents of a passage that all share and words of their own, of which ``own`` draws the number."""
+    rnd = random.Random(seed)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([f"o{rnd.randrange(10**9)}" for _ in range(own(rnd))] + passage) for _ in range(120)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed,low,high", [(0, 4, 14), (1, 7, 12), (2, 0, 25), (3, 9, 9), (4, 8, 8)])
+def test_templates_about_the_threshold(spark, seed, low, high):
+    check(spark, templates(seed, lambda rnd: rnd.randint(low, high)), block_size=16)
+
+
+def test_halves_of_several_passages(spark):
+    rnd = random.Random(5)
+    passages = [[f"p{j}x{k}" for k in range(25)] for j in range(6)]
+    rows = [(i, " ".join(sum(rnd.sample(passages, 2), [f"o{i}x{k}" for k in range(rnd.randint(0, 6))]))) for i in range(120)]
+    check(spark, rows, block_size=16)
+
+
+def test_searches_grow_with_the_documents_not_with_their_pairs(spark, monkeypatch):
+    made = {}
+
+    def counted(*args):
+        out = placed(*args)
+        made[n] = made.get(n, 0) + out.count()
+        return out
+
+    placed = jaccard.placed
+    monkeypatch.setattr(jaccard, "placed", counted)
+    rnd = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(38))
+    for n in (200, 400):  # similarity 0.68, no link
+        rows = [(i, " ".join(f"o{rnd.randrange(10**9)}" for _ in range(8)) + " " + passage) for i in range(n)]
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert made.get(400, 0) <= 400 and made.get(400, 0) <= 2 * made.get(200, 0) + 8
+    made.clear()
+    for n in (200, 400):  # links, but few to the document of the smallest id
+        rows = [(i, " ".join(f"o{rnd.randrange(10**9)}" for _ in range(rnd.randint(0, 25) if i else 25)) + " " + passage) for i in range(n)]
+        check(spark, rows)
+    assert made[400] <= 3 * made[200]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, None), (None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f"), (4, "")]
     got = check(spark, rows)
