@@ -5,15 +5,16 @@ information content IC(c) = -log2 p(c), p(c) being its share of all documents. A
 from it, discloses PMI(c; t) = log2(p(c | t) / p(c)) of that. In place of p(c | t) stands its lower confidence bound (Wilson's, one-sided at
 80 %), so that an entity or term of few documents counts with what few documents show; there is no least number. Where PMI / IC
 reaches ``generalise``, a term is generalised in the documents that hold the entity, and removed where it reaches ``remove``.
-Equal texts are all counted, but are one observation to the bound, so what stands near an entity only because its whole document was
-copied discloses no more than one document does; a block repeated in different documents counts with each.
+A row is a document, and all counts are of rows. Equal texts are one observation to the bound, so what stands near an entity only
+because its whole document was copied discloses no more than one document does, and a table with all rows twice has the same terms;
+a block repeated in different documents counts with each.
 
 Regular expressions are possessive and anchored behind a non-member (or the end of the match before), so that each gives the
 matches of its plain form in time that is linear in the text. Positions come from the pieces between matches, in code points.
 
-Edge cases: a null or empty text has no spans, and stays null or empty. Rows that share an id are one document for terms, and have each
-their own base spans. Rows without an id have base spans but no terms. Other columns pass through ``sanitise`` unchanged. An empty
-table gives no rows.
+Edge cases: a null or empty text has no spans, and stays null or empty. Spans belong to a text, not to an id: rows that share an id have each
+their own, equal rows the same, rows without an id are like others. Texts are whole, however long. Other columns pass through
+``sanitise`` unchanged, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import cut, fresh, table
+from ionweave.llm.common import cut, discard, fresh, table
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -107,19 +108,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, spans, text, copy): every row once, written; the text stays only with rows that have spans, 128 bits of its hash if they have an id too."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    has = F.size("spans") > 0
-    return cut(rows.select("id", "spans", F.when(has, F.col("text")).alias("text"), F.when(has & F.col("id").isNotNull(), F.unhex(F.substring(F.sha2("text", 256), 1, 32))).alias("copy")), "base")
+def marked(rows: DataFrame, text_col: str, spans: str, copy: str) -> DataFrame:
+    """``rows`` with their base spans and, where there are some, 128 bits of the text's hash."""
+    found = rows.withColumn(spans, base_spans(F.coalesce(F.col(text_col), F.lit(""))))
+    return found.withColumn(copy, F.when(F.size(spans) > 0, F.unhex(F.substring(F.sha2(text_col, 256), 1, 32))))
 
 
 def holders(base: DataFrame) -> DataFrame:
-    """(id, copy, entities, words) of rows with values: the values, and all distinct words of the whole text but those within emails."""
+    """(copy, rows, entities, words) of texts with values, from rows (copy, spans, text): the values, and all distinct
+    words of the whole text but those within emails."""
     names = F.array(*map(F.lit, KINDS))
+    texts = base.filter("copy IS NOT NULL").groupBy("copy").agg(F.count("*").alias("rows"), F.first("spans").alias("spans"), F.first("text").alias("text"))
     entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), F.lower(s["value"]))))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", EMAIL, " ")), F.lit(WORD), F.lit(0)))
-    return base.filter("copy IS NOT NULL").select("id", "copy", entities.alias("entities"), words.alias("words"))
+    return texts.select("copy", "rows", entities.alias("entities"), words.alias("words"))
 
 
 def bound(p: Column, n: Column, z: float) -> Column:
@@ -127,68 +129,94 @@ def bound(p: Column, n: Column, z: float) -> Column:
     return F.try_divide(p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n)
 
 
-def disclosing(docs: DataFrame, base: DataFrame, text_col: str, generalise: float, remove: float, z: float) -> DataFrame:
+def disclosing(texts: DataFrame, base: DataFrame, generalise: float, remove: float, z: float) -> DataFrame:
     """(copy, terms): for each text, its terms that disclose at least ``generalise`` of the information content of an entity in it.
+    ``texts`` has the column ``text`` of all rows; ``base`` the rows (copy, spans, text).
 
     Words are counted with partial aggregation. As p(c | t) is at most n_c / n_t, a term of more than N^(1 - g) n_c^g documents can't
     disclose g of c; such pairs are left out before they are counted, which changes no result.
     """
     held = cut(holders(base), "holders")
-    n_docs = docs.count()
-    copies = held.groupBy("copy").agg(F.count_distinct("id").alias("rows"))
-    entities = held.select("copy", F.explode("entities").alias("entity")).distinct().join(copies, "copy")
+    n_docs = texts.count()
+    entities = held.select("copy", "rows", F.explode("entities").alias("entity"))
     n_c = cut(entities.groupBy("entity").agg(F.sum("rows").alias("n_c")), "entities")
     most = n_c.agg(F.max("n_c")).first()[0] or 0
     limit = lambda c: 1.000001 * F.pow(F.lit(float(n_docs)), F.lit(1 - generalise)) * F.pow(c, F.lit(generalise))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), F.lit(0)))).alias("term"))
     # the filter on a count keeps the join below from moving under the counting, where it meets every word
     counts = words.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= limit(F.lit(float(most))))
-    terms = held.select("copy", F.explode("words").alias("term")).distinct().join(counts, "term")
+    terms = held.select("copy", F.explode("words").alias("term")).join(counts, "term")
     pairs = cut(entities.join(n_c, "entity").join(terms, "copy").filter(F.col("n_t") <= limit(F.col("n_c"))), "pairs")
+    discard(held, n_c)
     both = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("rows").alias("held"), F.count("*").alias("texts"))
     p_c = F.col("n_c") / F.lit(max(1, n_docs))
     p = F.least(F.lit(1.0), F.try_divide("held", "n_t"))
     disclosed = F.try_divide(F.log2(bound(p, F.col("n_t") * F.col("texts") / F.col("held"), z) / p_c), -F.log2(p_c))
     found_out = both.filter(p_c < 1).select("entity", "term", disclosed.alias("disclosed")).filter(F.col("disclosed") >= generalise)
     by_text = pairs.join(found_out, ["entity", "term"]).groupBy("copy", "term").agg((F.max("disclosed") >= remove).alias("hard"))
-    return by_text.groupBy("copy").agg(F.collect_list(F.struct("term", "hard")).alias("terms"))
+    out = cut(by_text.groupBy("copy").agg(F.collect_list(F.struct("term", "hard")).alias("terms")), "terms")
+    discard(pairs)
+    return out
 
 
-def all_spans(docs: DataFrame, id_col: str, text_col: str, generalise: float = 0.9, remove: float = 0.97, z: float = Z) -> DataFrame:
-    """(id, spans, more): base spans and term spans of every row."""
-    base = with_base(docs, id_col, text_col)
-    terms = cut(disclosing(docs, base, text_col, generalise, remove, z), "terms").withColumnRenamed("copy", "_copy")
-    met = base.join(terms, F.col("copy") == F.col("_copy"), "left")
+def term_spans(text: Column, terms: Column, spans: Column) -> Column:
+    """The spans of a text's terms (term, hard) that overlap no base span."""
 
     def of(hard: bool, kind: int) -> Column:
-        some = F.array_sort(F.transform(F.filter("terms", lambda t: t["hard"] == hard), lambda t: t["term"]))
+        some = F.array_sort(F.transform(F.filter(terms, lambda t: t["hard"] == hard), lambda t: t["term"]))
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(some, "|"), F.lit(r")(?!\p{L})"))
-        spans = F.filter(found(F.col("text"), pattern, kind), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        return F.when(F.size(some) > 0, spans).otherwise(F.array().cast(SPAN))
+        free = F.filter(found(text, pattern, kind), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+        return F.when(F.size(some) > 0, free).otherwise(F.array().cast(SPAN))
+
+    return F.when(terms.isNotNull() & text.isNotNull(), F.concat(of(False, 4), of(True, 5))).otherwise(F.array().cast(SPAN))
+
+
+def with_terms(base: DataFrame, terms: DataFrame, copy: str, name: str) -> DataFrame:
+    """``base`` with the terms of each row's text. Rows without values have none and take no part in the join."""
+    key = fresh(base, "_copy")
+    side = terms.select(F.col("copy").alias(key), F.col("terms").alias(name))
+    met = base.filter(F.col(copy).isNotNull()).join(side, F.col(copy) == F.col(key), "left").drop(key)
+    return met.unionByName(base.filter(F.col(copy).isNull()).withColumn(name, F.lit(None).cast(side.schema[name].dataType)))
+
+
+def all_spans(docs: DataFrame, id_col: str, text_col: str, generalise: float = 0.9, remove: float = 0.97, z: float = Z) -> DataFrame:
+    """(id, spans, more): base spans and term spans of every row. The texts are written only where there are spans."""
+    rows = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "spans", "copy")
+    base = cut(rows.select("id", "spans", "copy", F.when(F.col("copy").isNotNull(), F.col("text")).alias("text")), "base")
+    terms = disclosing(docs.select(F.col(text_col).alias("text")), base, generalise, remove, z)
+    met = with_terms(base, terms, "copy", "terms")
+    return met.select("id", "spans", term_spans(F.col("text"), F.col("terms"), F.col("spans")).alias("more"))
+
 
-    more = F.when(F.col("terms").isNotNull() & F.col("text").isNotNull(), F.concat(of(False, 4), of(True, 5))).otherwise(F.array().cast(SPAN))
-    return met.select("id", "spans", more.alias("more"))
+def mark_of(span: Column) -> Column:
+    """What stands for a span: its kind, for a generalised term the class of its form, for a removed one nothing."""
+    value = span["value"]
+    form = F.when(value.rlike(r"^\p{Lu}{2,}$"), "[ACRONYM]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    marks = F.array(*(F.lit(m) for m in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "")))
+    return F.when(span["kind"] == KINDS.index("term"), form).otherwise(F.get(marks, span["kind"]))
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind, removed terms by nothing; spans that overlap are replaced as one."""
-    marks = F.array(*(F.lit(m) for m in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")))
+    """The text with each span replaced by its mark; spans that overlap are replaced as one."""
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(marks, s["kind"]))).otherwise(acc["out"])
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark_of(s))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with base spans and disclosing terms replaced in its texts; columns and rows stay."""
-    own, key, terms = fresh(docs, "_spans"), fresh(docs, "_id"), fresh(docs, "_terms")
-    extra = all_spans(docs, id_col, text_col, **how).filter((F.size("more") > 0) & F.col("id").isNotNull())
-    extra = extra.groupBy(F.col("id").alias(key)).agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias(terms))
-    met = docs.withColumn(own, base_spans(F.coalesce(F.col(text_col), F.lit("")))).join(extra, F.col(id_col) == F.col(key), "left")
-    every = F.array_sort(F.concat(own, F.coalesce(F.col(terms), F.array().cast(SPAN))))
+def sanitise(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.9, remove: float = 0.97, z: float = Z
+) -> DataFrame:
+    """``docs`` with base spans and disclosing terms replaced in its texts; columns and rows stay. ``id_col`` is not read."""
+    spans, copy, own = (fresh(docs, c) for c in ("_spans", "_copy", "_terms"))
+    base = cut(marked(docs, text_col, spans, copy), "base")
+    texts = base.select(F.col(text_col).alias("text"))
+    terms = disclosing(texts, base.select(F.col(copy).alias("copy"), F.col(spans).alias("spans"), F.col(text_col).alias("text")), generalise, remove, z)
+    met = with_terms(base, terms, copy, own)
+    every = F.array_sort(F.concat(spans, term_spans(F.col(text_col), F.col(own), F.col(spans))))
     text = F.when(F.size(every) > 0, redacted(F.col(text_col), every)).otherwise(F.col(text_col))
     return met.select(*((text.alias(c) if c == text_col else F.col(c)) for c in docs.columns))
 

@@ -89,7 +89,85 @@ def test_sanitise_keeps_rows_and_columns(spark):
     by = {r["doc_id"]: r["text"] for r in found if r["doc_id"] is not None}
     assert by[5000] is None and by[5001] == "" and by[0] == dict(corpus())[0]
     assert "zeb" not in by[1000].lower() and "[EMAIL]" in by[1000]
-    assert [r["text"] for r in found if r["doc_id"] is None] == ["mail [EMAIL] or [PHONE]"] * 2
+    # rows without an id are documents like others, and these two words stand in no other text
+    assert [r["text"] for r in found if r["doc_id"] is None] == ["[WORD] [EMAIL] [WORD] [PHONE]"] * 2
+
+
+def spans_of(rows):
+    return sorted((r["id"], [(x["kind"], x["start"], x["value"]) for x in r["more"]]) for r in rows)
+
+
+def test_a_table_with_every_row_twice_has_the_same_terms(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    once = spans_of(L.all_spans(df, "doc_id", "text").collect())
+    assert any(x for _, x in once)
+    assert spans_of(L.all_spans(df.unionByName(df), "doc_id", "text").collect()) == sorted(once * 2)
+
+
+def test_each_of_two_texts_of_an_id_keeps_its_own(spark):
+    rows = [*corpus(), (1000, "0123456789 abcdefghij klmnopqrst uvwxyz and mail to a@b.co"), (1000, "0123456789 abcdefghij klmnopqrst uvwxyz")]
+    got = [r["text"] for r in L.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 1000]
+    assert "0123456789 abcdefghij klmnopqrst uvwxyz" in got
+    assert len(got) == 3 and sum("zeb@" in t for t in got) == 0
+
+
+def test_an_entity_held_three_times_by_one_document_is_held_once(spark):
+    rnd = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta"]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    docs = [(i, line(20)) for i in range(400)]
+    docs += [(500, f"Zebulon z@e.com {line(30)} Zebulon z@e.com {line(30)} Zebulon z@e.com"), (501, f"Zebulon {line(9)}"), (502, f"Zebulon {line(8)}")]
+    got = {r["id"]: {x["value"] for x in r["more"]} for r in L.all_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert "Zebulon" not in got[500]
+
+
+def brute_terms(texts, generalise=0.9, z=L.Z):
+    """{text: terms} by counting every pair of a word and a value."""
+    import math
+
+    words = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    entities = {t: {(k, t[a:b].lower()) for a, k, b in brute(t)} for t in set(texts)}
+    without = {t: words(re.sub(PATTERNS[0][0], " ", t)) for t in set(texts)}
+    n, out = len(texts), {}
+    for t in set(texts):
+        for c in entities[t]:
+            n_c = sum(c in entities[x] for x in texts)
+            for w in without[t]:
+                both = [x for x in texts if c in entities[x] and w in without[x]]
+                n_t = sum(w in words(x) for x in texts)
+                p, size = min(1.0, len(both) / n_t), n_t * len(set(both)) / len(both)
+                low = (p + z * z / (2 * size) - z * math.sqrt(p * (1 - p) / size + z * z / (4 * size * size))) / (1 + z * z / size)
+                if n_c < n and low > 0 and math.log2(low / (n_c / n)) / -math.log2(n_c / n) >= generalise:
+                    out.setdefault(t, set()).add(w)
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rnd = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    rows = []
+    for i in range(300):
+        t = " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 12)))
+        if i % 5 == 0:
+            k = rnd.randrange(12)
+            t += f" person{chr(97 + k)} p{k}@x.org" + (f" town{chr(97 + k)}" if rnd.random() < 0.6 else "")
+        rows += [(i, t)] * rnd.choice([1, 1, 1, 2])
+    want = brute_terms([t for _, t in rows])
+    assert len(want) > 20
+    got = L.all_spans(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    texts = dict(rows)
+    base = {i: brute(t) for i, t in rows}
+    for r in got:
+        t = texts[r["id"]]
+        spots = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in want.get(t, ())]
+        free = [(a, b) for a, b in spots if not any(s < b and a < e for s, _, e in base[r["id"]])]
+        assert sorted((x["start"], x["end"]) for x in r["more"]) == free
+
+
+def test_terms_are_generalised_by_their_form(spark):
+    df = spark.createDataFrame([("Anna works at IBM daily",)], "t string")
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(4).alias("kind"), F.lit(b).alias("end"), F.lit(v).alias("value")) for a, b, v in [(0, 4, "Anna"), (14, 17, "IBM"), (18, 23, "daily")]))
+    assert df.select(L.redacted(F.col("t"), spans)).first()[0] == "[NAME] works at [ACRONYM] [WORD]"
 
 
 def test_overlapping_spans_become_one(spark):
