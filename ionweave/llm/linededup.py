@@ -1,15 +1,17 @@
 """Line dedup by overlapping windows of three lines, with DataFrame functions only.
 
 Lines are compared without the white space around them; blank lines are skipped, and belong to no window. A window's 128-bit hash
-is counted over all documents. Of a window that occurs more than once, the occurrence with the smallest (id, position) stays; the
-lines of all the others are covered, and covered lines go. Windows overlap, so a longer repeated passage is covered as a whole.
+is counted over all documents. Of a window that occurs more than once, the occurrence with the smallest (id, text's hash, position)
+stays; the lines of all the others are covered, and covered lines go. Windows overlap, so a longer repeated passage is covered as a whole.
 
 The only group is a hash's: counting combines before the shuffle, and the occurrences meet the repeated hashes in a join that
 Spark splits where a window is very common. No document's lines or texts travel but to be rejoined with its covered positions.
 
 Edge cases: a null text counts as empty; it has no lines to remove and stays null. A document with fewer than three lines with text
-loses none. Rows that share an id are one document, told apart by nothing: a first window of theirs stays in each. Rows without
-an id take no part and keep their text. Columns beyond id and text pass through ``without_repeats`` unchanged. An empty table gives no rows.
+loses none. A row is known by its id and its text: rows that share an id but not the text lose what they repeat themselves, equal rows
+lose the same lines, and where the first occurrence is theirs, it stays in each. Rows without an id take no part and keep their text.
+Texts are whole, however long. Columns beyond id and text pass through ``without_repeats`` unchanged, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import cut, fresh, table
+from ionweave.llm.common import cut, discard, fresh, table
 
 WINDOW = 3
 #: What is trimmed from a line.
@@ -28,32 +30,45 @@ def lines_of(text: str | Column) -> Column:
     return F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n")
 
 
+def copy_of(text_col: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def windows(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
-    """(id, nth, lines, h1, h2): each window of ``size`` lines with text, with the numbers of its lines."""
+    """(id, copy, nth, lines, h1, h2): each window of ``size`` lines with text, with the numbers of its lines."""
     trimmed = F.transform(lines_of(text_col), lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(BLANKS)).alias("line")))
-    full = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.filter(trimmed, lambda x: x["line"] != "").alias("x")).filter(F.size("x") >= size)
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), copy_of(text_col).alias("copy"), trimmed.alias("x"))
+    full = rows.select("id", "copy", F.filter("x", lambda x: x["line"] != "").alias("x")).filter(F.size("x") >= size)
 
     def window(i: Column) -> Column:
         part = [F.get(F.col("x"), i + k) for k in range(size)]
         text = [p["line"] for p in part]
-        return F.struct(i.alias("nth"), F.array(*(p["at"] for p in part)).alias("lines"), F.xxhash64(*text).alias("h1"), F.xxhash64(F.lit(size), *reversed(text)).alias("h2"))
+        lines = F.array(*(p["at"] for p in part)).alias("lines")
+        return F.struct(i.alias("nth"), lines, F.xxhash64(*text).alias("h1"), F.xxhash64(F.lit(size), *reversed(text)).alias("h2"))
 
-    return full.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("x") - size), window)).alias("w")).select("id", "w.*")
+    every = F.transform(F.sequence(F.lit(0), F.size("x") - size), window)
+    return full.select("id", "copy", F.explode(every).alias("w")).select("id", "copy", "w.*")
 
 
 def covered_lines(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
-    """(id, covered): numbers of the lines that later occurrences of windows cover, for documents that have some."""
+    """(id, copy, covered): numbers of the lines that later occurrences of windows cover, for rows that have some."""
+    place = F.struct("id", "copy", "nth")
     all_windows = cut(windows(docs, id_col, text_col, size), "windows")
-    often = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "nth")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    later = all_windows.join(often, ["h1", "h2"]).filter(F.struct("id", "nth") > F.col("first"))
-    return later.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("covered"))
+    often = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    later = all_windows.join(often, ["h1", "h2"]).filter(place > F.col("first"))
+    covered = cut(later.groupBy("id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("covered")), "covered")
+    discard(all_windows)
+    return covered
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", size: int = WINDOW) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", size: int = WINDOW
+) -> DataFrame:
     """``docs`` with covered lines removed from its texts, and two columns more, of which the names are given."""
-    key, gone = fresh(docs, "_id"), fresh(docs, "_covered")
-    covered = covered_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("covered").alias(gone))
-    met = docs.join(covered, F.col(id_col) == F.col(key), "left")
+    key, copy, gone = fresh(docs, "_id"), fresh(docs, "_copy"), fresh(docs, "_covered")
+    covered = covered_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("copy").alias(copy), F.col("covered").alias(gone))
+    met = docs.join(covered, (F.col(id_col) == F.col(key)) & (copy_of(text_col) == F.col(copy)), "left")
     lines = lines_of(text_col)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from ionweave.llm.licenses import TEMPLATES, scan, template_bigrams
 from ionweave.llm.linededup import drop_repeated_lines, without_repeats
 
@@ -7,26 +9,26 @@ BLANKS = " \t\r\x0b\x0c"
 
 
 def brute(rows):
-    """{row number: text} after removal; equal ids are one document."""
-    seen, later = {}, {}
-    texts = [(i, n, (t or "").split("\n")) for n, (i, t) in enumerate(rows)]
+    """The text of each row after removal; a row is known by its id and its text."""
+    later = {}
+    key = lambda i, t: (i, xxhash.xxh64((t or "").encode(), seed=42).intdigest())
+    signed = lambda k: (k[0], k[1] - 2**64 if k[1] >= 2**63 else k[1])
     windows = {}
-    for i, n, lines in texts:
+    for i, t in rows:
         if i is None:
             continue
-        full = [(k, x.strip(BLANKS)) for k, x in enumerate(lines) if x.strip(BLANKS)]
+        full = [(k, x.strip(BLANKS)) for k, x in enumerate((t or "").split("\n")) if x.strip(BLANKS)]
         for j in range(len(full) - 2):
-            windows.setdefault(tuple(x for _, x in full[j : j + 3]), []).append((i, j, [k for k, _ in full[j : j + 3]], n))
+            windows.setdefault(tuple(x for _, x in full[j : j + 3]), []).append((signed(key(i, t)), j, [k for k, _ in full[j : j + 3]]))
     for found in windows.values():
         first = min(f[:2] for f in found)
-        for i, j, lines, _ in found:
-            if (i, j) != first:
-                later.setdefault(i, set()).update(lines)
-    assert not seen
+        for k, j, lines in found:
+            if (k, j) != first:
+                later.setdefault(k, set()).update(lines)
     out = []
-    for i, n, lines in texts:
-        gone = later.get(i, set()) if i is not None else set()
-        out.append(rows[n][1] if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    for i, t in rows:
+        gone = later.get(signed(key(i, t)), set()) if i is not None else set()
+        out.append(t if not gone else "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone))
     return out
 
 
@@ -50,6 +52,19 @@ def test_a_copy_goes_and_repeated_ids_stay(spark):
     assert sorted(r["doc_id"] for r in drop_repeated_lines(df).collect()) == [1, 1]
 
 
+def test_two_texts_of_one_id_lose_only_what_they_repeat(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "keep me\nand me\nme too\nlast"), (2, "a\nb\nc\nown"), (2, "a\nb"), (2, "x\ny\nz"), (2, "w\nx\ny\nz")]
+    got = sorted(r["text"] for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows))
+    assert "keep me\nand me\nme too\nlast" in got and "own" in got and "a\nb\nc\nd" in got
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "\n".join(f"line {k}" for k in range(60000))), (2, "\n".join(f"line {k}" for k in range(30000, 60002))), (3, "z" * 3_000_000)]
+    got = {r["doc_id"]: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 30000 and got[2]["text"] == "line 60000\nline 60001" and got[3]["text"] == rows[2][1]
+
+
 def test_no_python_in_the_plans(spark):
     df = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     for x in (without_repeats(df), scan(df)):
