@@ -1,8 +1,10 @@
 import random
+import re
 
 import xxhash
+from pyspark.sql import functions as F
 
-from ionweave.llm.licenses import TEMPLATES, scan, template_bigrams
+from ionweave.llm.licenses import GAP, TEMPLATES, TEXTS, bigram_hash, scan, template_bigrams
 from ionweave.llm.linededup import drop_repeated_lines, without_repeats
 
 BLANKS = " \t\r\x0b\x0c"
@@ -73,20 +75,22 @@ def test_no_python_in_the_plans(spark):
 
 
 def brute_scan(text):
-    import re
-
+    """Every unit against every template, without pruning."""
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    grams = lambda w: set(zip(w, w[1:]))
+    units = [("line", k, grams(words(x))) for k, x in enumerate(text.split("\n"))]
+    units += [("paragraph", k, grams(words(x))) for k, x in enumerate(re.split("\n[ \t\r]*\n", text)) if "\n" in x]
+    w = words(text)
+    run = []
+    for i in [i for i in range(len(w) - 1) if (w[i], w[i + 1]) in EVERY] + [10**9]:
+        if run and i - run[-1] > GAP:
+            units.append(("run", run[0], grams(w[run[0] : run[-1] + 2])))
+            run = []
+        run.append(i)
     out = []
-    units = [("line", k, x) for k, x in enumerate(text.split("\n"))] + [("paragraph", k, x) for k, x in enumerate(re.split("\n[ \t\r]*\n", text)) if "\n" in x]
-    for kind, nth, unit in units:
-        w = [x for x in re.split("[^a-z0-9]+", unit.lower()) if x]
-        if len(w) < 2:
-            continue
-        a = {f"{x} {y}" for x, y in zip(w, w[1:])}
+    for kind, nth, a in units:
         best = None
-        for name, t in sorted(TEMPLATES.items()):
-            b = set(template_bigrams(t))
-            if (len(w) - 1) * 120 < len(b) * 80 or (len(w) - 1) * 80 > len(b) * 120:
-                continue
+        for name, b in BIGRAMS.items():
             dice = 2 * len(a & b) / (len(a) + len(b))
             if 200 * len(a & b) >= 80 * (len(a) + len(b)) and (best is None or dice > best[0]):
                 best = (dice, name)
@@ -95,6 +99,17 @@ def brute_scan(text):
     return sorted(out)
 
 
+BIGRAMS = {name: set(template_bigrams(t)) for name, t in sorted(TEMPLATES.items())}
+EVERY = set().union(*BIGRAMS.values())
+
+
+def scanned(spark, texts):
+    got = {}
+    for r in scan(spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)], "doc_id long, text string, license string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["kind"], r["nth"], r["license"], r["dice"]))
+    return got
+
+
 def test_scan_equals_brute_force(spark):
     rnd = random.Random(8)
     texts = []
@@ -104,12 +119,36 @@ def test_scan_equals_brute_force(spark):
             x = [y for y in w if rnd.random() > 0.04]
             text = "".join(y + rnd.choice([" ", " ", " ", "\n"] if len(w) > 12 else [" "]) for y in x)
             texts.append(f"Some prose before.\n\n{text.upper() if rnd.random() < 0.3 else text}\n \nAnd after it.")
+        texts.append(f"A longer line of prose says this much: {t} And then it goes on as prose does, without end.")
     texts += [None, "", "word", "two words", "the " * 5000, "é ü ß"]
-    df = spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)], "doc_id long, text string, license string")
-    got = {}
-    for r in scan(df).collect():
-        got.setdefault(r["doc_id"], []).append((r["kind"], r["nth"], r["license"], r["dice"]))
+    got = scanned(spark, texts)
     for n, t in enumerate(texts):
         assert sorted(got.get(n, [])) == brute_scan(t or "")
-    assert len(got) >= 60
-    assert scan(df.limit(0)).count() == 0
+    assert len(got) >= 100
+    assert all(any(k == "run" for k, *_ in got[n]) for n in range(4, len(TEMPLATES) * 5, 5))
+    assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_notices_and_very_long_texts(spark):
+    notice = "Released under the MIT License."
+    long = " ".join(f"w{k % 977} x y of the" for k in range(120_000))
+    texts = [f"{notice} {notice}", f"{long} {TEXTS['mit']} {long}", long]
+    got = scanned(spark, texts)
+    assert {x[2] for x in got[0]} == {"mit-notice"} and any(x[0] == "line" and x[3] == round(8 / 9, 6) for x in got[0])
+    assert [(k, lic) for k, _, lic, _ in got[1]] == [("run", "mit")]
+    assert 2 not in got
+
+
+def test_the_plan_is_the_same_for_any_number_of_templates(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    rnd = random.Random(3)
+    many = {f"t{k}": " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 5) for _ in range(40)) for k in range(300)}
+    sizes = [len(scan(df, templates=t)._jdf.queryExecution().analyzed().toString().split("\n")) for t in (None, many)]
+    assert sizes[0] == sizes[1]
+    assert "from_json" not in scan(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_are_those_of_spark(spark):
+    pairs = [("a", "b"), ("mit", "license"), ("0", "z9")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    assert all(r["h"] == bigram_hash(r["a"], r["b"]) for r in got)
