@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ionweave.session import cut, discard, shared_dir, ship
 
-__all__ = ["LOWER", "cut", "discard", "fresh", "parts", "resident", "shared_dir", "ship", "spill_freed", "table", "words_of"]
+__all__ = ["LOWER", "beside", "cut", "discard", "fresh", "parts", "resident", "shared_dir", "ship", "spill_freed", "table", "words_of"]
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -42,6 +42,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def beside(id_col: str, names: list[str]) -> list[str]:
+    """``names`` for columns beside ``id_col``: one that is its name, whatever the case, gets an underscore."""
+    return [n + "_" if n.lower() == id_col.lower() else n for n in names]
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows at most, so that few texts are Python objects at a time."""
     for b in batches:

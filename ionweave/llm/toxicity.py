@@ -1,25 +1,25 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text and normalised by length.
 
 Folding lower-cases, maps look-alike letters of other alphabets and, inside words, digits and signs that stand for letters.
-The lexicon has a few fixed insults, and stems (word beginnings and whole words) whose log odds in labelled toxic
-against labelled clean texts are high beyond chance. One automaton holds stems and exception phrases; a match inside an
-exception phrase does not count, and each word counts once, by its heaviest stem. Sums and densities of the weights go
-through a logistic curve.
+The lexicon has stems (word beginnings and whole words) whose log odds in labelled toxic against labelled clean texts are high
+beyond chance. Exceptions are phrases of two words, one of them with such a stem, whose log odds for clean texts, among the texts that
+have such phrases at all, are high beyond chance. One automaton holds stems and phrases; a match inside a phrase does not count, and each word counts once, by its heaviest
+stem. Sums and densities of the weights go through a logistic curve.
 
-What is learned comes from at most ``max_labelled`` labelled rows, those with the smallest hashes of their ids. So at most that many (id, label) pairs, ``max_stems`` stems and a
-handful of numbers reach the driver. Scoring is one pass over all texts without a shuffle.
+All is learned, from at most ``max_labelled`` labelled rows, those with the smallest hashes of their ids. What reaches the driver
+comes from that sample alone: its (id, label) pairs, the stems and phrases that are beyond chance in it, and three numbers a row.
+Scoring is one pass over all texts without a shuffle.
 
 Edge cases: an empty or null text scores as a text without matches. Rows without an id are scored and count as not held out.
-Labels that are null, or differ for one id, teach nothing. With no labelled rows the fixed insults and a fixed curve score.
-Equal texts score alike; texts are whole; columns beyond those named are neither read nor returned, except by ``drop_toxic``,
-which keeps all columns. Tables without rows give none.
+Labels that are null, or differ for one id, teach nothing. With no labelled rows, or those of one class, the lexicon is empty and all
+texts score alike, under the threshold. Equal texts score alike; texts are whole, however long. ``score`` and ``drop_toxic`` keep all
+columns; a new column whose name is taken gets underscores. Tables without rows give none.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ionweave.llm.common import cut, fresh, parts, table
+from ionweave.llm.common import cut, discard, fresh, parts, resident, ship, table
 
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-INSULT_WEIGHT = 5.0
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "stupid mistake of mine", "pathetic fallacy", "pond scum")
 THRESHOLD = 0.3
 #: Without labels: the curve's weights of one, the logarithm of the sum, the density.
 CURVE = (-3.0, 1.5, 20.0)
@@ -74,6 +71,7 @@ class Matcher:
         for e in exceptions:
             e = f" {' '.join(_WORD.findall(fold(e)))} "
             self.automaton.add_word(e, (len(e), None))
+        self.stems = weights.keys()
         self.automaton.make_automaton()
 
     def measure(self, text: str) -> tuple[float, int]:
@@ -93,6 +91,13 @@ class Matcher:
         return sum(best.values()), len(words)
 
 
+    def phrases(self, text: str) -> set[str]:
+        """Each two words of a text that follow each other, if one of them has a stem."""
+        words = _WORD.findall(fold(text))
+        has = [any(s in self.stems for s in stems(w)) for w in words]
+        return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], has, has[1:], strict=False) if x or y}
+
+
 def curve_inputs(total: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log1p(total), total / np.maximum(words, 20)], axis=1)
 
@@ -117,19 +122,17 @@ def fit_curve(total: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple[
     return tuple(map(float, w))
 
 
-@lru_cache(maxsize=4)
-def matcher(weights: tuple, exceptions: tuple) -> Matcher:
-    return Matcher(dict(weights), exceptions)
-
-
 class Model:
     """Stems, exceptions and curve: plain values that ship with the tasks."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, curve: tuple[float, ...] = CURVE):
-        self.weights, self.exceptions, self.curve = tuple(sorted(weights.items())), exceptions, curve
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = (), curve: tuple[float, ...] = CURVE):
+        self.weights, self.exceptions, self.curve = tuple(sorted(weights.items())), tuple(sorted(exceptions)), curve
+
+    def matcher(self) -> Matcher:
+        return resident(("toxicity", self.weights, self.exceptions), lambda: Matcher(dict(self.weights), self.exceptions))
 
     def measures(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        m = matcher(self.weights, self.exceptions)
+        m = self.matcher()
         got = [m.measure(t or "") for t in texts]
         return np.array([g[0] for g in got], dtype=float), np.array([g[1] for g in got], dtype=float)
 
@@ -137,10 +140,6 @@ class Model:
         return sigmoid(curve_inputs(*self.measures(texts)) @ np.array(self.curve)) if texts else np.zeros(0)
 
 
-def default_weights() -> dict[str, float]:
-    return {f" {fold(w)}": INSULT_WEIGHT for w in INSULTS}
-
-
 def most_specific(found: dict[str, tuple[float, int]], share: float = 0.9) -> dict[str, float]:
     """The weights of those stems that no single longer one stands for: none has ``share`` of its toxic texts."""
     longer: dict[str, int] = {}
@@ -157,63 +156,83 @@ def fold_of(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def learn(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    max_labelled: int = 40_000,
-    max_stems: int = 4_000,
-    z: float = 2.0,
-    least: float = 1.0,
-) -> Model:
-    """Learn stems from the labelled rows outside fold 2, the curve from those of fold 3 under the stems of folds 0 and 1.
+#: Entries of a task's table of counts, which then goes on and begins anew.
+HELD = 100_000
+COUNTS = ("clean0", "toxic0", "clean3", "toxic3")
 
-    The bounded sample of ids is broadcast to the scan of the texts, so no text is shuffled.
-    """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
-    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).filter("_y = _most and _y in (0, 1)").drop("_most")
-    known = known.withColumn("_fold", fold_of("_id")).filter("_fold <> 2")
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).select("_id", "_y", (F.col("_fold") == 3).cast("int").alias("_part"))
-    taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y", "_part")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+def counted(taught: DataFrame, features) -> DataFrame:
+    """(item, clean0, toxic0, clean3, toxic3): of each feature of texts, the texts that have it, by part and label; the item '' has
+    all texts with any. Written. ``features`` gives a function of a text, which gives the set of its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, rows = features(), {}, [0] * 4
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held)), *(pa.array([v[k] for v in held.values()]) for k in range(4))], names=["stem", "clean0", "toxic0", "clean3", "toxic3"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[k] for v in held.values()], pa.int64()) for k in range(4))], names=["item", *COUNTS])
 
-        rows = [0] * 4
         for b in parts(batches):
             for t, y, part in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                rows[2 * part + y] += 1
-                for s in {s for w in set(_WORD.findall(fold(t or ""))) if len(w) > 2 for s in stems(w)}:
+                some = of(t or "")
+                rows[2 * part + y] += bool(some)
+                for s in some:
                     if (v := held.get(s)) is None:
                         held[s] = v = [0] * 4
                     v[2 * part + y] += 1
-                if len(held) > 300_000:
+                if len(held) > HELD:
                     yield out()
                     held = {}
         held[""] = rows
         yield out()
 
-    counts = taught.mapInArrow(count, "stem string, clean0 long, toxic0 long, clean3 long, toxic3 long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("clean0", "toxic0", "clean3", "toxic3")))
-    counts = cut(counts, "stems")
-    rows = counts.filter("stem = ''").first()
+    schema = ", ".join(["item string", *(f"{c} long" for c in COUNTS)])
+    return cut(taught.mapInArrow(run, schema).groupBy("item").agg(*(F.sum(c).alias(c) for c in COUNTS)), "counts")
+
+
+def beyond_chance(counts: DataFrame, of: str, against: str, ks: tuple[int, ...], z: float, least: float) -> list:
+    """Rows (item, n, w): items in three texts of one label or more whose log odds against the other, less z standard errors, reach
+    ``least``; ``ks`` are the parts that count."""
+    rows = counts.filter("item = ''").first()
+    n_of, n_against = (sum(rows[f"{c}{p}"] for p in ks) if rows else 0 for c in (of, against))
+    if not n_of or not n_against:
+        return []
+    x, y = (sum(F.col(f"{c}{p}") for p in ks) for c in (of, against))
+    odds = F.log((x + 0.5) / (n_of + 1)) - F.log((y + 0.5) / (n_against + 1))
+    sure = odds - z * F.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
+    return counts.filter((F.col("item") != "") & (x >= 3) & (sure >= least)).select("item", x.alias("n"), odds.alias("w")).collect()
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 40_000, z: float = 2.0, least: float = 1.0
+) -> Model:
+    """Learn stems and exceptions from the labelled rows outside fold 2, the curve from those of fold 3 under what folds 0 and 1 teach.
+
+    The bounded sample of ids is broadcast to the scan of the texts, so no text is shuffled.
+    """
+    ship(docs.sparkSession)
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).filter("_y = _most and _y in (0, 1)").drop("_most")
+    known = known.withColumn("_fold", fold_of("_id")).filter("_fold <> 2")
+    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).select("_id", "_y", (F.col("_fold") == 3).cast("int").alias("_part"))
+    taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y", "_part")
+
+    def word_stems():
+        resident("toxicity")
+        return lambda t: {s for w in set(_WORD.findall(fold(t))) if len(w) > 2 for s in stems(w)}
+
+    counts = counted(taught, word_stems)
+
+    def lexicon(ks: tuple[int, ...]) -> dict[str, float]:
+        return most_specific({r["item"]: (float(r["w"]), r["n"]) for r in beyond_chance(counts, "toxic", "clean", ks, z, least)})
+
+    first, whole = Model(lexicon((0,))), Model(lexicon((0, 3)))
+    both = Model(dict(first.weights) | dict(whole.weights))
+    phrases = counted(taught, lambda: both.matcher().phrases)
 
-    def chosen(parts: tuple[int, ...]) -> dict[str, float]:
-        clean, toxic = (sum(F.col(f"{c}{p}") for p in parts) for c in ("clean", "toxic"))
-        n_clean, n_toxic = (sum(rows[f"{c}{p}"] for p in parts) if rows else 0 for c in ("clean", "toxic"))
-        if not n_clean or not n_toxic:
-            return default_weights()
-        odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
-        sure = odds - z * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-        found = counts.filter("stem <> ''").select("stem", toxic.alias("n"), odds.alias("w"), sure.alias("sure")).filter((F.col("n") >= 3) & (F.col("sure") >= least))
-        top = found.orderBy(F.desc(F.col("sure") * F.log1p("n")), "stem").limit(max_stems).collect()
-        return default_weights() | most_specific({r["stem"]: (float(r["w"]), r["n"]) for r in top})
+    def exceptions(ks: tuple[int, ...]) -> tuple[str, ...]:
+        return tuple(r["item"] for r in beyond_chance(phrases, "clean", "toxic", ks, z, least))
 
-    first = Model(chosen((0,)))
+    first = Model(dict(first.weights), exceptions((0,)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -223,11 +242,15 @@ def learn(
     # three numbers for each labelled row of the sample, under the same bound should ids repeat
     rest = taught.filter("_part = 1").select("_text", "_y").mapInArrow(measure, "total double, words double, y int").orderBy(F.xxhash64("total", "words", "y")).limit(max_labelled).toPandas()
     curve = fit_curve(rest["total"].to_numpy(float), rest["words"].to_numpy(float), rest["y"].to_numpy(int))
-    return Model(chosen((0, 3)), curve=curve)
+    model = Model(dict(whole.weights), exceptions((0, 3)), curve)
+    discard(counts, phrases)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with a score for each row, in one pass."""
+    ship(docs.sparkSession)
+    out_col = fresh(docs, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):

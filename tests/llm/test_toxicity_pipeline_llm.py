@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ionweave.llm.toxicity import CURVE, Matcher, Model, default_weights, drop_toxic, fit_curve, fold, learn, most_specific, op10_toxicity, score
+from ionweave.llm.toxicity import CURVE, Matcher, Model, drop_toxic, fit_curve, fold, learn, most_specific, op10_toxicity, score, sigmoid, stems
 
 public = pytest.importorskip("public_tokenizers")
 
 
+LEXICON = {f" {fold(w)}": 5.0 for w in ("idiot", "clown", "trash")}
+
+
 def test_folding():
     assert fold("IDIOT") == fold("1d10t") == fold("іdіоt") == fold("ｉｄｉｏｔ")
     assert fold("$tup1d") == fold("stupid") and fold("l0ser") == fold("loser")
@@ -22,7 +25,7 @@ def test_long_runs_are_read_once():
     began = time.process_time()
     for text in ("a" * 300_000, "!" * 300_000, "1" * 300_000, "a1" * 150_000, "idiot" * 60_000):
         fold(text)
-        Matcher(default_weights(), ()).measure(text)
+        Matcher(LEXICON, ()).measure(text)
     assert time.process_time() - began < 20
 
 
@@ -33,8 +36,63 @@ def test_matches_count_once_a_word_and_exceptions_do_not():
     assert m.measure("") == (0.0, 0)
 
 
+def naive_measure(text, weights, exceptions):
+    """Word by word: the heaviest stem of each, unless an exception phrase covers it."""
+    words = "".join(c if c.isalpha() else " " for c in fold(text)).split()
+    phrases = [fold(e).split() for e in exceptions]
+    exempt = {i + k for p in phrases for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p for k in range(len(p))}
+    heaviest = [max([weights[s] for s in weights if (f" {w} " == s if s.endswith(" ") else f" {w} ".startswith(s))], default=0.0) for w in words]
+    return sum(h for i, h in enumerate(heaviest) if i not in exempt), len(words)
+
+
+def test_matcher_equals_naive_scoring():
+    rnd = random.Random(12)
+    syllables = ["ka", "l1", "so", "$o", "ne", "idi", "ot", "1d10t", "іd", "cl0wn", "fish", "tr@sh", "!", "-", "  ", "\n", "7", "é"]
+    vocabulary = [fold("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3)))).strip() for _ in range(300)]
+    words = [w for w in vocabulary if w.isalpha()]
+    weights = {s: float(rnd.randint(1, 9)) for w in rnd.sample(words, 30) for s in [rnd.choice(stems(w))]}
+    exceptions = tuple(f"{rnd.choice(words)} {rnd.choice(words)}" for _ in range(60))
+    model = Model(weights, exceptions, (-1.0, 0.7, 9.0))
+    texts = ["".join(rnd.choice(syllables + [" "] * 8 + [w + " " for w in words[:40]]) for _ in range(rnd.randint(0, 120))) for _ in range(300)]
+    texts += [" ".join(rnd.choice(exceptions) for _ in range(rnd.randint(1, 30))) for _ in range(50)]
+    m = Matcher(weights, exceptions)
+    want = [naive_measure(t, weights, exceptions) for t in texts]
+    assert [m.measure(t) for t in texts] == want
+    assert sum(w > 0 for w, _ in want) > 100
+    x = np.array([[1.0, np.log1p(a), a / max(b, 20)] for a, b in want])
+    assert np.allclose(model.scores(texts), sigmoid(x @ np.array(model.curve)))
+
+
+def test_exceptions_and_stems_are_learned_by_counting(spark):
+    rows, labels = corpus(600)
+    docs = [(i, t + (" seen on grumpkin hill today" if not y and i % 20 == 1 else "")) for (i, t, *_), (_, _, y) in zip(rows, labels)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = learn(frame, spark.createDataFrame([(i, y) for i, _, y in labels], "doc_id long, toxic int"))
+    assert fold("grumpkin hill") in model.exceptions and fold("on grumpkin") in model.exceptions
+    truth = [y for _, _, y in labels]
+    got = model.scores([t for _, t in docs]) >= 0.3
+    assert sum(g != y for g, y in zip(got, truth)) <= 6
+    # the weights, by counting
+    known = [(t, y) for (i, t), y in zip(docs, truth) if zlib.crc32(str(i).encode()) % 4 != 2]
+    has = [({s for w in set(fold(t).split()) if len(w) > 2 for s in stems(w)}, y) for t, y in known]
+    n = [sum(1 - y for _, y in has), sum(y for _, y in has)]
+    for s, w in model.weights:
+        x = [sum(s in h for h, y in has if y == k) for k in (0, 1)]
+        assert np.isclose(w, np.log((x[1] + 0.5) / (n[1] + 1)) - np.log((x[0] + 0.5) / (n[0] + 1)))
+
+
+def test_very_long_texts_and_taken_names(spark):
+    rows, labels = corpus(300)
+    docs = [(i, t, 0.5) for i, t, *_ in rows] + [(5000, " ".join(t for _, t, *_ in rows) * 60, 0.5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, score double")
+    model = learn(frame, spark.createDataFrame([(i, y) for i, _, y in labels] + [(5000, 0)], "doc_id long, toxic int"))
+    got = score(frame, model)
+    assert got.columns == ["doc_id", "text", "score", "score_"]
+    assert got.filter("score_ between 0 and 1 and score = 0.5").count() == len(docs)
+
+
 def test_scores_fall_with_length_and_are_shares():
-    model = Model(default_weights())
+    model = Model(LEXICON)
     s = model.scores(["you idiot", "you idiot " + "fine words here " * 200, "fine words", "", None])
     assert s[0] > s[1] > s[2] and s[3] == s[4] and ((s >= 0) & (s <= 1)).all()
 
@@ -103,9 +161,9 @@ def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "you idiot moron", 2), (2, "a fine day", 3)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = learn(docs, none)
-    assert model.curve == CURVE and dict(model.weights) == default_weights()
-    kept = drop_toxic(docs, none)
-    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+    assert model.curve == CURVE and not model.weights and not model.exceptions
+    kept = drop_toxic(docs, none)  # nothing is known to be toxic
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
     assert score(docs.limit(0), model, out_col="s").count() == 0
 
 
