@@ -7,7 +7,8 @@ are run side by side in numpy; long pieces have a tree of their own.
 
 Edge cases: a null or empty text has no ids; its decoded text is empty. A text that holds a special token's string gets
 that token's id, as the tokenizers library does by default. Texts are whole, however long. Equal rows give equal rows.
-Columns other than the id and the text are neither read nor returned. A table without rows gives none.
+``round_trip`` neither reads nor returns columns other than the id and the text, ``encode_column`` keeps all; a new column whose name
+is taken gets underscores. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ionweave.llm.caching import Memo
-from ionweave.llm.common import parts, table
+from ionweave.llm.common import beside, fresh, parts, resident, ship, table
 
 #: White space as Unicode has it. Python's own class also has the four separators 1C to 1F, the tokenizers' has not.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -225,9 +225,8 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
-    return Bpe(path)
+    return resident(("bpe", path), lambda: Bpe(path))
 
 
 def _strings(path: str | None) -> str:
@@ -240,6 +239,8 @@ def _strings(path: str | None) -> str:
 
 def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "ids", vocab: str | None = None) -> DataFrame:
     """``docs`` with the ids of its text column. ``vocab`` is the file's place on the executors (None: the package's)."""
+    ship(docs.sparkSession)
+    out_col = fresh(docs, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(_strings(vocab))
@@ -273,7 +274,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=names)
         bpe.memo.clear()
 
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    ship(docs.sparkSession)
+    names = [id_col, *beside(id_col, ["n_tokens", "ids_sha256", "decoded_sha256"])]
     kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType()]
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(*x) for x in zip(names, kinds, strict=True)]))
 

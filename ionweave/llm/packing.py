@@ -2,15 +2,21 @@
 
 A sequence has room for so many tokens, segments and loss-bearing tokens. Of the pieces at hand, the one whose demand has
 the largest weighted dot product with the room left goes in; each limit is weighted by the mean demand on it. When none
-fits whole, the best one is cut at the room left and its rest stays at hand. A document longer than a sequence first fills
-sequences of its own. Documents are packed where they are read, without a shuffle: a task holds a window of pieces, and only
-its last sequence is left short.
+fits whole, the best one is cut at the room left and its rest stays at hand. Documents longer than a sequence are first cut into pieces
+that leave a sixteenth of it to others. Documents are packed where they are read, without a shuffle: a task holds a window of pieces.
+
+The ids of a row's prompt bear no loss; where rows have no prompts, a document's first ``context`` ids bear none, as too little stands
+before them. So the three limits differ: of long documents alone, sequences would be full of loss-bearing ids before they are full.
+
+A sequence is padded to ``max_tokens`` unless its length is a power of two. What a limit or the end of a task leaves short is
+therefore cut into sequences whose lengths are powers of two, the largest first: they need no padding.
 
 The number of a sequence is its task's number times 2**32 plus its number in the task. A task that is run again reads
 the same rows and packs them alike.
 
-Edge cases: a null or empty text is its end id alone, a null id stays null, and prompts that are null are empty. Equal rows
-are packed as often as they occur. Other columns are neither read nor returned. A table without rows gives none.
+Edge cases: a null or empty text is its end id alone, a null id stays null, ids may be of any type, and prompts that are null are empty.
+Texts are whole, however long. Equal rows are packed as often as they occur. Other columns are neither read nor returned; a result's
+column that has the id's name gets an underscore. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ionweave.llm.common import parts, table
+from ionweave.llm.common import beside, parts, ship, table
 from ionweave.llm.words import loaded
 
 
@@ -33,7 +40,7 @@ from ionweave.llm.words import loaded
 class Piece:
     """Ids ``start`` to ``start + size`` of a row; the first ``free`` of them bear no loss."""
 
-    row: int | None
+    row: object
     ids: bytes  # of the whole row
     start: int
     size: int
@@ -65,14 +72,10 @@ class Packer:
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         tokens, _, loss = map(int, self.limits)
-        while piece.size and (piece.size >= tokens or piece.loss >= loss):
-            first, piece = piece.split(piece.head(tokens, loss))
-            if first.size < tokens:  # the loss limit cut it: others may still go beside it
-                self.waiting.append(first)
-            else:
-                yield [first]
-        if piece.size:
-            self.waiting.append(piece)
+        while piece.size > tokens:
+            first, piece = piece.split(piece.head(max(1, tokens - tokens // 16), loss))
+            self.waiting.append(first)
+        self.waiting.append(piece)
         if len(self.waiting) >= 2 * self.window:
             yield from self._pack(self.window)
 
@@ -112,10 +115,31 @@ class Packer:
                 if not rest.size:
                     alive[k] = False
                     left -= 1
-            yield sequence
+            yield from even(sequence, int(self.limits[0]))
         self.waiting = [p for p, on in zip(pieces, alive, strict=True) if on]
 
 
+def even(sequence: list[Piece], tokens: int) -> Iterator[list[Piece]]:
+    """The sequence, or where it is short, sequences of it whose lengths are powers of two."""
+    left = sum(p.size for p in sequence)
+    if left == tokens:
+        yield sequence
+        return
+    waiting = sequence[::-1]
+    while left:
+        room = 1 << (left.bit_length() - 1)
+        left -= room
+        some: list[Piece] = []
+        while room:
+            piece = waiting.pop()
+            if piece.size > room:
+                piece, rest = piece.split(room)
+                waiting.append(rest)
+            some.append(piece)
+            room -= piece.size
+        yield some
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -124,16 +148,18 @@ def pack(
     vocab: str | None = None,
     end_id: int = 2,
     max_tokens: int = 4096,
-    max_segments: int = 512,
-    max_loss: int = 4096,
+    max_segments: int = 32,
+    max_loss: int = 4064,
+    context: int = 16,
     window: int = 512,
     with_ids: bool = False,
 ) -> DataFrame:
     """The pieces of all rows and their places in sequences.
 
-    A row's ids are those of its prompt, which bear no loss, then of its text, then ``end_id``. Columns: id, start,
-    length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset, and with ``with_ids`` the ids.
+    A row's ids are those of its prompt, then of its text, then ``end_id``. Columns: id, start, length, ids_crc32, doc_tokens,
+    loss_tokens, sequence_id, offset, and with ``with_ids`` the ids.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -166,7 +192,7 @@ def pack(
             for row, head, ids in zip(b.column(0).to_pylist(), heads, words.encode_all(texts), strict=True):
                 whole = head + ids + end
                 n = len(whole) // 4
-                for s in packer.add(Piece(row, whole, 0, n, len(head) // 4, n)):
+                for s in packer.add(Piece(row, whole, 0, n, len(head) // 4 if prompt_col else min(context, n), n)):
                     done.append(s)
                     if len(done) >= 256:
                         yield out(done)
@@ -180,12 +206,11 @@ def pack(
         if done:
             yield out(done)
 
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
-    long_id = docs.schema[id_col].dataType
-    kinds: list[T.DataType] = [long_id, *[T.LongType()] * 7]
-    arrow = [pa.string() if isinstance(long_id, T.StringType) else pa.int64(), *[pa.int64()] * 7]
+    names = [id_col, *beside(id_col, ["start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"])]
+    kinds: list[T.DataType] = [docs.schema[id_col].dataType, *[T.LongType()] * 7]
     if with_ids:
-        names, kinds, arrow = [*names, "ids"], [*kinds, T.ArrayType(T.IntegerType())], [*arrow, pa.list_(pa.int32())]
+        names, kinds = [*names, *beside(id_col, ["ids"])], [*kinds, T.ArrayType(T.IntegerType())]
+    arrow = [to_arrow_type(k, prefers_large_types=False) for k in kinds]
     schema = T.StructType([T.StructField(*x) for x in zip(names, kinds, strict=True)])
     return docs.select(id_col, text_col, *([prompt_col] if prompt_col else [])).mapInArrow(run, schema)
 

@@ -7,28 +7,29 @@ logarithm of the number, fitted per group. For each language named in ``langs``,
 and the median distance from it span a band; a text outside a band is rejected. Bands are never narrower than a floor,
 so a uniform corpus keeps its texts.
 
+Fits come from sums of decimals and medians from counts of rounded values, so a verdict depends neither on the order of rows nor on
+how they are dealt to tasks.
+
 Edge cases: a null or empty text has no words, fails the base rules and is not kept. A language that is null or not named
-falls back to the script of most letters. Texts are whole, however long; equal rows are judged alike; columns
-other than id, text and language are neither read nor returned. A table without rows gives none.
+falls back to the script of most letters. Texts are whole, however long; equal rows are judged alike, null ids stay null; columns
+other than id, text and language are neither read nor returned; a result's column that has the id's name gets an underscore. A table
+without rows gives none.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ionweave.llm.common import cut, table, words_of
-from ionweave.llm.common import parts as small
+from ionweave.llm.common import beside, cut, parts, resident, ship, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -86,7 +87,6 @@ def script_of(text: str) -> str:
     return min(counts, key=lambda s: (-counts[s], s)) if counts else "NONE"
 
 
-@lru_cache(maxsize=2)
 def vocabularies(ranks_path: str, pieces_path: str):
     import public_tokenizers as public
     import sentencepiece
@@ -108,25 +108,13 @@ def entropy_share(ids: np.ndarray) -> float:
     return float(max(0.0, -(p * np.log2(p)).sum()) / math.log2(ids.size))
 
 
-#: In very long texts, a run longer than this without white space is read in parts by the vocabularies, which take time beyond proportion to it.
-PART = 4000
-_RUN = re.compile(rf"\S{{{PART + 1},}}")
-
-
-def parts(text: str) -> list[str]:
-    """The text in parts that join to it; one part unless it is very long and holds such a run. Nothing but these runs is cut."""
-    if len(text) <= 50 * PART:
-        return [text]
-    cuts = [i for m in _RUN.finditer(text) for i in range(m.start() + PART, m.end(), PART)]
-    return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-
-
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ranks: str | None, pieces: str | None, langs: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers as public
 
-        bytelevel, fallback, bytewise = vocabularies(ranks or public.path("byte_bpe_multi_50k.tiktoken"), pieces or public.path("piece_bpe_32k.model"))
-        for b in small(batches):
+        paths = ranks or public.path("byte_bpe_multi_50k.tiktoken"), pieces or public.path("piece_bpe_32k.model")
+        bytelevel, fallback, bytewise = resident(("quality", paths), lambda: vocabularies(*paths))
+        for b in parts(batches):
             rows = []
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = text or ""
@@ -135,19 +123,57 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ranks:
                 if not counts[0]:
                     rows.append((*counts, group, None, None, None, None))
                     continue
-                ids = np.array([i for p in parts(text) for i in bytelevel.encode_ordinary(p)])
-                own = np.array([i for p in parts(text) for i in fallback.encode(p, num_threads=1)], dtype=np.int64)
+                ids = np.array(bytelevel.encode_ordinary(text))
+                own = np.array(fallback.encode(text, num_threads=1), dtype=np.int64)
                 rows.append((*counts, group, len(text) / max(1, ids.size), float(bytewise[own].mean()) if own.size else 0.0, entropy_share(ids), int(ids.size)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 3 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, *names])
 
+    ship(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "band_group", *MEASURES, "n_tokens"]
     kinds = [T.LongType()] * 5 + [T.StringType()] + [T.DoubleType()] * 3 + [T.LongType()]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     return docs.select(id_col, text_col, lang_col).mapInArrow(run, schema)
 
 
+#: Measures are compared as multiples of this, so that medians are counts of whole numbers.
+STEP = 1e-4
+
+
+def exact_fit(sound: DataFrame) -> DataFrame:
+    """(band_group, slope, bits, size): a straight line of entropy in bits by the logarithm of the number of tokens, per group.
+    Sums are of decimals, so they don't depend on an order; no slope where all texts have one number of tokens."""
+    x, y = F.col("size").cast("decimal(9,6)"), F.col("bits").cast("decimal(9,6)")
+    sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y)}
+    by = sound.groupBy("band_group").agg(*(c.alias(k) for k, c in sums.items()))
+    n, sx, sy, sxx, sxy = (F.col(c).cast("double") for c in sums)
+    slope = F.when(n * sxx - sx * sx > 1e-9 * n * n, (n * sxy - sx * sy) / (n * sxx - sx * sx)).otherwise(0.0)
+    return by.select("band_group", slope.alias("slope"), (sy / n).alias("mean_bits"), (sx / n).alias("mean_size"))
+
+
+def medians(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """(band_group, measure, name): the lower median of values that occur ``n`` times each. A group has as many rows as values
+    that differ at all, and not as texts."""
+    per = Window.partitionBy("band_group", "measure")
+    up_to = F.sum("n").over(per.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("up_to", up_to).withColumn("all", F.sum("n").over(per))
+    return placed.filter(2 * F.col("up_to") >= F.col("all")).groupBy("band_group", "measure").agg(F.min(value).alias(name))
+
+
+def bands_of(sound: DataFrame) -> DataFrame:
+    """(band_group, mid_*, mad_*): medians of the measures, in steps, and median distances from them."""
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"own_{m}").alias("v")) for m in MEASURES))).alias("x")
+    counts = sound.select("band_group", values).select("band_group", "x.measure", "x.v").filter("v is not null")
+    counts = cut(counts.groupBy("band_group", "measure", "v").agg(F.count("*").alias("n")), "counts")
+    middle = medians(counts, "v", "mid")
+    apart = counts.join(F.broadcast(middle), ["band_group", "measure"]).withColumn("apart", F.abs(F.col("v") - F.col("mid")))
+    spread = medians(apart.groupBy("band_group", "measure", "apart").agg(F.sum("n").alias("n")), "apart", "mad")
+    both = middle.join(spread, ["band_group", "measure"])
+    of = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
+    return both.groupBy("band_group").agg(*(of(c, m) for m in MEASURES for c in ("mid", "mad")))
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,29 +186,26 @@ def judge(
 ) -> DataFrame:
     """Counts, measures and verdict of each row.
 
-    One pass over the texts, whose narrow result is written; bands come from three partial aggregations over it. There are as
-    many bands as named languages and scripts of Unicode (under 200), so their table is broadcast.
+    One pass over the texts, whose narrow result is written; fits and bands come from two partial aggregations over it. There are as
+    many bands as named languages and scripts of Unicode (under 200), so their tables are broadcast.
     """
-    f = cut(features(docs, id_col, text_col, lang_col, ranks, pieces, langs), "quality")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    f = cut(features(rows, "id", "text", "lang", ranks, pieces, langs), "quality")
     f = f.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    size, widths = F.log2(F.greatest(F.lit(1), "n_tokens")), SPREADS if spreads is None else spreads
-    bits = F.col("entropy") * size
-    fits = f.filter(~F.col("base_failed")).groupBy("band_group").agg(F.regr_slope(bits, size).alias("slope"), F.avg(bits).alias("bits"), F.avg(size).alias("size"))
-    f = f.join(F.broadcast(fits), "band_group", "left")
-    # no slope where all texts have one number of tokens
-    f = f.withColumn("own_entropy", bits - F.col("bits") - F.coalesce("slope", F.lit(0.0)) * (size - F.col("size"))).drop("slope", "bits", "size")
-    own = {m: "own_entropy" if m == "entropy" else m for m in MEASURES}
-    sound = f.filter(~F.col("base_failed"))
-    middle = sound.groupBy("band_group").agg(*(F.percentile_approx(own[m], 0.5, 1000).alias(f"mid_{m}") for m in MEASURES))
-    bands = sound.join(F.broadcast(middle), "band_group").groupBy("band_group").agg(
-        *(F.first(f"mid_{m}").alias(f"mid_{m}") for m in MEASURES), *(F.percentile_approx(F.abs(F.col(own[m]) - F.col(f"mid_{m}")), 0.5, 1000).alias(f"mad_{m}") for m in MEASURES)
-    )
+    f = f.withColumn("size", F.round(F.log2(F.greatest(F.lit(1), "n_tokens")), 6)).withColumn("bits", F.round(F.col("entropy") * F.col("size"), 6))
+    f = f.join(F.broadcast(exact_fit(f.filter(~F.col("base_failed")))), "band_group", "left")
+    beyond = F.col("bits") - F.col("mean_bits") - F.col("slope") * (F.col("size") - F.col("mean_size"))
+    for m in MEASURES:
+        f = f.withColumn(f"own_{m}", F.round((beyond if m == "entropy" else F.col(m)) / STEP).cast("long"))
+    judged = f.join(F.broadcast(bands_of(f.filter(~F.col("base_failed")))), "band_group", "left")
     inside = F.lit(True)
     for m in MEASURES:
-        half = F.greatest(F.lit(FLOORS[m]), widths[m] * F.col(f"mad_{m}"))
-        inside = inside & F.coalesce(F.abs(F.col(own[m]) - F.col(f"mid_{m}")) <= half, F.lit(True))
-    judged = f.join(F.broadcast(bands), "band_group", "left")
-    return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *MEASURES, "band_group")
+        half = F.greatest(F.lit(FLOORS[m] / STEP), (SPREADS if spreads is None else spreads)[m] * F.col(f"mad_{m}"))
+        inside = inside & F.coalesce(F.abs(F.col(f"own_{m}") - F.col(f"mid_{m}")) <= half, F.lit(True))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    kept = (~F.col("base_failed") & inside).alias("kept")
+    out = judged.select("id", *counts, kept, *MEASURES, "band_group", "n_tokens")
+    return out.toDF(id_col, *beside(id_col, out.columns[1:]))
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

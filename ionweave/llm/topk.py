@@ -7,11 +7,14 @@ range. Scores are integers, so ranges shrink to one value: the kth best score it
 least that much; a block sends its k best by (score, smaller id), so ties beyond k don't travel.
 
 The set of queries grows with the vectors, so the work is quadratic by contract; neither side is broadcast or collected:
-vector blocks and query blocks are shuffled to each other by block numbers, and a task holds one of each.
-
-Edge cases: vectors that are null, empty, of another length than ``dims``, or hold null or non-finite components, and rows without an id take
-no part. A query with fewer than k candidates gets them all. Equal vectors tie and are ordered by id; rows that repeat an id
-are candidates each and one query, by their smallest vector; scores beyond a long are undefined and may be left out; no row with the query's own id is its candidate. Other columns are not read. An empty table gives no rows.
+vector blocks and query blocks are shuffled to each other by block numbers, and a task holds one of each. Each round therefore shuffles
+every vector once for each block of ``query_block`` queries, and every query once for each block of vectors: larger blocks mean less
+traffic and more memory.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite components, those whose squares (after scaling) sum to 2^62 or more,
+whose scores might be no longs, and rows without an id take no part. Vectors of one length meet each other only. A query with fewer
+than k candidates gets them all. Equal vectors tie and are ordered by id; rows that repeat an id are candidates each and one query, by
+their smallest vector; no row with the query's own id is its candidate. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,17 +24,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import cut, table
+from ionweave.llm.common import cut, discard, resident, ship, table
 
 #: Doubles hold integers up to this exactly.
 EXACT = 2**53
 
 
+#: A vector takes part if the squares of its components sum to less, so that no score is beyond a long.
+LARGEST = 2.0**62
+
+
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v) with v an array of longs floor(scale * x); only rows that take part."""
+    """(id, v, norm) with v an array of longs floor(scale * x), and the sum of their squares; only rows that take part."""
     v = F.transform(vec_col, lambda x: x.cast("double"))
-    sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.filter(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * float(scale)).cast("long")).alias("v"))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite
+    whole = F.transform(v, lambda x: F.floor(x * float(scale)).cast("double"))
+    rows = df.filter(sound).select(F.col(id_col).cast("long").alias("id"), whole.alias("x"))
+    norm = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
+    rows = rows.select("id", "x", norm.alias("norm")).filter(F.col("norm") < LARGEST)
+    return rows.select("id", F.transform("x", lambda x: x.cast("long")).alias("v"), "norm")
 
 
 def matrix(pdf: pd.DataFrame, exact: bool) -> np.ndarray:
@@ -52,26 +64,31 @@ def top_k(
     df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, bins: int = 1024, vector_block: int = 4096, query_block: int = 4096
 ) -> DataFrame:
     """query_id, rank from 1, vec_id, score of the k best of each query row. ``is_query`` is a condition on ``id``."""
+    ship(df.sparkSession)
     base = cut(quantised(df, id_col, vec_col, scale), "vectors")
-    facts = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.when(is_query, 1).otherwise(0)).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
-    fact = facts.orderBy(F.desc("n"), "d").first()
-    out = "query_id long, rank int, vec_id long, score long"
-    if fact is None or not fact["q"]:
-        return df.sparkSession.createDataFrame([], out)
-    base = base.filter(F.size("v") == fact["d"])
-    bound = min(int(fact["norm"]) + 1, 2**62)  # beyond it, scores are no longs
-    n_v, n_q = max(1, -(-fact["n"] // vector_block)), max(1, -(-fact["q"] // query_block))
-    vectors = base.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_v)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    queries = base.filter(is_query).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_q)).cast("int").alias("qb"))
+    asking = F.coalesce(is_query, F.lit(False))
+    fact = base.agg(F.max("norm").alias("norm"), F.count_if(asking).alias("q")).first()
+    if not fact["q"]:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    bound = int(fact["norm"]) + 1
+    # blocks of each length of vectors: its rows, and its queries
+    blocks = lambda n, size: F.ceil(n / F.lit(float(size))).cast("int")
+    sizes = base.groupBy(F.size("v").alias("d")).agg(blocks(F.count("*"), vector_block).alias("n_v"), blocks(F.count_if(asking), query_block).alias("n_q")).filter("n_q > 0")
+    sizes = cut(sizes, "sizes")
+    dealt = base.withColumn("d", F.size("v")).join(sizes, "d").select("id", "v", "d", "n_q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_v")).alias("vb"))
+    vectors = dealt.select("id", "v", "d", "vb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("qb"))
+    queries = base.filter(asking).groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")).join(sizes, "d")
+    queries = queries.select("id", "v", "d", "n_v", F.pmod(F.xxhash64("id", F.lit(2)), F.col("n_q")).cast("int").alias("qb"))
     queries = cut(queries, "queries")
 
     def paired(ranges: DataFrame, kernel, schema: str) -> DataFrame:
         """Each query, with its range, against each block of vectors."""
-        there = queries.join(ranges, "id").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
-        return vectors.groupBy("vb", "qb").cogroup(there.groupBy("vb", "qb")).applyInPandas(kernel, schema)
+        there = queries.join(ranges, "id").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_v").cast("long") - 1))).drop("n_v")
+        return vectors.groupBy("d", "vb", "qb").cogroup(there.groupBy("d", "vb", "qb")).applyInPandas(kernel, schema)
 
     def histograms(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         """Counts of the highest bins of a block until they hold k scores; bin ``bins`` stands for all above the range."""
+        resident("topk")
         rows = []
         if len(vs) and len(qs):
             low, width = qs["low"].to_numpy(np.int64), qs["width"].to_numpy(np.int64)
@@ -106,7 +123,8 @@ def top_k(
         at_kth = seen.withColumn("sum", F.sum("n").over(best)).groupBy("id").agg(F.max(F.when(F.col("sum") >= k, F.col("bin"))).alias("kth"))
         # with fewer than k candidates the range's own low end stays: all of them count
         step = ranges.join(at_kth, "id", "left").select("id", (F.col("low") + F.coalesce("kth", F.lit(0)) * F.col("width")).alias("low"), F.lit(max(1, -(-width // bins))).cast("long").alias("width"))
-        ranges = cut(step, "ranges")
+        before, ranges = ranges, cut(step, "ranges")
+        discard(before)
         if width == 1:
             break
         width = max(1, -(-width // bins))

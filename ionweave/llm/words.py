@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
 from ionweave.llm.caching import Memo
+from ionweave.llm.common import resident
 
 #: In texts of these characters, lower-casing and composition act on each character by itself, and ``PIECES`` cuts
 #: lower-cased text as the vocabulary's own pattern does. Signs that count as letters or numbers are left out.
@@ -66,6 +66,5 @@ class WordIds:
                 yield b"".join(map(ids.__getitem__, c)) if isinstance(c, list) else self._whole(c).tobytes()
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> WordIds:
-    return WordIds(path)
+    return resident(("words", path), lambda: WordIds(path))

@@ -1,9 +1,12 @@
+import math
 import random
 import re
+import statistics
+from fractions import Fraction
 
 import pytest
 
-from ionweave.llm.quality import base_counts, judge, parts, script_of
+from ionweave.llm.quality import FLOORS, MEASURES, base_counts, judge, script_of, vocabularies
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -64,8 +67,48 @@ def test_entropy_is_held_against_that_of_as_many_tokens(spark):
     assert all(by[i]["kept"] for i in range(200))
 
 
-def test_very_long_texts_are_cut_only_in_long_runs():
-    words = "some words " * 30000
-    assert parts(words) == [words]
-    long = words + "x" * 9000 + " " + words
-    assert [len(p) for p in parts(long)] == [len(words) + 4000, 4000, 1001 + len(words)] and "".join(parts(long)) == long
+def test_bands_equal_brute_force_and_do_not_depend_on_tasks(spark):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefgh 1234#é漢") for _ in range(n))
+    rows = [(i, prose(rnd, rnd.randint(10, 200)) + (noise(rnd.randint(0, 200)) if i % 3 == 0 else ""), rnd.choice(["en", "de", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spreads = {"chars_per_token": 2.0, "byte_share": 3.0, "entropy": 2.0}
+    got = [sorted(map(tuple, judge(df.repartition(k, "doc_id"), spreads=spreads).collect())) for k in (1, 7)]
+    assert got[0] == got[1]
+    by = {}
+    for r in judge(df, spreads=spreads).collect():
+        by.setdefault(r["band_group"], []).append(r)
+    kept = 0
+    for group in by.values():
+        sound = [r for r in group if not r["base_failed"]]
+        size = {r["doc_id"]: round(math.log2(max(1, r["n_tokens"])), 6) for r in group}
+        bits = {r["doc_id"]: round(r["entropy"] * size[r["doc_id"]], 6) for r in group}
+        x, y = [Fraction(size[r["doc_id"]]) for r in sound], [Fraction(bits[r["doc_id"]]) for r in sound]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+        own = {"entropy": lambda r: float(Fraction(bits[r["doc_id"]]) - my - slope * (Fraction(size[r["doc_id"]]) - mx))}  # noqa: B023
+        verdict = {r["doc_id"]: not r["base_failed"] for r in group}
+        for m in MEASURES:
+            step = {r["doc_id"]: round(own.get(m, lambda r: r[m])(r) / 1e-4) for r in group}  # noqa: B023
+            middle = statistics.median_low([step[r["doc_id"]] for r in sound])
+            mad = statistics.median_low([abs(step[r["doc_id"]] - middle) for r in sound])
+            for r in sound:
+                verdict[r["doc_id"]] &= abs(step[r["doc_id"]] - middle) <= max(FLOORS[m] / 1e-4, spreads[m] * mad)
+        assert all(verdict[r["doc_id"]] == r["kept"] for r in group)
+        kept += sum(verdict.values())
+    assert 100 < kept < 380
+
+
+def test_very_long_texts_are_read_whole(spark):
+    rnd = random.Random(1)
+    texts = [prose(rnd, 50_000), "x" * 300_000, prose(rnd, 40_000) + "y" * 9_000 + prose(rnd, 100), prose(rnd, 60)]
+    assert len(texts[0]) > 200_000
+    got = {r["doc_id"]: r for r in judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    bytelevel, _, _ = vocabularies(public.path("byte_bpe_multi_50k.tiktoken"), public.path("piece_bpe_32k.model"))
+    for i, t in enumerate(texts):
+        assert (got[i]["n_tokens"] or 0) == len(bytelevel.encode_ordinary(t))
+
+
+def test_a_column_named_like_a_result(spark):
+    got = judge(spark.createDataFrame([(1, "a b", "en")], "kept long, text string, lang string"), id_col="kept")
+    assert got.columns[0] == "kept" and "kept_" in got.columns and got.first()["kept"] == 1

@@ -51,6 +51,13 @@ def test_empty_and_single(spark):
     assert run(spark, [(0, [1.0])]) == []
 
 
-def test_huge_components_do_not_stop_it(spark):
-    got = run(spark, [(0, [3.0e38, 1.0]), (5, [1.0, 2.0]), (7, [-3.0e38, 0.0])])
-    assert {(q, v) for q, _, v, _ in got} <= {(0, 5), (0, 7), (5, 0), (5, 7)}
+def test_vectors_of_one_length_meet_each_other_only(spark):
+    rows = some(30) + [(100 + i, v) for i, v in some(30, 1, 4)] + [(300, [1.0] * 9)]
+    want = sorted(brute(rows[:30], lambda q: q % 5 == 0, 5) + brute(rows[30:60], lambda q: q % 5 == 0, 5))
+    assert run(spark, rows, vector_block=11, query_block=2) == want
+
+
+def test_vectors_whose_scores_might_be_no_longs_take_no_part(spark):
+    rows = some(20) + [(50, [3.0e38] + [0.0] * 5), (55, [1.0e6] * 6), (56, [-1.0e6] * 6)]
+    assert run(spark, rows) == brute([r for r in rows if r[0] != 50], lambda q: q % 5 == 0, 5)
+    assert run(spark, [(0, [3.0e38, 1.0]), (5, [-3.0e38, 0.0])]) == []
