@@ -438,23 +438,18 @@ def hopeful(rest: DataFrame, percent: int) -> DataFrame:
     size, shows for a whole band at once that none of it is similar to a document, before pairs are made.
     """
     own = rest.groupBy("rep").agg(F.count("*").alias("own")).withColumnRenamed("rep", "_r")
-    rows = rest.join(own, F.col("rep") == F.col("_r")).drop("_r").withColumn("band", band_of("n"))
-    rows = cut(rows, "rows")
+    rows = cut(rest.join(own, F.col("rep") == F.col("_r")).drop("_r"), "rows")
     extent = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("most"), F.min("c").alias("c0"), F.max("c").alias("c1")]
-    cells = rows.groupBy(F.col("t").alias("_t"), F.col("band").alias("_band")).agg(*extent)
-    # a band meets those of sizes that can be similar to one of its own; one more on each side for rounding
-    least, most = (band_of(x) for x in (f"floor(lo * {percent} / 100)", f"ceil(hi * 100 / {percent})"))
-    meets = F.explode(F.sequence(F.greatest(least - 1, F.lit(0)), most + 1))
-    cells = cells.select("_t", "lo", "hi", "most", "c0", "c1", meets.alias("_band"))
+    cells = rows.groupBy(F.col("t").alias("_t"), band_of("n").alias("band")).agg(*extent)
+    # as many as there are bands at most, so a few hundred for an element, however many documents have it
+    cells = cells.groupBy("_t").agg(F.collect_list(F.struct("lo", "hi", "most", "c0", "c1")).alias("cells"))
     # the sizes of a cell that fit a document of n; the number to share rises up to n, and falls beyond but for rounding
-    low, high = f"greatest(lo, cast(ceil({percent} * n / 100) as int))", f"least(hi, cast(floor(100 * n / {percent}) as int))"
+    low, high = f"greatest(x.lo, cast(ceil({percent} * n / 100) as int))", f"least(x.hi, cast(floor(100 * n / {percent}) as int))"
     below = f"if({low} <= n, {shared_at_least('n', low, percent)}, 1000000000)"
     above = f"if({high} > n, {shared_at_least('n', high, percent)} - if({high} > greatest(n, {low}), 1, 0), 1000000000)"
-    may = F.expr(f"{low} <= {high} and least(own, most) >= least({below}, {above}) and (c0 <> c or c1 <> c)")
-    kept = rows.join(cells, (F.col("t") == F.col("_t")) & (F.col("band") == F.col("_band")) & may, "left_semi")
-    # an element that is left with one component is none of another's any more
-    spans = kept.groupBy(F.col("t").alias("_t")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("_t")
-    out = cut(kept.join(spans, F.col("t") == F.col("_t"), "left_semi").select(*rest.columns), "rest")
+    may = f"(x.c0 <> c or x.c1 <> c) and {low} <= {high} and least(own, x.most) >= least({below}, {above})"
+    kept = rows.join(cells, F.col("t") == F.col("_t")).filter(F.expr(f"exists(cells, x -> {may})")).select(*rest.columns)
+    out = cut(kept, "rest")
     discard(rows, rest)
     return out
 
@@ -507,7 +502,8 @@ def jaccard_components(
     discard(stars, links, found)
 
     # what is left open is held against the shortest document of each element and band of sizes, then against components
-    rest = hopeful(hopeful(open_rows(hits, near), percent), percent)
+    rest = hopeful(open_rows(hits, near), percent)
+    discard(hits)
     if not rest.isEmpty():
         shortest = Window.partitionBy("t", "salt", "band").orderBy("n", "rep")
         dealt = rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal"))).withColumn("band", band_of("n"))
@@ -516,9 +512,10 @@ def jaccard_components(
         links = star_links(docs, stars, block_size, **how)
         edges = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
         nearer = cut(found := components(edges.unionByName(links)), "near")
-        discard(stars, links, found, near, rest)
-        near = nearer
-        rest = hopeful(open_rows(hits, near), percent)
+        discard(stars, links, found, near)
+        near, before = nearer, rest
+        rest = open_rows(before, near)
+        discard(before)
     links = []
     if not rest.isEmpty():
         queries = asked(rest, classes, percent)
@@ -531,7 +528,7 @@ def jaccard_components(
     whole = components(edges.unionByName(links[0])) if links else near
     named = classes.select("f1", "f2", "n", "rep").join(whole.withColumnRenamed("id", "rep"), "rep", "left")
     named = cut(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "named")
-    discard(hits, rest, classes, near, whole, *links)
+    discard(rest, classes, near, whole, *links)
     spill_freed(spark)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     return own.join(named, ["f1", "f2", "n"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component)
