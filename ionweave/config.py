@@ -40,7 +40,14 @@ class Settings:
     refine: bool = True
     mz_binning: str = "unit"
     seed: int = 0
-    #: Rows of a group up to which DBSCAN and single linkage take it whole.
+    #: Threads of a local session that the command line starts, the larger of the two; a cluster's own settings hold there.
+    cpu_core_preprocess: int = 8
+    cpu_core_cluster: int = 8
+    #: Accepted so that command lines stay as they are; clustering runs on the executors either way.
+    use_gpu_cluster: bool = False
+    #: One ordered file for each output instead of a folder of ordered parts; all rows then go through one task.
+    single_files: bool = False
+    #: Rows of a block up to which it is clustered whole, without a look for its components first.
     max_group: int = 8000
     #: Reproduce the live behaviour of the representative, the tolerance mask and the retention time key.
     compat: bool = False

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ionweave.config import Settings
 from ionweave.functions import peaks as P
+from ionweave.operators.prefix import totals_before
 
 
 def cleaned_peaks(s: Settings, peaks="peaks", precursor_mz="precursor_mz", charge="precursor_charge") -> Column:
@@ -49,6 +50,12 @@ def bucket_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("precursor_charge", "bucket").agg(F.count("*").alias("size"))
 
 
+def bucket_ranges(df: DataFrame) -> DataFrame:
+    """Spectra of each bucket, and the first and last place they take where those of a charge are in order."""
+    placed = totals_before(bucket_sizes(df), "size", "first")
+    return placed.withColumn("last", F.col("first") + F.col("size") - 1)
+
+
 def size_histogram(df: DataFrame, edges: tuple[int, ...] = (0, 300, 1000, 5000, 10000, 20000, 30000)) -> DataFrame:
     """(bin, buckets, share): buckets by size in half-open bins, the last closed; share in percent of all buckets."""
     size = F.col("size")

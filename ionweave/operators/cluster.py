@@ -14,6 +14,7 @@ from ionweave.config import Settings
 from ionweave.operators import kernels
 from ionweave.operators.components import components
 from ionweave.operators.pairs import pairs, precursor_blocks
+from ionweave.operators.prefix import totals_before
 from ionweave.session import cut, ship
 
 BLOCK = ["precursor_charge", "bucket", "block"]
@@ -25,31 +26,39 @@ _LOCAL = "precursor_charge byte, bucket int, block int, part string, identifier
 def grouped(encoded: DataFrame, s: Settings) -> DataFrame:
     """``encoded`` with the block of each row. A threshold that even disagreeing precursors meet, and the live choice of
     representatives, which counts places in a bucket, need whole buckets."""
-    if s.eps >= kernels.FAR or s.compat:
+    if _whole(s):
         return encoded.withColumn("block", F.lit(0))
     return precursor_blocks(encoded, *s.precursor_tol)
 
 
-def parted(blocked: DataFrame, s: Settings) -> DataFrame:
-    """``blocked`` with a column ``part``, empty but for blocks of more than ``max_group`` rows where the algorithm finds components.
+def _whole(s: Settings) -> bool:
+    return s.eps >= kernels.FAR or s.compat
 
-    There a part is a component, found by distributed joins over pairs, so that a task's group is a component and not the block.
-    Complete and average linkage have no such parts and take a block whole.
+
+def parted(encoded: DataFrame, s: Settings) -> tuple[DataFrame, bool]:
+    """``encoded``, a stored table, with columns ``block`` and ``part``, and whether groups are whole in their partitions already.
+
+    A part is empty but for blocks of more than ``max_group`` rows. There it is a component of the pairs at most ``eps`` apart, found by
+    distributed joins, so that a task's group is a component and not the block. That holds for all four algorithms: a merge at a
+    height up to eps, by the least, the largest or the mean distance, needs a pair at most eps apart, so no cluster leaves a component.
+    Sizes come from narrow columns; the vectors are shuffled once, by bucket.
     """
-    if s.cluster_alg not in ("dbscan", "hc_single") or s.compat:
-        return blocked.withColumn("part", F.lit(""))
-    blocked = cut(blocked, "blocked")  # it is read for its sizes and again for its rows
+    blocked = grouped(encoded, s)
     whole = blocked.withColumn("part", F.lit(""))
-    large = cut(blocked.groupBy(*BLOCK).agg(F.count("*").alias("_n")).filter(F.col("_n") > s.max_group).drop("_n"), "large")
+    if _whole(s):
+        return whole, False
+    sizes = grouped(encoded.select("precursor_charge", "bucket", "precursor_mz"), s).groupBy(*BLOCK).agg(F.count("*").alias("_n"))
+    large = cut(sizes.filter(F.col("_n") > s.max_group).drop("_n"), "large")
     if large.isEmpty():
-        return whole
+        return whole, True
     rows = cut(blocked.join(large, BLOCK, "left_semi").withColumn("_uid", F.to_json(F.struct(*ORDER))), "rows")
     found = component_labels(rows, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), noise=False).withColumnRenamed("component", "part")
-    return whole.join(large, BLOCK, "left_anti").unionByName(rows.join(found, "_uid").drop("_uid"))
+    return whole.join(large, BLOCK, "left_anti").unionByName(rows.join(found, "_uid").drop("_uid")), False
 
 
-def local_labels(blocked: DataFrame, s: Settings) -> DataFrame:
-    """Labels in each group (-1: noise) and representatives. One shuffle; a group is in one task, as linkage needs it.
+def local_labels(blocked: DataFrame, s: Settings, placed: bool = False) -> DataFrame:
+    """Labels in each group (-1: noise) and representatives. A group is in one task, as linkage needs it; ``placed`` tells that
+    the rows' partitions have whole groups already, so that they need no shuffle.
 
     Groups are mostly small and many, so they stream through a task in order, one batch of rows at a time, rather than one
     data frame each: a task holds a batch and the group that the batch ends in.
@@ -85,7 +94,9 @@ def local_labels(blocked: DataFrame, s: Settings) -> DataFrame:
         if held is not None:
             yield labelled(held, np.zeros(1, dtype=np.int64))
 
-    return blocked.select(*columns, "hv").repartition(*GROUP).sortWithinPartitions(*GROUP, *ORDER).mapInArrow(run, _LOCAL)
+    rows = blocked.select(*columns, "hv")
+    rows = rows if placed else rows.repartition(*GROUP)
+    return rows.sortWithinPartitions(*GROUP, *ORDER).mapInArrow(run, _LOCAL)
 
 
 def _starts(rows: pa.Table) -> np.ndarray:
@@ -100,22 +111,28 @@ def _starts(rows: pa.Table) -> np.ndarray:
 
 def unique_labels(local: DataFrame) -> DataFrame:
     """Adds ``cluster``: labels without gaps over all groups of a charge, noise rows as clusters of their own after the others
-    of their group. Running totals are over groups, not rows; rows meet their group's in a join."""
-    local = cut(local, "local")
+    of their group. Running totals are over groups, not rows, and over ranges of them; rows meet their group's in a join."""
     sizes = local.groupBy(*GROUP).agg((F.greatest(F.max("local"), F.lit(-1)) + 1).alias("found"), F.count_if(F.col("local") < 0).alias("noise"))
-    before = Window.partitionBy("precursor_charge").orderBy("bucket", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*GROUP, "found", F.coalesce(F.sum(F.col("found") + F.col("noise")).over(before), F.lit(0)).alias("base"))
+    sizes = cut(sizes.withColumn("labels", F.col("found") + F.col("noise")), "sizes")
+    bases = totals_before(sizes, "labels", "base", ("block", "part")).select(*GROUP, "found", "base")
     nth = F.row_number().over(Window.partitionBy(*GROUP, F.col("local") < 0).orderBy(*ORDER)) - 1
     rows = local.withColumn("_nth", nth).join(bases, GROUP)
-    return rows.withColumn("cluster", (F.col("base") + F.when(F.col("local") >= 0, F.col("local")).otherwise(F.col("found") + F.col("_nth"))).cast("long")).drop("base", "found", "_nth", "local")
+    own = F.when(F.col("local") >= 0, F.col("local")).otherwise(F.col("found") + F.col("_nth"))
+    return rows.withColumn("cluster", (F.col("base") + own).cast("long")).drop("base", "found", "_nth", "local")
 
 
 def cluster(encoded: DataFrame, s: Settings) -> DataFrame:
     """CLUSTERED rows, with ``spec_index`` beside them. All charges go in one job."""
-    out = unique_labels(local_labels(parted(grouped(encoded, s), s), s))
+    # stored, as it is read for the sizes of blocks and again for their rows; so are the labels, for groups and rows
+    out = unique_labels(cut(local_labels(*_labelled(cut(encoded, "encoded"), s)), "local"))
     return out.select("bucket", "precursor_charge", "precursor_mz", "identifier", "scan", "retention_time", "cluster", "is_representative", "spec_index")
 
 
+def _labelled(encoded: DataFrame, s: Settings) -> tuple[DataFrame, Settings, bool]:
+    rows, placed = parted(encoded, s)
+    return rows, s, placed
+
+
 def component_labels(encoded: DataFrame, id_col: str, eps: float, tolerance: float | None, unit: str = "ppm", keys: tuple[str, ...] = ("precursor_charge", "bucket"), noise: bool = True) -> DataFrame:
     """(id, component) by distributed components, for DBSCAN and single linkage where a group is too large for a task.
 

@@ -44,9 +44,16 @@ def bin_signs(dim: int, n: int, flip: float, rng: np.random.RandomState) -> np.n
     return out
 
 
+#: Bytes of a codebook that may be broadcast.
+LARGEST = 1 << 28
+
+
 def build(s: Settings) -> Codebook:
-    """The codebook of the settings. Its size depends on them only (under 10 MB by default), so it may be broadcast."""
+    """The codebook of the settings. Its size depends on them only (under 10 MB by default), so it may be broadcast; settings
+    that ask for more than ``LARGEST`` bytes are refused."""
     n = int(s.max_mz or 2000.0) + 1 if s.mz_binning == "unit" else bin_count(s.min_mz or 0.0, s.max_mz or 2000.0, s.fragment_tol)
+    if (n + s.hd_Q + 1) * s.hd_dim // 8 > LARGEST:
+        raise ValueError(f"hd_dim {s.hd_dim} and {n} bins make a codebook of more than {LARGEST >> 20} MB")
     return _build(s.hd_dim, s.hd_Q, n, s.hd_id_flip_factor, s.seed)
 
 

@@ -60,9 +60,22 @@ def dbscan(dist: np.ndarray, eps: float) -> np.ndarray:
 
 
 def linkage_cut(dist: np.ndarray, eps: float, method: str) -> np.ndarray:
-    """Flat clusters of complete or average linkage at height eps, by nearest-neighbour chains."""
+    """Flat clusters of complete or average linkage at height eps, by nearest-neighbour chains, in each component of the pairs
+    at most eps apart: no cluster leaves one."""
+    out, base = np.zeros(len(dist), dtype=np.int64), 0
+    parts = components(dist, eps)
+    order = np.argsort(parts, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(order) else ():
+        labels = _chained(dist[np.ix_(own, own)], eps, method) if len(own) > 1 else np.zeros(1, dtype=np.int64)
+        out[own] = base + labels
+        base += int(labels.max()) + 1
+    return dense(out)
+
+
+def _chained(dist: np.ndarray, eps: float, method: str) -> np.ndarray:
     n = len(dist)
-    d = dist.astype(np.float64)
+    # the largest of some distances is one of them, so complete linkage needs no more digits; means do
+    d = dist if method == "complete" else dist.astype(np.float64)
     np.fill_diagonal(d, np.inf)
     size = np.ones(n)
     alive = np.ones(n, dtype=bool)

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.config import Settings
 from ionweave.functions import peaks as P
 from ionweave.operators import clean as C
 from ionweave.operators.cluster import cluster, component_labels, medoid_by_pairs
+from ionweave.operators.codebook import Codebook, pack
 from ionweave.operators.encode import encode, encode_relational
 from ionweave.operators.pairs import pairs, precursor_blocks
+from ionweave.operators.prefix import totals_before
 from ionweave.plans import adapters as A
+from ionweave.plans.pipeline import representative_spectra
 from ionweave.session import cut
 from ionweave.sources.mgf import START, mgf_blocks, parse_blocks
 
@@ -166,8 +170,48 @@ def label_base(spark, d):
     """For each bucket, in order, how many labels those before it take: components, and noise rows one each."""
     rows = _components(spark, d).join(A.signatures(spark, d).select("id", "bucket"), "id")
     by = rows.groupBy("bucket").agg(F.count_distinct("component").alias("found"), F.count_if(F.col("component").isNull()).alias("noise"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return by.select(long("bucket"), long("found"), long("noise"), F.coalesce(F.sum(F.col("found") + F.col("noise")).over(before), F.lit(0)).cast("long").alias("base"))
+    by = by.withColumn("precursor_charge", F.lit(0)).withColumn("labels", F.col("found") + F.col("noise"))
+    return totals_before(by, "labels", "base").select(long("bucket"), long("found"), long("noise"), "base")
+
+
+def bucket_ranges(spark, d):
+    return C.bucket_ranges(_bucketed(spark, d)).select(long("precursor_charge"), long("bucket"), long("size"), "first", "last")
+
+
+def _rule(n: int, a: int, b: int, m: int, least: int) -> np.ndarray:
+    """Signs of n vectors of 64 dimensions by the rule of ``encode_small``."""
+    return np.where((np.arange(n)[:, None] * a + np.arange(64) * b) % m < least, 1, -1)
+
+
+def encode_arrow(spark, d):
+    """``encode_small`` by the packed encoder."""
+    book = Codebook(pack(_rule(17, 37, 101, 97, 48)), pack(_rule(1501, 7919, 104729, 1009, 504)), 64)
+    rows = encode(C.clean(A.spectra(spark, d), SETTINGS), replace(SETTINGS, hd_dim=64), book)
+    bit = lambda k: F.shiftrightunsigned(F.get("hv", F.lit(0)), 63 - k).bitwiseAND(F.lit(1).cast("long"))
+    places = sum((bit(k) * k for k in range(1, 64)), F.lit(0).cast("long"))
+    return rows.select(long("spec_index", "id"), F.bit_count(F.get("hv", F.lit(0))).cast("long").alias("ones"), places.alias("places"))
+
+
+def _signature_clusters(algorithm: str) -> Query:
+    """Clusters of signatures by the code that clusters spectra: kernels, labels and representatives."""
+
+    def query(spark, d):
+        rows = A.signatures(spark, d).select(
+            F.lit("v").alias("identifier"), long("id", "spec_index"), F.lit(2).cast("byte").alias("precursor_charge"), F.lit(500.0).cast("float").alias("precursor_mz"),
+            F.col("id").cast("int").alias("scan"), F.lit(0.0).cast("float").alias("retention_time"), F.col("bucket").cast("int").alias("bucket"), "hv",
+        )
+        s = replace(SETTINGS, cluster_alg=algorithm, eps=NEAR / 64, refine=False)
+        return cluster(rows, s).select(long("spec_index", "id"), long("bucket"), "cluster", "is_representative")
+
+    return query
+
+
+def representatives(spark, d):
+    """Raw spectra of representatives: here, of every fifth part."""
+    raw = A.spectra(spark, d)
+    clustered = raw.select("identifier", "spec_index", "precursor_charge", "scan", "precursor_mz", "retention_time", (F.col("spec_index") % 7).alias("cluster"), (F.col("spec_index") % 5 == 0).alias("is_representative"))
+    found = representative_spectra(raw, clustered)
+    return found.select(long("spec_index", "id"), long("cluster"), "title", *_count_and_sum("peaks"))
 
 
 def medoid(spark, d):
@@ -204,7 +248,9 @@ def queries() -> dict[str, Query]:
     own = (mz_range, valid_spectra, precursor_removed, topk_intensity, l2_norm, bucket_index, bucket_sizes, bucket_histogram, charge_filter, distinct_charges, mass_diff, clean_summary, bin_level, encode_small)
     own += (sig_pairs, hamming_hist, masked_pairs, dbscan_components, hc_single_components, cluster_sizes, label_base, medoid, rep_join, mgf_lines, mgf_round_trip)
     scaled = {f"scale_{s}": _scaled(s) for s in ("root", "log", "rank")}
-    whole = {f"cluster_{a}": _clustered(a) for a in ("dbscan", "hc_single", "hc_complete", "hc_average")}
+    own += (bucket_ranges, encode_arrow, representatives)
+    signed = {"signatures_dbscan": _signature_clusters("dbscan"), "signatures_hc_single": _signature_clusters("hc_single")}
+    whole = signed | {f"cluster_{a}": _clustered(a) for a in ("dbscan", "hc_single", "hc_complete", "hc_average")}
     return {f.__name__: f for f in own} | scaled | {"precursor_blocks": precursor_blocks_} | whole | {"cluster_with_times": _clustered("hc_complete", 600.0)}
 
 
@@ -232,10 +278,30 @@ reach(id, o) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.id, l.b FROM rea
 comp AS (SELECT id, min(o) AS component FROM reach GROUP BY id)"""
 
 
+_ENCODED = """{levels}, dims AS (SELECT unnest(range(64)) AS dim),
+bits AS (SELECT id, dim, CASE WHEN sum((CASE WHEN (level * 37 + dim * 101) % 97 < 48 THEN 1 ELSE -1 END) * (CASE WHEN (bin * 7919 + dim * 104729) % 1009 < 504 THEN 1 ELSE -1 END)) > 0 THEN 1 ELSE 0 END AS bit FROM levels, dims GROUP BY id, dim)
+SELECT id, CAST(sum(bit) AS BIGINT) AS ones, CAST(sum(bit * dim) AS BIGINT) AS places FROM bits GROUP BY id"""
+
+
 def _scaled_sql(value: str) -> str:
     return f"WITH {_PEAKS}, {_TOP.format(src='raw')} SELECT id, count(*) AS n, round(sum({value}), 4) AS total FROM (SELECT *, count(*) OVER (PARTITION BY id) AS size, row_number() OVER (PARTITION BY id ORDER BY y DESC, mz) AS r FROM top) AS t GROUP BY id"
 
 
+def _numbered(alone: bool) -> str:
+    """Labels by bucket and first member, with or without noise (after the others of its bucket), and medoids: of up to two the first, of
+    more the one with the least total distance to the others."""
+    return f"""named AS (SELECT s.bucket, s.id, coalesce(c.component, s.id) AS component, c.component IS NULL AND NOT {alone} AS noise FROM sig AS s LEFT JOIN comp AS c ON s.id = c.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY noise, component) AS nth FROM (SELECT DISTINCT bucket, component, noise FROM named) AS k),
+labelled AS (SELECT n.*, r.nth FROM named AS n JOIN ranked AS r ON n.bucket = r.bucket AND n.component = r.component AND n.noise = r.noise),
+per AS (SELECT bucket, max(nth) AS k FROM ranked GROUP BY bucket),
+bases AS (SELECT bucket, coalesce(sum(k) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM per),
+sides AS (SELECT i AS id, j AS o, bits FROM near UNION ALL SELECT j, i, bits FROM near),
+totals AS (SELECT a.id, sum(s.bits) AS total FROM labelled AS a JOIN sides AS s ON s.id = a.id JOIN labelled AS b ON b.id = s.o AND a.component = b.component GROUP BY a.id),
+placed AS (SELECT l.*, row_number() OVER (PARTITION BY bucket, component ORDER BY CASE WHEN size > 2 THEN total ELSE 0 END, id) AS place
+  FROM (SELECT l.*, t.total, count(*) OVER (PARTITION BY l.bucket, l.component) AS size FROM labelled AS l LEFT JOIN totals AS t ON l.id = t.id) AS l)
+SELECT id, p.bucket, CAST(base + nth - 1 AS BIGINT) AS cluster, place = 1 AS is_representative FROM placed AS p JOIN bases AS b ON p.bucket = b.bucket"""
+
+
 def oracle_sql() -> dict[str, str]:
     clean = f"WITH {_PEAKS}, {_CLEAN}"
     levels = f"{clean}, levels AS (SELECT id, CAST(floor(mz) AS BIGINT) AS bin, CAST(floor(v * 16) AS BIGINT) AS level FROM clean)"
@@ -264,9 +330,8 @@ SELECT CAST(bin AS BIGINT) AS bin, count(*) AS buckets, round(CAST(100 AS DOUBLE
         "clean_summary": f"""{clean}, each AS (SELECT id, count(*) AS n, max(v) AS top FROM clean GROUP BY id)
 SELECT b.z AS precursor_charge, b.bucket, count(*) AS spectra, CAST(sum(e.n) AS BIGINT) AS n_peaks, round(avg(e.top), 4) AS top FROM each AS e JOIN bucketed AS b USING (id) GROUP BY b.z, b.bucket""",
         "bin_level": f"{levels} SELECT bin, level, count(*) AS n FROM levels GROUP BY bin, level",
-        "encode_small": f"""{levels}, dims AS (SELECT unnest(range(64)) AS dim),
-bits AS (SELECT id, dim, CASE WHEN sum((CASE WHEN (level * 37 + dim * 101) % 97 < 48 THEN 1 ELSE -1 END) * (CASE WHEN (bin * 7919 + dim * 104729) % 1009 < 504 THEN 1 ELSE -1 END)) > 0 THEN 1 ELSE 0 END AS bit FROM levels, dims GROUP BY id, dim)
-SELECT id, CAST(sum(bit) AS BIGINT) AS ones, CAST(sum(bit * dim) AS BIGINT) AS places FROM bits GROUP BY id""",
+        "encode_arrow": _ENCODED.format(levels=levels),
+        "encode_small": _ENCODED.format(levels=levels),
         "sig_pairs": f"{sig} SELECT bucket, i, j, bits FROM near WHERE bits <= {NEAR}",
         "hamming_hist": f"{sig} SELECT bits, count(*) AS n FROM near GROUP BY bits",
         "masked_pairs": f"""WITH {_PEAKS} SELECT a.z AS precursor_charge, a.bucket, a.id AS i, b.id AS j, CAST(bit_count(xor(a.id, b.id)) AS BIGINT) AS bits
@@ -278,6 +343,12 @@ SELECT id, z AS precursor_charge, bucket, CAST(sum(cut) OVER (PARTITION BY z, bu
         "cluster_sizes": f"{comp} SELECT component, count(*) AS n FROM comp GROUP BY component",
         "label_base": f"""{comp}, per AS (SELECT s.bucket, count(DISTINCT c.component) AS found, sum(CASE WHEN c.component IS NULL THEN 1 ELSE 0 END)::BIGINT AS noise FROM sig AS s LEFT JOIN comp AS c ON s.id = c.id GROUP BY s.bucket)
 SELECT bucket, found, noise, CAST(coalesce(sum(found + noise) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM per""",
+        "bucket_ranges": f"""WITH {_PEAKS}, sizes AS (SELECT z, bucket, count(*) AS size FROM bucketed GROUP BY z, bucket),
+places AS (SELECT *, sum(size) OVER (PARTITION BY z ORDER BY bucket) AS upto FROM sizes)
+SELECT z AS precursor_charge, bucket, size, CAST(upto - size AS BIGINT) AS first, CAST(upto - 1 AS BIGINT) AS last FROM places""",
+        "signatures_dbscan": f"{comp}, {_numbered(False)}",
+        "signatures_hc_single": f"{comp}, {_numbered(True)}",
+        "representatives": f"""WITH {_PEAKS} SELECT id, id % 7 AS cluster, 'parts:' || id || ':' || id AS title, count(*) AS n, round(sum(mz), 2) AS total FROM raw WHERE id % 5 = 0 GROUP BY id""",
         "medoid": f"{within} SELECT cluster, id FROM medoids",
         "rep_join": f"{within} SELECT m.id, CAST(e.label AS BIGINT) AS label, m.cluster, round(CAST(e.embedding[1] AS DOUBLE), 5) AS x FROM medoids AS m JOIN embeddings AS e ON e.vec_id = m.id",
         "mgf_lines": f"""WITH {_PEAKS} SELECT 'BEGIN IONS' || chr(10) || 'TITLE=part ' || id || chr(10) || printf('PEPMASS=%f', pmz) || chr(10) || printf('RTINSECONDS=%f', rt) || chr(10) || 'CHARGE=' || z || '+' || chr(10)

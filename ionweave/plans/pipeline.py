@@ -12,7 +12,7 @@ from ionweave.operators.clean import charges, clean
 from ionweave.operators.cluster import cluster
 from ionweave.operators.encode import encode
 from ionweave.schema import CLUSTERED
-from ionweave.session import cut, ship
+from ionweave.session import cut, one_file, ship
 from ionweave.sources.checkpoints import load_checkpoint, save_checkpoint
 from ionweave.sources.mgf import read_mgf, write_mgf
 
@@ -46,16 +46,25 @@ def representative_spectra(raw: DataFrame, clustered: DataFrame, compat: bool =
 
 
 def run(spark: SparkSession, s: Settings) -> DataFrame:
-    """Cluster the spectra of a folder; writes ``<output>.parquet``, and ``<output>.mgf`` if asked. Returns the result."""
+    """Cluster the spectra of a folder; writes ``<output>.parquet``, and ``<output>.mgf`` if asked. Returns the result.
+
+    Both are in order, by charge and bucket: folders of parts that follow each other, or with ``single_files`` a file each."""
     ship(spark)
     log.info("settings: %s", s)
     clustered = cut(cluster(encoded_spectra(spark, s), s), "clustered")
-    result = clustered.select(*CLUSTERED.names)
-    result.write.mode("overwrite").parquet(f"{s.output_filename}.parquet")
+    result = clustered.orderBy("precursor_charge", "bucket", "identifier", "spec_index").select(*CLUSTERED.names)
+    target = f"{s.output_filename}.parquet"
+    if s.single_files:
+        with one_file(spark, target) as folder:
+            result.coalesce(1).write.parquet(folder)
+    else:
+        result.write.mode("overwrite").parquet(target)
     if s.representative_mgf:
         raw = charges(read_mgf(spark, s.input_filepath), s.cluster_charges)
-        write_mgf(representative_spectra(raw, clustered, s.compat), f"{s.output_filename}.mgf")
-    return spark.read.schema(CLUSTERED).parquet(f"{s.output_filename}.parquet")
+        # labels rise with buckets
+        reps = representative_spectra(raw, clustered, s.compat).orderBy("precursor_charge", "cluster")
+        write_mgf(reps, f"{s.output_filename}.mgf", single=s.single_files)
+    return spark.read.schema(CLUSTERED).parquet(target)
 
 
 def metrics(clustered: DataFrame) -> DataFrame:

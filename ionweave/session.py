@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
@@ -55,7 +58,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ionweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, place = _file_system(spark, path)
+    files, place = file_system(spark, path)
     files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._ionweave_path = path
@@ -67,5 +70,22 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_ionweave_path", None)
         if path:
-            files, place = _file_system(t.sparkSession, path)
+            files, place = file_system(t.sparkSession, path)
             files.delete(place, True)
+
+
+@contextmanager
+def one_file(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder to write one part to; the part then becomes the file ``path``, in place of what was there."""
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    files, place = file_system(spark, folder)
+    _, target = file_system(spark, path)
+    try:
+        yield folder
+        parts = [x.getPath() for x in files.listStatus(place) if x.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise RuntimeError(f"{len(parts)} parts were written for {path}")
+        files.delete(target, True)
+        files.rename(parts[0], target)
+    finally:
+        files.delete(place, True)

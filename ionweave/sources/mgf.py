@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.session import ship
+from ionweave.session import file_system, one_file, ship
 
 START = "BEGIN IONS"
 
@@ -67,12 +68,14 @@ def spectra_of(blocks: DataFrame) -> DataFrame:
     return found.select("identifier", "spec_index", "precursor_charge", "precursor_mz", "scan", "retention_time", "peaks")
 
 
-def block_text(title, precursor_mz, retention_time, charge, cluster, peaks) -> str:
-    """One spectrum as text; numbers are rounded as C's printf does."""
-    head = ["BEGIN IONS", f"TITLE={title}", f"PEPMASS={precursor_mz:f}", f"RTINSECONDS={retention_time:f}", f"CHARGE={charge:d}+"]
+def block_text(title, precursor_mz, retention_time, charge, cluster, mz, intensity) -> str:
+    """One spectrum as text; numbers are rounded as C's printf does. All its peaks are formatted at once."""
+    head = "BEGIN IONS\nTITLE=%s\nPEPMASS=%f\nRTINSECONDS=%f\nCHARGE=%d+\n" % (title, precursor_mz, retention_time, charge)
     if cluster is not None:
-        head.append(f"CLUSTER={cluster:d}")
-    return "\n".join([*head, *(f"{mz:.5f} {intensity:.1f}" for mz, intensity in peaks), "END IONS"])
+        head += f"CLUSTER={cluster:d}\n"
+    peaks = np.empty(2 * len(mz))
+    peaks[::2], peaks[1::2] = mz, intensity
+    return head + "%.5f %.1f\n" * len(mz) % tuple(peaks.tolist()) + "END IONS"
 
 
 def mgf_blocks(spectra: DataFrame) -> DataFrame:
@@ -80,17 +83,33 @@ def mgf_blocks(spectra: DataFrame) -> DataFrame:
     ship(spectra.sparkSession)
     title = F.col("title") if "title" in spectra.columns else F.concat_ws(":", "identifier", "spec_index", "scan")
     cluster = F.col("cluster").cast("long") if "cluster" in spectra.columns else F.lit(None).cast("long")
-    rows = spectra.select(title.alias("t"), F.col("precursor_mz").cast("double").alias("m"), F.col("retention_time").cast("double").alias("r"), F.col("precursor_charge").cast("int").alias("z"), cluster.alias("c"), F.col("peaks.mz").alias("x"), F.col("peaks.intensity").alias("y"))
+    numbers = [F.col("precursor_mz").cast("double").alias("m"), F.col("retention_time").cast("double").alias("r"), F.col("precursor_charge").cast("int").alias("z")]
+    peaks = [F.coalesce(F.col(f"peaks.{c}").cast("array<double>"), F.array().cast("array<double>")).alias(c) for c in ("mz", "intensity")]
+    rows = spectra.select(title.alias("t"), *numbers, cluster.alias("c"), *peaks)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"value": [block_text(t, m, r, int(z), None if pd.isna(c) else int(c), zip(x, y, strict=True)) for t, m, r, z, c, x, y in b.itertuples(index=False)]}, dtype=object)
+            at = b.column("mz").offsets.to_numpy()
+            mz, intensity = (b.column(c).values.to_numpy(zero_copy_only=False) for c in ("mz", "intensity"))
+            heads = zip(*(b.column(c).to_pylist() for c in "tmrzc"), strict=True)
+            texts = [block_text(*h, mz[i:j], intensity[i:j]) for h, i, j in zip(heads, at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
 
-    return rows.mapInPandas(write, "value string")
+    return rows.mapInArrow(write, "value string")
 
 
-def write_mgf(spectra: DataFrame, path: str, files: int | None = None) -> None:
-    """Write spectra as a folder of MGF files, a block a spectrum; ``files`` joins tasks to so many files."""
+def write_mgf(spectra: DataFrame, path: str, files: int | None = None, single: bool = False) -> None:
+    """Write spectra as a folder of MGF files, a block a spectrum; ``files`` joins tasks to so many files. With ``single``, ``path`` is
+    one file, in the order of the rows."""
     blocks = mgf_blocks(spectra)
-    blocks = blocks.coalesce(files) if files else blocks
+    blocks = blocks.coalesce(1 if single else files) if single or files else blocks
+    if single:
+        with one_file(spectra.sparkSession, path) as folder:
+            blocks.write.text(folder)
+        return
     blocks.write.mode("overwrite").text(path)
+    fs, place = file_system(spectra.sparkSession, path)
+    for x in fs.listStatus(place):
+        name = x.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(x.getPath(), place.suffix(f"/{name.removesuffix('.txt')}.mgf"))

@@ -5,9 +5,11 @@ import pytest
 from naive import bfs_components, hamming, partition
 
 from ionweave.config import Settings, from_args, from_ini
-from ionweave.operators.cluster import cluster, component_labels, local_labels, medoid_by_pairs
+from ionweave.operators.cluster import cluster, component_labels, local_labels, medoid_by_pairs, parted
+from ionweave.operators.codebook import build
 from ionweave.operators.components import components
 from ionweave.operators.pairs import pairs, precursor_blocks
+from ionweave.operators.prefix import totals_before
 from ionweave.schema import ENCODED
 
 S = Settings(hd_dim=64, eps=0.3, precursor_tol=(20.0, "ppm"))
@@ -70,7 +72,7 @@ def test_distributed_components_equal_the_kernel(spark):
         assert all(min(v) == k for k, v in mine.items())
 
 
-@pytest.mark.parametrize("algorithm", ["dbscan", "hc_single"])
+@pytest.mark.parametrize("algorithm", ["dbscan", "hc_single", "hc_complete", "hc_average"])
 def test_large_blocks_go_by_components(spark, algorithm):
     df, rows = encoded(spark, seed=8)
     s = replace(S, cluster_alg=algorithm)
@@ -128,3 +130,33 @@ def test_settings(tmp_path):
     for bad in ({"cluster_alg": "x"}, {"scaling": "x"}, {"precursor_tol": (1.0, "x")}, {"mz_binning": "x"}, {"file_type": "x"}):
         with pytest.raises(ValueError):
             Settings(**bad)
+
+
+def test_the_commands_of_old_parse():
+    a = from_args("in out --cpu_core_preprocess=4 --cluster_alg dbscan --use_gpu_cluster --cluster_charges 2 3 --eps=0.2 --refine".split())
+    b = from_args("in out --cpu_core_preprocess=4 --cpu_core_cluster 6 --cluster_alg hc_complete --cluster_charges 2 3 --eps=0.25 --refine".split())
+    assert (a.cpu_core_preprocess, a.use_gpu_cluster, a.cluster_alg, a.cluster_charges, a.eps, a.refine) == (4, True, "dbscan", (2, 3), 0.2, True)
+    assert (b.cpu_core_cluster, b.use_gpu_cluster, b.cluster_alg) == (6, False, "hc_complete")
+
+
+def test_vectors_are_shuffled_once(spark):
+    df, _ = encoded(spark)
+    rows, placed = parted(df, S)
+    plan = local_labels(rows, S, placed)._jdf.queryExecution().executedPlan().toString()
+    assert placed and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_totals_before(spark):
+    rng = np.random.RandomState(3)
+    rows = [(z, int(b), int(k), int(rng.randint(1, 9))) for z in (2, 3) for b in rng.choice(9000, 200, replace=False) for k in range(rng.randint(1, 4))]
+    got = totals_before(spark.createDataFrame(rows, "precursor_charge int, bucket int, block int, n long"), "n", "base", ("block",)).collect()
+    for z in (2, 3):
+        base = 0
+        for r in sorted(r for r in rows if r[0] == z):
+            assert [g["base"] for g in got if (g["precursor_charge"], g["bucket"], g["block"]) == r[:3]] == [base]
+            base += r[3]
+
+
+def test_a_codebook_too_large_to_broadcast_is_refused():
+    with pytest.raises(ValueError, match="codebook"):
+        build(Settings(hd_dim=1 << 20, mz_binning="fragment_tol", fragment_tol=0.0001))

@@ -19,7 +19,7 @@ def folder(tmp_path_factory):
         blocks = []
         for k in range(60):
             mz, y = kinds[k % 3]
-            blocks.append(block_text("t", 600.0 + 10 * (k % 3) + rng.rand() * 0.001, float(k), 2 + k % 2, None, zip(mz + rng.rand(30) * 0.001, y * (1 + rng.rand(30) * 0.05))))
+            blocks.append(block_text("t", 600.0 + 10 * (k % 3) + rng.rand() * 0.001, float(k), 2 + k % 2, None, mz + rng.rand(30) * 0.001, y * (1 + rng.rand(30) * 0.05)))
         (top / f"{name}.mgf").write_text("\n".join(blocks) + "\n")
     return top
 
@@ -30,7 +30,7 @@ def test_run_finds_the_kinds_and_resumes(spark, folder, tmp_path):
     assert out.schema.names == CLUSTERED.names and out.count() == 120
     m = {r["precursor_charge"]: r for r in metrics(out).collect()}
     assert m[2]["clusters"] == m[3]["clusters"] == 3 and m[2]["representatives"] == 3
-    reps = read_mgf(spark, f"{s.output_filename}.mgf", "*.txt")
+    reps = read_mgf(spark, f"{s.output_filename}.mgf")
     assert reps.count() == 6
     rows = sorted(map(tuple, out.collect()))
     again = run(spark, replace(s, output_filename=str(tmp_path / "again")))
@@ -43,6 +43,15 @@ def test_run_finds_the_kinds_and_resumes(spark, folder, tmp_path):
         run(spark, replace(s, hd_dim=1024))
 
 
+def test_single_files_in_order(spark, folder, tmp_path):
+    s = Settings(input_filepath=str(folder), output_filename=str(tmp_path / "one"), eps=0.3, representative_mgf=True, single_files=True)
+    rows = run(spark, s).collect()
+    assert (tmp_path / "one.parquet").is_file() and (tmp_path / "one.mgf").is_file()
+    key = [(r["precursor_charge"], r["bucket"]) for r in rows]
+    assert len(rows) == 120 and key == sorted(key)
+    assert read_mgf(spark, str(tmp_path / "one.mgf")).count() == 6
+
+
 def test_compat_runs(spark, folder, tmp_path):
     s = Settings(input_filepath=str(folder), output_filename=str(tmp_path / "c"), eps=0.3, compat=True, representative_mgf=True, cluster_alg="hc_average")
     assert run(spark, s).count() == 120
