@@ -248,7 +248,6 @@ def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             ids = pa.array(list(bpe.encode_all(texts)), type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out_col])
-        bpe.memo.clear()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
@@ -272,7 +271,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids_sha.append(sha(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(sha(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=names)
-        bpe.memo.clear()
 
     ship(docs.sparkSession)
     names = [id_col, *beside(id_col, ["n_tokens", "ids_sha256", "decoded_sha256"])]

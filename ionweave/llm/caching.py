@@ -35,7 +35,3 @@ class Memo:
         if unknown:
             young.update(zip(unknown, self.fill(unknown), strict=True))
         return young
-
-    def clear(self) -> None:
-        """Forget all. A task does so at its end: its worker goes on to other stages, which need the memory."""
-        self.young, self.old = {}, {}

@@ -197,7 +197,6 @@ def pack(
                     if len(done) >= 256:
                         yield out(done)
                         done = []
-        words.memo.clear()
         for s in packer.flush():
             done.append(s)
             if len(done) >= 256:

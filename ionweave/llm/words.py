@@ -14,7 +14,7 @@ from ionweave.llm.common import resident
 #: lower-cased text as the vocabulary's own pattern does. Signs that count as letters or numbers are left out.
 PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff\u2010-\u2027\u2030-\u205e]*")
 PIECES = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-z\xdf-\xf6\xf8-\xff]+")
-SLICE = 1_000_000
+SLICE = 2_000_000
 #: Unknown words that the library reads as one text.
 JOINED = 1_000
 
