@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ionweave.session import cut, discard, shared_dir, ship
+from ionweave import session
+from ionweave.session import cut, discard, shared_dir
 
-__all__ = ["LOWER", "beside", "cut", "discard", "fresh", "parts", "resident", "shared_dir", "ship", "spill_freed", "table", "words_of"]
+__all__ = ["LOWER", "beside", "cut", "discard", "freed", "fresh", "parts", "resident", "shared_dir", "ship", "spill_freed", "table", "words_of"]
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -17,6 +18,18 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
 
 
+#: Rows in a batch of texts for Python, where the session has Spark's own number, which is for narrow rows.
+BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the session ready for operators on texts: the package on the executors, and batches that hold few texts."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH))
+    return session.ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +83,7 @@ def resident(key, make: Callable[[], object] = lambda: None):
 
 
 def freed() -> None:
-    """Give memory that is no longer used back to the system."""
+    """Give memory that is no longer used back to the system; at a task's end, for stages that run in the JVM alone."""
     import ctypes
     import gc
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions.hamming import bits_apart
-from ionweave.llm.common import LOWER, cut, discard, fresh, parts, resident, ship, spill_freed, table
+from ionweave.llm.common import LOWER, cut, discard, freed, fresh, parts, resident, ship, spill_freed, table
 from ionweave.operators.components import components
 
 #: Counters a row of the sketch; with three rows of four bytes it is 3 MB, whatever the input.
@@ -354,6 +354,8 @@ def searched(docs: DataFrame, places: DataFrame, first_only: bool, id_col: str,
                     index = index or Index(ids, sets)
                     out += [(i, x) for x in index.search(s, percent, first_only, i)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+        ids, sets, index = [], [], None
+        freed()
 
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("block", "salt", "asks")).alias("at"))
     sets = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(hash_sets, "_id long, elements binary")

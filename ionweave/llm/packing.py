@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ionweave.llm.common import beside, parts, ship, table
+from ionweave.llm.common import beside, freed, parts, ship, table
 from ionweave.llm.words import loaded
 
 
@@ -153,18 +153,19 @@ def pack(
     context: int = 16,
     window: int = 512,
     with_ids: bool = False,
+    memo: int = 300_000,
 ) -> DataFrame:
     """The pieces of all rows and their places in sequences.
 
     A row's ids are those of its prompt, then of its text, then ``end_id``. Columns: id, start, length, ids_crc32, doc_tokens,
-    loss_tokens, sequence_id, offset, and with ``with_ids`` the ids.
+    loss_tokens, sequence_id, offset, and with ``with_ids`` the ids. ``memo`` words or more are remembered by a worker, for speed.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = loaded(vocab or public_tokenizers.path("word_bpe_49k.json"))
+        words = loaded(vocab or public_tokenizers.path("word_bpe_49k.json"), memo)
         packer = Packer(max_tokens, max_segments, max_loss, window)
         number = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
@@ -204,6 +205,7 @@ def pack(
                 done = []
         if done:
             yield out(done)
+        freed()
 
     names = [id_col, *beside(id_col, ["start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"])]
     kinds: list[T.DataType] = [docs.schema[id_col].dataType, *[T.LongType()] * 7]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ionweave.llm.common import cut, discard, fresh, parts, resident, ship, table
+from ionweave.llm.common import cut, discard, freed, fresh, parts, resident, ship, table
 
 THRESHOLD = 0.3
 #: Without labels: the curve's weights of one, the logarithm of the sum, the density.
@@ -184,6 +184,8 @@ def counted(taught: DataFrame, features) -> DataFrame:
                     held = {}
         held[""] = rows
         yield out()
+        held = {}
+        freed()
 
     schema = ", ".join(["item string", *(f"{c} long" for c in COUNTS)])
     return cut(taught.mapInArrow(run, schema).groupBy("item").agg(*(F.sum(c).alias(c) for c in COUNTS)), "counts")

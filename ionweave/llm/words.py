@@ -66,5 +66,5 @@ class WordIds:
                 yield b"".join(map(ids.__getitem__, c)) if isinstance(c, list) else self._whole(c).tobytes()
 
 
-def loaded(path: str) -> WordIds:
-    return resident(("words", path), lambda: WordIds(path))
+def loaded(path: str, memo: int = 300_000) -> WordIds:
+    return resident(("words", path, memo), lambda: WordIds(path, memo))
