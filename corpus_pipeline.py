@@ -48,7 +48,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all texts, in pieces with their places in training sequences."""
-    return pack(docs, with_ids=True)
+    return pack(docs, with_ids=True, memo=100_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
