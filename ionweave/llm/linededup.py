@@ -68,7 +68,8 @@ def without_repeats(
     """``docs`` with covered lines removed from its texts, and two columns more, of which the names are given."""
     key, copy, gone = fresh(docs, "_id"), fresh(docs, "_copy"), fresh(docs, "_covered")
     covered = covered_lines(docs, id_col, text_col, size).select(F.col("id").alias(key), F.col("copy").alias(copy), F.col("covered").alias(gone))
-    met = docs.join(covered, (F.col(id_col) == F.col(key)) & (copy_of(text_col) == F.col(copy)), "left")
+    # what is covered grows with the documents, so it is shuffled to them at any size
+    met = docs.join(covered.hint("merge"), (F.col(id_col) == F.col(key)) & (copy_of(text_col) == F.col(copy)), "left")
     lines = lines_of(text_col)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
