@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ionweave.llm import jaccard, licenses, linededup, topk
+from ionweave.llm import codes, jaccard, licenses, linededup, topk
 from ionweave.llm.bpe import op6_bpe
+from ionweave.llm.codes import op11_codes
 from ionweave.llm.jaccard import op4_jaccard
 from ionweave.llm.licenses import op8_licenses
 from ionweave.llm.linededup import op9_line_dedup
@@ -21,10 +22,20 @@ from ionweave.llm.urls import op3_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_pii, op3_urls, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op8_licenses, op9_line_dedup, op10_toxicity)
+    own = (
+        op1_topk, op2_pii, op3_urls, op4_jaccard, op5_packing, op6_bpe, op7_fertility, op8_licenses, op9_line_dedup, op10_toxicity,
+        op11_codes,
+    )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_topk": topk.ORACLE, "op4_jaccard": jaccard.ORACLE, "op8_licenses": licenses.ORACLE, "op9_line_dedup": linededup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {
+        "op1_topk": topk.ORACLE,
+        "op4_jaccard": jaccard.ORACLE,
+        "op8_licenses": licenses.ORACLE,
+        "op9_line_dedup": linededup.ORACLE,
+        "op11_codes": codes.ORACLE,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {name: sql for name, sql in found.items() if sql}
