@@ -47,6 +47,8 @@ BINS = 8
 SHORT = 3
 #: Documents outside a key's largest component that are held against all of it in any case.
 FEW = 64
+#: Bits of the parity sketch that open keys carry.
+BITS = 1024
 #: Times that open keys are split further.
 DEPTH = 3
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -133,9 +135,14 @@ def remaining(s: np.ndarray, layout: Layout, band: int, places: list[int]) -> np
     return s[left]
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """1024 bits of which each element turns one over: two sets differ in at least as many elements as these in bits."""
-    return np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
+def parity(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bits, a power of two, of which each element turns one over: two sets differ in at least as many elements as these in bits."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
+
+
+def wide_parity(s: np.ndarray) -> np.ndarray:
+    """Bits as many as elements, for sets of more than ``BITS``, whose short sketch tells little."""
+    return parity(s, 1 << (len(s) - 1).bit_length()) if len(s) > BITS else np.zeros(0, dtype=np.int64)
 
 
 def _both_bands(s: np.ndarray, layout: Layout) -> np.ndarray:
@@ -144,9 +151,9 @@ def _both_bands(s: np.ndarray, layout: Layout) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, keys, bits): set size, two hashes of the whole set, its keys, and the parity sketch."""
-    schema = "id long, n int, f1 long, f2 long, keys array<long>, bits array<long>"
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    """(id, n, f1, f2, keys, bits, wide): set size, two hashes of the whole set, its keys, and the parity sketches."""
+    schema = "id long, n int, f1 long, f2 long, keys array<long>, bits array<long>, wide array<long>"
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = resident(("nearcopies", percent), lambda: Layout(percent))
@@ -156,9 +163,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                 f1 = int(mixed(s * _SEEDS[0]).sum(dtype=np.uint64).view(np.int64)) if s.size else 0
                 f2 = int(np.bitwise_xor.reduce(mixed(s + _TAG)).view(np.int64)) if s.size else 0
                 keys = _both_bands(s, layout) if s.size else np.zeros(0, dtype=np.uint64)
-                rows.append((len(s), f1, f2, keys.view(np.int64), parity(s)))
+                rows.append((len(s), f1, f2, keys.view(np.int64), parity(s), wide_parity(s)))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n", "f1", "f2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n", "f1", "f2", "keys", "bits", "wide"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, schema)
 
@@ -218,18 +225,28 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _may(percent: int, a: str, b: str):
-    """Whether sizes and parity sketches allow that two sets are similar."""
-    sizes = F.expr(f"100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b})")
-    return sizes & (bits_apart(f"bits{a}", f"bits{b}") * (100 + percent) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - percent))
+def _may(percent: int):
+    """Whether sizes and parity sketches allow that two sets, a and b, are similar."""
+    sizes = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return sizes & (bits_apart("bitsa", "bitsb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, block, n) of the distinct pairs (id, block) whose wide sketches allow that they are similar. Of sketches of two
+    lengths the longer one is folded: the parity of two bits is that of the elements that turn either."""
+    wide = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
+    side = lambda p: classes.select(F.col("rep").alias(f"_{p}"), F.col("n").alias(f"n{p}"), wide.alias(f"w{p}"))
+    both = pairs.distinct().join(side("a"), F.col("id") == F.col("_a")).join(side("b"), F.col("block") == F.col("_b"))
+    both = both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and greatest(size(wa), size(wb)) <= 2 * least(size(wa), size(wb))")
+    folded = lambda x, y: F.expr(f"if(size({x}) <= size({y}), {x}, zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q))")
+    both = both.select("id", "block", "na", "nb", folded("wa", "wb").alias("bitsa"), folded("wb", "wa").alias("bitsb"))
+    return both.filter(_may(percent)).select("id", "block", F.col("na").alias("n")).distinct()
 
 
 def star_pairs(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, block, n): documents and the smallest one of a key, where they may be similar; written."""
-    pairs = met.filter("rep <> leader").select(F.col("rep").alias("id"), F.col("leader").alias("block")).distinct()
-    side = lambda p: classes.select(F.col("rep").alias(f"_{p}"), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits{p}"))
-    both = pairs.join(side("a"), F.col("id") == F.col("_a")).join(side("b"), F.col("block") == F.col("_b"))
-    return cut(both.filter(_may(percent, "a", "b")).select("id", "block", F.col("na").alias("n")).distinct(), "stars")
+    pairs = met.filter("rep <> leader").select(F.col("rep").alias("id"), F.col("leader").alias("block"))
+    return cut(near_enough(pairs, classes, percent), "stars")
 
 
 def open_rows(met: DataFrame, near: DataFrame) -> DataFrame:
@@ -255,8 +272,8 @@ def direct_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     a, b = side("a", known.filter("c <> big")), side("b", known)
     # both of the few: once
     once = F.expr("keya = keyb and ca <> cb and (cb = bigb or repa < repb)")
-    pairs = a.join(b, once & _may(percent, "a", "b")).select(F.col("repb").alias("id"), F.col("repa").alias("block"), F.col("nb").alias("n"))
-    out = cut(pairs.distinct(), "pairs")
+    pairs = a.join(b, once & _may(percent)).select(F.col("repb").alias("id"), F.col("repa").alias("block"))
+    out = cut(near_enough(pairs, classes, percent), "pairs")
     discard(known)
     return out
 
@@ -294,20 +311,23 @@ def near_copies(
         raise ValueError(f"percent is 1 to 100, k is 1 to 64, depth is 0 to {len(_SEEDS) - 1}")
     how = {"id_col": id_col, "text_col": text_col, "k": k, "percent": percent}
     signed = cut(signatures(docs, id_col, text_col, k, percent), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "keys", "bits")).alias("x"))
-    classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), "x.keys", "x.bits"), "classes")
+    classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "keys", "bits", "wide")).alias("x"))
+    keyed = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), "x.keys", "x.bits", "x.wide"), "classes")
     own = cut(signed.select("id", "f1", "f2", "n"), "own")
     discard(signed)
     spill_freed(spark)
+    classes = cut(keyed.drop("keys"), "classes")
 
     near = None
-    keys = classes.select("rep", "n", F.posexplode("keys").alias("place", "key"))
+    keys = keyed.select("rep", "n", F.posexplode("keys").alias("place", "key"))
     for step in range(depth + 1):
         heads = keys.groupBy(F.col("key").alias("_key")).agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).filter("leader < _last").drop("_last")
+        heads = cut(heads, "heads")
+        spill_freed(spark)
         met = keys.join(heads, F.col("key") == F.col("_key"))
         path = F.concat("path", F.array("place")) if step else F.array("place")
         met = cut(met.select("key", "rep", "n", path.alias("path"), "leader"), "met")
-        discard(keys)
+        discard(keyed, heads)
         spill_freed(spark)
         stars = star_pairs(met, classes, percent)
         near, rest = _grown(near, confirmed(docs, stars, **how)), None
@@ -324,7 +344,7 @@ def near_copies(
         if step == depth or left.isEmpty():
             discard(rest)
             break
-        keys = refined(docs, left, step + 1, **how)
+        keys = keyed = refined(docs, left, step + 1, **how)
         discard(rest)
     named = classes.select("f1", "f2", "n", "rep").join(near.withColumnRenamed("id", "rep"), "rep", "left")
     named = cut(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "named")

@@ -6,7 +6,7 @@ shortest path over rows and states, and of equally cheap ones that with the ASCI
 
 1. Spark damages the rows, numbers those of a conversation and finds their faults. Numbers are counted within stretches of turns and
    then summed, repeated texts meet by digest: no task needs all rows of a conversation.
-2. Numbered rows fall into segments of ``SEGMENT`` rows, dealt to tasks by hash. A task reads them in batches of whole segments; in
+2. Numbered rows fall into segments of ``segment`` rows, dealt to tasks by hash. A task reads them in batches of whole segments; in
    each batch a recursive query of DuckDB advances one row for all segments at once and keeps the least (cost, audit) for each state
    to begin with and each state reached. Of equally cheap audits for the same rows and states none begins another, so the
    least of a segment is part of the least of the whole.
@@ -99,7 +99,7 @@ def damaged(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFr
     return rows.select("cv", "turn", "role", "text", F.unhex(F.md5("text")).alias("digest"), copies)
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """``rows`` without texts, with the place of each in its conversation and its faults; written.
 
     A row's number is within a stretch of 512 turns; to that come the rows of the stretches before.
@@ -124,7 +124,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     out = placed.join(firsts, ["cv", "role", "digest"])
     repeated = ~F.col("blank") & (F.col("at") > F.col("first"))
     out = out.withColumn("repeated", repeated).withColumn("open_end", F.col("open_end") & ~F.col("blank") & ~repeated)
-    out = cut(out.select("cv", "at", F.floor(F.col("at") / SEGMENT).alias("seg"), "turn", "init", "blank", "repeated", "open_end"), "faults")
+    out = cut(out.select("cv", "at", F.floor(F.col("at") / segment).alias("seg"), "turn", "init", "blank", "repeated", "open_end"), "faults")
     discard(facts, placed)
     return out
 
@@ -178,7 +178,7 @@ def _moves_table() -> pa.Table:
     return pa.table(dict(zip(["q", "letters", "letter", "init", "dest", "cost"], map(list, zip(*rows, strict=True)), strict=True)))
 
 
-def paths(rows: DataFrame) -> DataFrame:
+def paths(rows: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """(cv, seg, start, q, cost, audit): the least repair of each segment from each state to each state. The first segment
     of a conversation begins with nothing; others begin with any state."""
 
@@ -209,7 +209,7 @@ def paths(rows: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             held.append(pa.Table.from_batches([b]))
-            if sum(map(len, held)) < BATCH_ROWS:
+            if sum(map(len, held)) < batch_rows:
                 continue
             # all but the segment that may go on in the next batch
             rows = pa.concat_tables(held)
@@ -331,13 +331,21 @@ def _told(heads: list[pa.RecordBatch], hashes: list[str]) -> pa.RecordBatch:
     return rows.to_batches()[0]
 
 
-def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repair(
+    df: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    segment: int = SEGMENT,
+    batch_rows: int = BATCH_ROWS,
+) -> DataFrame:
     """(conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation of ``df``, damaged."""
     ship(df.sparkSession)
     rows = damaged(df, conv_col, turn_col, role_col, text_col)
-    facts = numbered(rows)
+    facts = numbered(rows, segment)
     counts = cut(counted(facts), "counts")
-    audits = joined(cut(paths(facts), "paths"), counts)
+    audits = joined(cut(paths(facts, batch_rows), "paths"), counts)
     every = df.select(_key(conv_col).alias("cv"), F.col(conv_col).alias("conv")).distinct()
     heads = every.join(counts, "cv", "left").join(audits, "cv", "left")
     none = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in _COUNTS]
