@@ -46,7 +46,7 @@ BINS = 8
 #: Signatures that differ in this many bins at most allow an error in each chunk.
 SHORT = 3
 #: Documents outside a key's largest component that are held against all of it in any case.
-FEW = 64
+FEW = 1024
 #: Bits of the parity sketch that open keys carry.
 BITS = 1024
 #: Times that open keys are split further.
@@ -225,10 +225,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _may(percent: int):
-    """Whether sizes and parity sketches allow that two sets, a and b, are similar."""
-    sizes = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return sizes & (bits_apart("bitsa", "bitsb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+def _sizes(percent: int) -> str:
+    """SQL for whether the sizes of two sets, a and b, allow that they are similar."""
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+
+def _differ(percent: int) -> str:
+    """SQL for the number of elements that similar sets, a and b, differ in at most."""
+    return f"floor((na + nb) * {100 - percent} / {100 + percent})"
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -237,10 +241,11 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     wide = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
     side = lambda p: classes.select(F.col("rep").alias(f"_{p}"), F.col("n").alias(f"n{p}"), wide.alias(f"w{p}"))
     both = pairs.distinct().join(side("a"), F.col("id") == F.col("_a")).join(side("b"), F.col("block") == F.col("_b"))
-    both = both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and greatest(size(wa), size(wb)) <= 2 * least(size(wa), size(wb))")
+    both = both.filter(f"{_sizes(percent)} and greatest(size(wa), size(wb)) <= 2 * least(size(wa), size(wb))")
     folded = lambda x, y: F.expr(f"if(size({x}) <= size({y}), {x}, zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q))")
     both = both.select("id", "block", "na", "nb", folded("wa", "wb").alias("bitsa"), folded("wb", "wa").alias("bitsb"))
-    return both.filter(_may(percent)).select("id", "block", F.col("na").alias("n")).distinct()
+    near = bits_apart("bitsa", "bitsb") <= F.expr(_differ(percent))
+    return both.filter(near).select("id", "block", F.col("na").alias("n")).distinct()
 
 
 def star_pairs(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -265,14 +270,18 @@ def open_rows(met: DataFrame, near: DataFrame) -> DataFrame:
 
 def direct_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, block, n): pairs of a key from different components that may be similar, each of the few with all others; written."""
-    sketch = classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), "bits")
-    known = rows.join(sketch, (F.col("rep") == F.col("_r")) & (F.col("n") == F.col("_n"))).select("key", "rep", "n", "c", "big", "bits")
+    # a column for each word of the sketch: the condition of the join that follows is then compiled
+    sketch = [F.get("bits", F.lit(k)).alias(f"w{k}_") for k in range(BITS // 64)]
+    of = classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), *sketch)
+    known = rows.join(of, (F.col("rep") == F.col("_r")) & (F.col("n") == F.col("_n"))).drop("_r", "_n", "path", "others", "widest")
     known = cut(known, "known")
     side = lambda p, df: df.select(*(F.col(x).alias(f"{x}{p}") for x in df.columns))
     a, b = side("a", known.filter("c <> big")), side("b", known)
     # both of the few: once
     once = F.expr("keya = keyb and ca <> cb and (cb = bigb or repa < repb)")
-    pairs = a.join(b, once & _may(percent)).select(F.col("repb").alias("id"), F.col("repa").alias("block"))
+    apart = " + ".join(f"bit_count(w{k}_a ^ w{k}_b)" for k in range(BITS // 64))
+    may = F.expr(f"{_sizes(percent)} and {apart} <= {_differ(percent)}")
+    pairs = a.join(b, once & may).select(F.col("repb").alias("id"), F.col("repa").alias("block"))
     out = cut(near_enough(pairs, classes, percent), "pairs")
     discard(known)
     return out
