@@ -7,26 +7,27 @@ elements first: a count sketch of fixed size over all documents tells common fro
 How many of those elements they must share follows from their sizes, and is a third condition beside the sizes themselves.
 
 1. Equal sets form classes; only the document with the smallest id goes on for each.
-2. Representatives that share a leading element meet. First, each is held against one leader an element. What
-   that links forms components, most of them final.
-3. Elements whose documents lie in several components show which documents have yet to be searched in which component. The
-   members of a component, in blocks of bounded size, are the index; documents of smaller components are the queries.
+2. Representatives that share a leading element meet: each is held against one leader an element. What that links forms components, most
+   of them final.
+3. Elements whose documents lie in several components show which documents may have partners elsewhere yet. Their sets are cut into chunks of
+   which similar ones have one in common (``chunks``), as documents that share passages share many single elements with many others: pairs
+   are taken from common chunks, so no row is made for each two documents of an element.
 
 In both, a block is an inverted index over its documents, and a query finds those with at least T = ceil(0.75 n) of its
 elements: of its lists, the T - 1 longest are set aside, the others are merged in a heap, and what comes out is probed
-in the long ones by binary search. Overlaps are then exact and held against the similarity itself. One link joins a query and
-a component, so further ones needn't be found; no pair of documents is left undecided, and none is dropped for skew.
+in the long ones by binary search. Overlaps are then exact and held against the similarity itself. No pair of documents is left
+undecided, and none is dropped for skew.
 
 Edge cases: a document of fewer than five words is one shingle of them all. A null or empty text, or one of white space,
-has no shingles and links with nothing. Equal sets are one component. Rows that share an id are one vertex; rows without an
-id have no component. Extra columns are neither read nor returned, except by ``one_of_each``, which keeps all. An empty table
-gives no rows.
+has no shingles and links with nothing. Equal sets are one component. Rows that share an id are one vertex of ``jaccard_components``; rows
+without an id have no component. Ids are longs, or what casts to them; others are an error. Very long texts are hashed whole, in slices.
+Extra columns are neither read nor returned, except by ``one_of_each``, which keeps all; result columns that would clash with the id's get an
+underscore. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,115 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionweave.functions.hamming import bits_apart
-from ionweave.llm.common import LOWER, cut, discard, freed, fresh, parts, resident, ship, spill_freed, table
+from ionweave.llm import chunks
+from ionweave.llm.common import beside, cut, discard, freed, fresh, parts, resident, ship, spill_freed, table
+from ionweave.llm.shingles import _SALT, BLOCK, fetched, mixed, placed, shingle_sets
 from ionweave.operators.components import components
 
 #: Counters a row of the sketch; with three rows of four bytes it is 3 MB, whatever the input.
 BUCKETS, ROWS = 1 << 18, 3
-#: Documents in one block of an index, and queries that a task puts to it.
-BLOCK = 256
-#: Elements in one block of an index, where documents are long: 8 MB.
-ELEMENTS = 1 << 20
 #: Sizes are exact bands up to this; beyond it, bands are 1/50 wide.
 EXACT_SIZE = 48
-#: Bits of the bitmap of wanted documents.
-MARKS = 1 << 25
 #: Documents of one element that a task is to take.
 HOT = 20_000
-SLICE = 100_000
-_rng = np.random.RandomState(20240131)
-_odd = lambda n: _rng.randint(0, 2**32, n).astype(np.uint64) << np.uint64(32) | _rng.randint(0, 2**32, n).astype(np.uint64) | np.uint64(1)
-_BYTE, _PLACE, _SHORT, _SALT = _odd(256), _odd(64), _odd(64), _odd(4)
-_BASE = int(_odd(1)[0])
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
-_NEXT_GAP = re.compile(rb"[\x09-\x0d\x20]")
-#: Powers of the base and of its inverse, for texts of usual length.
-_powers: list[np.ndarray] = []
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least of each. Only those for slices are kept."""
-    if _powers and len(_powers[0]) >= n:
-        return _powers
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        p = np.full(max(n, 2 * SLICE), base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    if n <= 2 * SLICE:
-        _powers[:] = out
-    return out
-
-
-def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start in some text, and a hash of each."""
-    raw = np.frombuffer(raw, dtype=np.uint8)
-    gap = _GAP[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = powers(len(raw) + 1)
-    sums = np.cumsum(np.where(gap, np.uint64(0), _BYTE[raw]) * power[: len(raw)])
-    sums = np.concatenate([np.zeros(1, np.uint64), sums])
-    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts])
-
-
-def long_words(raw: bytes) -> np.ndarray:
-    """The hashes of the words of a long text, which is read in slices that end between words."""
-    out, at = [], 0
-    while at < len(raw):
-        end = at + SLICE
-        if end < len(raw):
-            found = _NEXT_GAP.search(raw, end)
-            end = found.start() if found else len(raw)
-        out.append(hashed_words(raw[at:end])[1])
-        at = end
-    return np.concatenate(out)
-
-
-def windows_of(word: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k words that follow each other."""
-    n = max(len(word) - k + 1, 0)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out += word[j : j + n] * _PLACE[j]
-    return mixed(out)
-
-
-def short_text(word: np.ndarray) -> np.ndarray:
-    """The one element of a text of fewer than k words, if it has any."""
-    if not len(word):
-        return np.zeros(0, dtype=np.uint64)
-    return mixed(np.array([(word * _SHORT[: len(word)]).sum(dtype=np.uint64) + np.uint64(len(word))], dtype=np.uint64))
-
-
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Short texts are hashed in slices together, a long one in slices
-    of its own, so memory goes with the words of one text."""
-    at = 0
-    while at < len(texts):
-        some, total = [], 0
-        while at < len(texts) and (not some or total + len(some[-1]) <= SLICE):
-            some.append((texts[at] or "").encode("utf-8").translate(LOWER))
-            total += len(some[-1]) + 1
-            at += 1
-        if len(some) == 1 and some[0]:
-            word = long_words(some[0])
-            first = np.array([0, len(word)])
-        else:
-            starts, word = hashed_words(b" ".join(some))
-            first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])]))
-        windows = windows_of(word, k)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            yield np.unique(windows[a : b - k + 1]) if b - a >= k else short_text(word[a:b])
-
 
 def needed(n: int, percent: int) -> int:
     """The least overlap a set of n elements has with any similar one."""
@@ -197,32 +100,33 @@ def levels(s: np.ndarray, sketch: np.ndarray, hot: int) -> tuple[np.ndarray, np.
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sketch, hot: int = HOT) -> DataFrame:
-    """(id, n, f1, f2, lead, salts, bits): set size, fingerprint of the set, leading elements and the salts of each, and 1024 bits
-    of which each element of the set turns one over."""
+    """(id, n, f1, f2, lead, salts, bits, wide): set size, fingerprint of the set, leading elements and the salts of each, and parity
+    sketches, bits of which each element of the set turns one over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("jaccard")
         for b in parts(batches):
-            n, f1, f2, lead, salts, bits = [], [], [], [], [], []
+            n, f1, f2, lead, salts, bits, wide = [], [], [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(s))
                 f1.append(int(mixed(s * _SALT[3]).sum(dtype=np.uint64).view(np.int64)) if s.size else 0)
                 f2.append(int(np.bitwise_xor.reduce(mixed(s + _SALT[3])).view(np.int64)) if s.size else 0)
                 dealt = np.zeros(0, dtype=np.int32)
-                turned = np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).view(np.int64)
+                bits.append(chunks.parity(s))
+                wide.append(chunks.wide_parity(s))
                 if s.size:
                     level, dealt = levels(s, sketch.value, hot)
                     first = np.lexsort((s, level))[: len(s) - needed(len(s), percent) + 1]
                     s, dealt = s[first], dealt[first]
                 lead.append(s.view(np.int64))
                 salts.append(dealt)
-                bits.append(turned)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(lead, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["id", "n", "f1", "f2", "lead", "salts", "bits"],
-            )
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(lead, longs), pa.array(salts, pa.list_(pa.int32()))]
+            columns += [pa.array(bits, longs), pa.array(wide, longs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n", "f1", "f2", "lead", "salts", "bits", "wide"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n int, f1 long, f2 long, lead array<long>, salts array<int>, bits array<long>")
+    schema = "id long, n int, f1 long, f2 long, lead array<long>, salts array<int>, bits array<long>, wide array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, schema)
 
 
 class Index:
@@ -292,52 +196,10 @@ class Index:
         return found[:1] if first_only else found
 
 
-def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, block) of representatives whose bits allow that they are similar: sets of a and b elements that are
-    differ in (a + b) (100 - percent) / (100 + percent) elements at most, and each of those turns one bit at most."""
-    side = lambda p: classes.select(F.col("rep").alias(f"_{p}"), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits{p}"))
-    met = pairs.join(side("a"), F.col("id") == F.col("_a")).join(side("b"), F.col("block") == F.col("_b"))
-    return met.filter(bits_apart("bitsa", "bitsb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select(*pairs.columns)
-
-
-def hash_ids(ids):
-    """A hash of ids that needs only what Spark's columns and numpy do alike: ids that follow each other spread, shifts mix."""
-    if isinstance(ids, np.ndarray):
-        return ids ^ (ids >> 25) ^ (ids >> 50)
-    return ids.bitwiseXOR(F.shiftright(ids, 25)).bitwiseXOR(F.shiftright(ids, 50))
-
-
-def marked_ids(places: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (4 MB) in which the hash of each id sets a bit. Documents whose bit isn't set need not be shuffled;
-    the more ids, the fewer it spares, and no result depends on it."""
-    place = hash_ids(F.col("id")).bitwiseAND(F.lit(MARKS - 1))
-    got = places.select(F.shiftright(place, 6).alias("word"), place.alias("p")).select("word", F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    got = got.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(MARKS // 64, dtype=np.int64)
-    words[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return words
-
-
-def named_by(ids: pa.Array, words: np.ndarray) -> np.ndarray:
-    """Whether the bitmap has the bit of each id; a null id has none."""
-    h = hash_ids(ids.fill_null(0).to_numpy(zero_copy_only=False)) & np.int64(MARKS - 1)
-    return (((words[h >> 6] >> (h & 63)) & 1) == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
-
-
 def searched(docs: DataFrame, places: DataFrame, first_only: bool, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Links (a, b) that searches in blocks find. ``places``: (id, block, salt, asks), a row for each document and block, with
     asks 0 for members of the index and 1 for queries. Blocks stream through a task in order: one index is held at a time."""
 
-    named = ship(docs.sparkSession).sparkContext.broadcast(marked_ids(places))
-
-    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of documents that may be wanted; the join that follows leaves those that are."""
-        resident("jaccard")
-        for b in parts(batches):
-            b = b.filter(pa.array(named_by(b.column(0), named.value)))
-            sets = pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["_id", "elements"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("jaccard")
         block, ids, sets, index = None, [], [], None
@@ -358,30 +220,10 @@ def searched(docs: DataFrame, places: DataFrame, first_only: bool, id_col: str,
         freed()
 
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("block", "salt", "asks")).alias("at"))
-    sets = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(hash_sets, "_id long, elements binary")
-    rows = sets.join(wanted, F.col("_id") == F.col("id")).select(F.explode("at").alias("x"), "id", "elements").select("x.block", "x.salt", "x.asks", "id", "elements")
+    rows = fetched(docs, wanted, id_col, text_col, k).select(F.explode("at").alias("x"), "id", "elements").select("x.block", "x.salt", "x.asks", "id", "elements")
     return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(search, "a long, b long")
 
 
-def placed(members: DataFrame, queries: DataFrame, block_size: int) -> DataFrame:
-    """Places (id, block, salt, asks) of members (id, block, n) and queries (id, block): members are dealt into salts of
-    bounded size, queries into as many chunks as bound theirs, and each salt meets each chunk once."""
-    count = lambda x: F.ceil(x).cast("long")
-    salts = F.greatest(F.count("*") / F.lit(float(block_size)), F.sum("n") / F.lit(float(ELEMENTS)))
-    sizes = members.groupBy("block").agg(count(salts).alias("salts")).withColumnRenamed("block", "_b")
-    asked = queries.groupBy("block").agg(count(F.count("*") / F.lit(float(16 * block_size))).alias("chunks"))
-    sizes = sizes.join(asked, F.col("_b") == F.col("block")).select("_b", "salts", "chunks")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-
-    def dealt(rows: DataFrame, salt, chunk, asks: int) -> DataFrame:
-        met = rows.join(sizes, F.col("block") == F.col("_b")).select("id", "block", "chunks", "salts", salt.alias("s"))
-        met = met.select("id", "block", "chunks", "s", chunk.alias("c"))
-        return met.select("id", "block", (F.col("s") * F.col("chunks") + F.col("c")).alias("salt"), F.lit(asks).alias("asks"))
-
-    return dealt(members, deal("salts"), all_of("chunks"), 0).unionByName(dealt(queries, all_of("salts"), deal("chunks"), 1))
-
-
 def linked(docs: DataFrame, members: DataFrame, queries: DataFrame, block_size: int, first_only: bool, **how) -> DataFrame:
     """The links (a, b) that queries find among members, written."""
     places = cut(placed(members, queries, block_size), "places")
@@ -403,7 +245,7 @@ def star_pairs(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     near = stars.filter(f"rep <> leader and 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
     near = near.groupBy("rep", "leader", "n", "leader_n").agg(F.count("*").alias("both"))
     near = near.filter(f"both >= {shared_at_least('n', 'leader_n', percent)}")
-    return cut(near_enough(near.select(F.col("rep").alias("id"), F.col("leader").alias("block"), "n"), classes, percent), "stars")
+    return cut(chunks.near_enough(near.select(F.col("rep").alias("id"), F.col("leader").alias("block")), classes, percent), "stars")
 
 
 def star_links(docs: DataFrame, stars: DataFrame, block_size: int, **how) -> DataFrame:
@@ -456,26 +298,6 @@ def hopeful(rest: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def asked(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, block, many): documents and the larger components (of equal ones, those with the smaller name) that they share
-    enough elements with; written."""
-    here = rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")))
-    there = rest.groupBy("t", F.col("c").alias("block"), "deal").agg(F.max("members").alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    there = there.select("t", "block", "many", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("salt"))
-    pairs = here.join(there, ["t", "salt"]).filter("c <> block and (members < many or (members = many and c > block))")
-    pairs = pairs.groupBy("rep", "n", "block").agg(F.count("*").alias("both"), F.max("many").alias("many"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    fit = F.expr(f"greatest(lo, cast(ceil({percent} * n / 100) as int))"), F.expr(f"least(hi, cast(floor(100 * n / {percent}) as int))")
-    pairs = pairs.withColumn("low", fit[0]).withColumn("hi", fit[1]).withColumn("lo", F.col("low"))
-    # the number falls as sizes part, so the ends of the sizes in question have the least; one less for the rounding between
-    few = f"least({shared_at_least('n', 'lo', percent)}, {shared_at_least('n', 'hi', percent)}) - if(lo = hi, 0, 1)"
-    pairs = cut(pairs.filter("lo <= hi").filter(f"both >= {few}").select(F.col("rep").alias("id"), "block", "many"), "pairs")
-    # a component of one is held against the query itself
-    alone = near_enough(pairs.filter("many = 1"), classes, percent)
-    out = cut(pairs.filter("many > 1").unionByName(alone), "queries")
-    discard(pairs)
-    return out
-
-
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, block_size: int = BLOCK, hot: int = HOT
 ) -> DataFrame:
@@ -486,8 +308,8 @@ def jaccard_components(
     how = {"id_col": id_col, "text_col": text_col, "k": k, "percent": percent}
     sketch = spark.sparkContext.broadcast(commonness(docs, text_col, k))
     signed = cut(signatures(docs, id_col, text_col, k, percent, sketch, hot), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lead", "salts", "bits")).alias("x"))
-    classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), F.arrays_zip("x.lead", "x.salts").alias("lead"), "x.bits"), "classes")
+    classes = signed.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lead", "salts", "bits", "wide")).alias("x"))
+    classes = cut(classes.select("f1", "f2", "n", F.col("x.id").alias("rep"), F.arrays_zip("x.lead", "x.salts").alias("lead"), "x.bits", "x.wide"), "classes")
     own = cut(signed.select("id", "f1", "f2", "n"), "own")
     discard(signed)
     spill_freed(spark)
@@ -503,46 +325,54 @@ def jaccard_components(
     near = cut(found := components(links), "near")
     discard(stars, links, found)
 
-    # what is left open is held against the shortest document of each element and band of sizes, then against components
+    # what is left open is told apart by chunks
     rest = hopeful(open_rows(hits, near), percent)
     discard(hits)
     if not rest.isEmpty():
-        shortest = Window.partitionBy("t", "salt", "band").orderBy("n", "rep")
-        dealt = rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal"))).withColumn("band", band_of("n"))
-        dealt = dealt.withColumn("x", F.first(F.struct("rep", "n", "c")).over(shortest)).filter("c <> x.c")
-        stars = star_pairs(dealt.select("rep", "n", F.col("x.rep").alias("leader"), F.col("x.n").alias("leader_n")), classes, percent)
-        links = star_links(docs, stars, block_size, **how)
-        edges = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        nearer = cut(found := components(edges.unionByName(links)), "near")
-        discard(stars, links, found, near)
-        near, before = nearer, rest
-        rest = open_rows(before, near)
-        discard(before)
-    links = []
-    if not rest.isEmpty():
-        queries = asked(rest, classes, percent)
-        wanted = queries.select(F.col("block").alias("_b")).distinct()
-        members = rest.select(F.col("rep").alias("id"), F.col("c").alias("block"), "n").distinct()
-        members = members.join(wanted, F.col("block") == F.col("_b"), "left_semi")
-        links = [linked(docs, members, queries.select("id", "block"), block_size, True, **how)]
-        discard(queries)
-    edges = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    whole = components(edges.unionByName(links[0])) if links else near
-    named = classes.select("f1", "f2", "n", "rep").join(whole.withColumnRenamed("id", "rep"), "rep", "left")
+        wanted = cut(rest.select(F.col("rep").alias("id")).distinct(), "wanted")
+        keyed = chunks.keys_of(docs, wanted, **how)
+        discard(wanted)
+        near = chunks.connected(docs, classes, keyed, near, lambda pairs: star_links(docs, pairs, block_size, **how), **how)
+    named = classes.select("f1", "f2", "n", "rep").join(near.withColumnRenamed("id", "rep"), "rep", "left")
     named = cut(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "named")
-    discard(rest, classes, near, whole, *links)
+    discard(rest, classes, near)
     spill_freed(spark)
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
-    return own.join(named, ["f1", "f2", "n"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    names = beside(id_col, ["n_shingles", "component_id"])
+    out = own.join(named, ["f1", "f2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias(names[0]), component.alias(names[1]))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; rows without an id all stay."""
-    found = jaccard_components(docs, id_col, text_col, **how)
-    key = fresh(docs, "_keep")
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    first = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col).cast("long") == F.col(key), "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` with one document of each component, that of the smallest id; rows without an id all stay.
+
+    A document is an id and a text. Ids that are unique are the vertices themselves; where some repeat with other texts, documents are
+    numbered, and of a component that of the smallest id stays, then that of the smallest digest. Of rows that repeat both, the one whose
+    other columns are first as JSON stays.
+    """
+    key, digest, place = (fresh(docs, x) for x in ("_keep", "_digest", "_place"))
+    known = docs.filter(F.col(id_col).isNotNull()).withColumn(digest, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    seen = known.groupBy(id_col).agg(F.min(digest).alias("a"), F.max(digest).alias("b"), F.count("*").alias("n"))
+    fact = seen.agg(F.max(F.col("a") != F.col("b")).alias("other_texts"), F.max("n").alias("n")).first()
+    if not fact["other_texts"]:
+        found = jaccard_components(docs, id_col, text_col, **how).toDF("_id", "_n", "_component")
+        keep = found.filter("_id = _component").select(F.col("_id").alias(key)).distinct()
+        first = known.join(keep, F.col(id_col).cast("long") == F.col(key), "left_semi")
+    else:
+        pairs = known.select(id_col, digest).distinct()
+        # numbered once, in a table, so that a task that runs again finds the same numbers
+        numbers = cut(pairs.withColumn(place, F.monotonically_increasing_id()), "numbers")
+        vertices = cut(known.join(numbers, [id_col, digest]).select(place, text_col).distinct(), "vertices")
+        found = jaccard_components(vertices, place, text_col, **how).toDF("_v", "_n", "_component")
+        member = found.join(numbers, F.col("_v") == F.col(place)).select("_component", F.struct(F.col(id_col).cast("long").alias("i"), F.col(digest).alias("d"), F.col("_v").alias("v")).alias("x"))
+        keep = member.groupBy("_component").agg(F.min("x").alias("x")).select(F.col("x.v").alias(key))
+        keep = numbers.join(keep, F.col(place) == F.col(key), "left_semi").select(F.col(id_col).alias("_i"), F.col(digest).alias("_d"))
+        first = known.join(keep, (F.col(id_col) == F.col("_i")) & (F.col(digest) == F.col("_d")), "left_semi")
+    if fact["n"] and fact["n"] > 1:
+        row = F.struct(*(F.col(c) for c in docs.columns))
+        least = first.groupBy(id_col, digest).agg(F.min_by(row, F.to_json(row)).alias(key))
+        first = least.select(*(F.col(f"{key}.{c}").alias(c) for c in docs.columns))
+    return first.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ Words are runs of a-z and 0-9 in the lower-cased text; bigrams are pairs of neig
 
 * its lines,
 * its paragraphs (between blank lines) of more than one line,
-* its runs: stretches of the whole text, whatever its lines, that begin and end with a bigram that some template has, with at most
-  ``GAP`` - 1 others in a row between. They find what stands within a longer line, and texts of several paragraphs.
+* its runs: for each template, stretches of the whole text, whatever its lines, that begin and end with a bigram of the template, with at
+  most ``GAP`` - 1 others in a row between. They find what stands within a longer line, and texts of several paragraphs; what only other
+  templates have neither lengthens nor joins them. A run is held against its own template, and one that lies within another template's is
+  not reported beside it (of equal runs the one of higher Dice is).
 
 With a unit's a and a template's b distinct bigrams, of which o are shared, Dice is 2 o / (a + b). It can reach the threshold t only
 where a template's size lies between a t / (2 - t) and a (2 - t) / t, and a unit counts only with t / (2 - t) of the smallest template's
@@ -25,14 +27,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import table
+from ionweave.llm.common import beside, table
 
 #: In percent.
 THRESHOLD = 80
-#: Bigrams of any template this far apart are of one run; 3 allows a changed word.
+#: Bigrams of a template this far apart are of one run; 3 allows a changed word.
 GAP = 3
-#: Bigrams of all templates together: 32 MB of hashes.
-MOST = 4_000_000
+#: Bigrams of all templates together; they are in the plan that each task gets.
+MOST = 100_000
 
 # Public licence texts without their copyright lines, and the notices that licences ask for or offer.
 TEXTS = {
@@ -202,23 +204,62 @@ def unit(kind: str, nth: Column, grams: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), nth.cast("long").alias("nth"), grams.alias("g"))
 
 
-def units_of(text: Column, known) -> Column:
-    """All units (kind, nth, g) of a text; ``known`` tells of a hash whether some template has it. A run's number is that of its first word."""
+def units_of(text: Column) -> Column:
+    """Lines and paragraphs (kind, nth, g) of a text."""
     lines = F.transform(F.split(text, "\n"), lambda x, i: unit("line", i, bigrams_of(x)))
     blocks = F.transform(F.split(text, "\n[ \t\r]*\n"), lambda x, i: F.struct(i.alias("nth"), x.alias("text")))
     blocks = F.filter(blocks, lambda p: F.contains(p["text"], F.lit("\n")))
     paragraphs = F.transform(blocks, lambda p: unit("paragraph", p["nth"], bigrams_of(p["text"])))
+    return F.concat(lines, paragraphs)
 
-    def runs(grams: Column) -> Column:
-        def of(at: Column) -> Column:
-            begins = F.filter(at, lambda p, j: (j == 0) | (p - F.get(at, j - 1) > GAP))
-            ends = F.filter(at, lambda p, j: (j == F.size(at) - 1) | (F.get(at, j + 1) - p > GAP))
-            return F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: unit("run", x["a"], F.slice(grams, x["a"] + 1, x["b"] - x["a"] + 1)))
 
-        places = F.transform(grams, lambda g, i: F.when(known(g), i))
-        return let(F.filter(places, lambda i: i.isNotNull()), of)
+def spans_of(hits: Column, t: Column, low: int, high: int) -> Column:
+    """(a, z) of each run of a template's bigrams among the places ``hits`` (g, i) that is long enough to be the template."""
 
-    return F.concat(lines, paragraphs, let(bigrams_of(text), runs))
+    def of(at: Column) -> Column:
+        begins = F.filter(at, lambda p, j: (j == 0) | (p - F.get(at, j - 1) > GAP))
+        ends = F.filter(at, lambda p, j: (j == F.size(at) - 1) | (F.get(at, j + 1) - p > GAP))
+        return F.filter(F.arrays_zip(begins.alias("a"), ends.alias("z")), lambda x: (x["z"] - x["a"] + 1) * high >= t["b"] * low)
+
+    return let(F.transform(F.filter(hits, lambda h: F.array_contains(t["g"], h["g"])), lambda h: h["i"]), of)
+
+
+def score(grams: Column, a: Column, t: Column) -> Column:
+    """How a unit of ``a`` distinct bigrams matches a template."""
+    shared = F.size(F.array_intersect(grams, t["g"]))
+    dice = 2.0 * shared / (a + t["b"])
+    return F.struct(dice.alias("dice"), t["order"].alias("order"), t["license"].alias("license"), shared.alias("shared"), t["b"].alias("b"))
+
+
+def runs_of(text: Column, held: Column, known, threshold: int) -> Column:
+    """The runs of a text that reach the threshold with their templates: (kind, nth, z, a, x), x the score; ``nth`` and ``z`` are the numbers
+    of the first and the last bigram."""
+    low, high = threshold, 200 - threshold
+
+    def of(grams: Column) -> Column:
+        places = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda h: known(h["g"]))
+
+        def against(hits: Column) -> Column:
+            def of_template(t: Column) -> Column:
+                def run(x: Column) -> Column:
+                    own = F.array_distinct(F.slice(grams, x["a"] + 1, x["z"] - x["a"] + 1))
+                    return let(own, lambda g: F.struct(F.lit("run").alias("kind"), x["a"].cast("long").alias("nth"), x["z"].alias("z"), F.size(g).alias("a"), score(g, F.size(g), t).alias("x")))
+
+                runs = F.transform(spans_of(hits, t, low, high), run)
+                return F.filter(runs, lambda r: 200 * r["x.shared"] >= threshold * (r["a"] + r["x.b"]))
+
+            return F.flatten(F.transform(held, of_template))
+
+        def outermost(found: Column) -> Column:
+            def beats(y: Column, x: Column) -> Column:
+                same = (y["nth"] == x["nth"]) & (y["z"] == x["z"])
+                return (y["nth"] <= x["nth"]) & (y["z"] >= x["z"]) & F.when(same, y["x"] > x["x"]).otherwise(True)
+
+            return F.filter(found, lambda x: ~F.exists(found, lambda y: beats(y, x)))
+
+        return let(let(places, against), outermost)
+
+    return let(bigrams_of(text), of)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
@@ -246,20 +287,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         a = F.size(u["g"])
         return (a * high >= least * low) & (a * low <= most * high) & (F.size(F.filter(u["g"], known)) * high >= a * low)
 
-    units = F.filter(units_of(F.coalesce(F.col(text_col), F.lit("")), known), enough)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    units = F.filter(units_of(text), enough)
     units = F.filter(F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), u["nth"].alias("nth"), F.array_distinct(u["g"]).alias("g"))), sized)
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", "u.kind", "u.nth", "u.g", F.size("u.g").alias("a"))
-
-    def against(t: Column) -> Column:
-        shared = F.size(F.array_intersect(F.col("g"), t["g"]))
-        dice = 2.0 * shared / (F.col("a") + t["b"])
-        return F.struct(dice.alias("dice"), t["order"].alias("order"), t["license"].alias("license"), shared.alias("shared"), t["b"].alias("b"))
-
+    no_grams, no_score = F.array().cast("array<bigint>"), F.lit(None).cast("struct<dice:double,order:int,license:string,shared:int,b:int>")
+    plain = F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), u["nth"].alias("nth"), u["g"].alias("g"), F.size(u["g"]).alias("a"), no_score.alias("x")))
+    runs = F.transform(runs_of(text, held, known, threshold), lambda r: F.struct(r["kind"].alias("kind"), r["nth"].alias("nth"), no_grams.alias("g"), r["a"].alias("a"), r["x"].alias("x")))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(plain, runs)).alias("u")).select("id", "u.kind", "u.nth", "u.g", "u.a", "u.x")
     fitting = F.filter(held, lambda t: (F.col("a") * high >= t["b"] * low) & (F.col("a") * low <= t["b"] * high))
-    found = F.filter(F.transform(fitting, against), lambda x: 200 * x["shared"] >= threshold * (F.col("a") + x["b"]))
-    best = rows.select("id", "kind", "nth", "a", F.explode(F.filter(F.array(F.array_max(found)), lambda x: x.isNotNull())).alias("x"))
-    shared, a = F.col("x.shared").cast("long").alias("shared"), F.col("a").cast("long").alias("unit_bigrams")
-    return best.select(F.col("id").alias(id_col), "kind", "nth", "x.license", shared, a, F.round("x.dice", 6).alias("dice"))
+    found = F.filter(F.transform(fitting, lambda t: score(F.col("g"), F.col("a"), t)), lambda x: 200 * x["shared"] >= threshold * (F.col("a") + x["b"]))
+    best = F.when(F.col("x").isNotNull(), F.col("x")).otherwise(F.array_max(found))
+    best = rows.select("id", "kind", "nth", "a", F.explode(F.filter(F.array(best), lambda x: x.isNotNull())).alias("x"))
+    shared, a = F.col("x.shared").cast("long"), F.col("a").cast("long")
+    out = best.select(F.col("id").alias(id_col), "kind", "nth", "x.license", shared.alias("shared"), a.alias("unit_bigrams"), F.round("x.dice", 6).alias("dice"))
+    return out.toDF(id_col, *beside(id_col, out.columns[1:]))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +313,6 @@ def _oracle() -> str:
     return rf"""
 WITH templates(license, g) AS (VALUES {rows}),
 sized AS (SELECT license, count(*) AS b FROM templates GROUP BY license),
-vocabulary AS (SELECT DISTINCT g FROM templates),
 raw AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM raw),
 parts AS (SELECT r, 'paragraph' AS kind, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS unit, generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1) - 1 AS nth FROM raw),
@@ -280,11 +320,15 @@ units AS (SELECT r, kind, nth, unit FROM lines UNION ALL SELECT r, kind, nth, un
 split AS (SELECT r, kind, nth, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM units),
 words AS (SELECT r, kind, nth, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM split WHERE len(w) >= 2),
 pairs AS (SELECT r, kind, nth, i, word || ' ' || lead(word) OVER (PARTITION BY r, kind, nth ORDER BY i) AS g FROM words),
-hits AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM pairs WHERE kind = 'text' AND g IN (SELECT g FROM vocabulary)),
-islands AS (SELECT r, i, sum(CASE WHEN gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM hits),
-runs AS (SELECT r, min(i) AS a, max(i) AS b FROM islands GROUP BY r, island),
-grams AS (SELECT DISTINCT r, kind, nth, g FROM pairs WHERE kind <> 'text' AND g IS NOT NULL
-          UNION ALL SELECT DISTINCT p.r, 'run', u.a, p.g FROM runs AS u JOIN pairs AS p ON p.r = u.r AND p.kind = 'text' AND p.i BETWEEN u.a AND u.b),
+hits AS (SELECT p.r, t.license, p.i, p.i - lag(p.i) OVER (PARTITION BY p.r, t.license ORDER BY p.i) AS gap FROM pairs AS p JOIN templates AS t ON p.g = t.g WHERE p.kind = 'text'),
+islands AS (SELECT r, license, i, sum(CASE WHEN gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY r, license ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM hits),
+runs AS (SELECT r, license, min(i) AS a, max(i) AS z FROM islands GROUP BY r, license, island),
+grams AS (SELECT DISTINCT r, kind, nth, g FROM pairs WHERE kind <> 'text' AND g IS NOT NULL),
+run_grams AS (SELECT DISTINCT u.r, u.license, u.a, u.z, p.g FROM runs AS u JOIN pairs AS p ON p.r = u.r AND p.kind = 'text' AND p.i BETWEEN u.a AND u.z),
+run_sizes AS (SELECT x.r, x.license, x.a, x.z, count(*) AS n, count(t.g) AS shared FROM run_grams AS x LEFT JOIN templates AS t ON x.g = t.g AND x.license = t.license GROUP BY x.r, x.license, x.a, x.z),
+run_held AS (SELECT x.*, s.b, 2.0 * shared / (n + s.b) AS dice FROM run_sizes AS x JOIN sized AS s ON x.license = s.license WHERE 200 * shared >= {THRESHOLD} * (n + s.b)),
+outermost AS (SELECT * FROM run_held AS x WHERE NOT EXISTS (SELECT 1 FROM run_held AS y WHERE y.r = x.r AND y.a <= x.a AND y.z >= x.z
+  AND (y.a <> x.a OR y.z <> x.z OR CAST(y.dice AS DOUBLE) > CAST(x.dice AS DOUBLE) OR (CAST(y.dice AS DOUBLE) = CAST(x.dice AS DOUBLE) AND y.license < x.license)))),
 counted AS (SELECT r, kind, nth, count(*) AS a FROM grams GROUP BY r, kind, nth),
 met AS (SELECT x.r, x.kind, x.nth, t.license, count(*) AS shared FROM grams AS x JOIN templates AS t ON x.g = t.g GROUP BY x.r, x.kind, x.nth, t.license),
 held AS (SELECT m.*, c.a, s.b, 2.0 * m.shared / (c.a + s.b) AS dice FROM met AS m JOIN counted AS c ON m.r = c.r AND m.kind = c.kind AND m.nth = c.nth JOIN sized AS s ON m.license = s.license
@@ -292,6 +336,7 @@ held AS (SELECT m.*, c.a, s.b, 2.0 * m.shared / (c.a + s.b) AS dice FROM met AS
 best AS (SELECT *, row_number() OVER (PARTITION BY r, kind, nth ORDER BY CAST(dice AS DOUBLE) DESC, license) AS place FROM held)
 SELECT raw.doc_id, kind, CAST(nth AS BIGINT) AS nth, license, CAST(shared AS BIGINT) AS shared, CAST(a AS BIGINT) AS unit_bigrams, round(CAST(2 * shared AS DOUBLE) / (a + b), 6) AS dice
 FROM best JOIN raw ON best.r = raw.r WHERE place = 1
+UNION ALL SELECT raw.doc_id, 'run', CAST(x.a AS BIGINT), license, CAST(shared AS BIGINT), CAST(n AS BIGINT), round(CAST(2 * shared AS DOUBLE) / (n + b), 6) FROM outermost AS x JOIN raw ON x.r = raw.r
 """
 
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from ionweave.llm import jaccard
+from ionweave.llm import chunks, jaccard
 from ionweave.llm.jaccard import Index, commonness, jaccard_components, levels, one_of_each, shingle_sets
 
 
@@ -129,6 +129,25 @@ def test_searches_grow_with_the_documents_not_with_their_pairs(spark, monkeypatc
     assert made[400] <= 3 * made[200]
 
 
+def test_documents_that_share_several_passages_make_rows_in_proportion(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name):
+        out = cut(df, name)
+        made[n] = made.get(n, 0) + out.count()
+        return out
+
+    cut = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", counted)
+    monkeypatch.setattr(chunks, "cut", counted)
+    for n in (125, 250, 500):  # 4 of 12 passages of 25 words, and 6 words of their own
+        rnd = random.Random(4)
+        passages = [[f"p{j}x{k}" for k in range(25)] for j in range(12)]
+        rows = [(i, " ".join(sum((passages[j] for j in rnd.sample(range(12), 4)), []) + [f"o{i}x{k}" for k in range(6)])) for i in range(n)]
+        check(spark, rows)
+    assert made[500] <= 2.6 * made[250] and made[250] <= 2.6 * made[125]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, None), (None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f"), (4, "")]
     got = check(spark, rows)
@@ -144,6 +163,22 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 3, 7, 8, 9]
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    rows = [
+        (1, "alpha beta gamma delta epsilon zeta", 1), (1, "entirely different words stand here instead", 2), (1, "alpha beta gamma delta epsilon zeta", 0),
+        (2, "alpha beta gamma delta epsilon zeta", 3), (3, "Entirely different words stand here instead", 4), (4, None, 5), (4, "", 6), (5, "x", 7), (None, "x", 8),
+    ]
+    got = sorted(map(tuple, one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()), key=repr)
+    assert got == sorted([rows[2], rows[1], (4, None, 5) if (4, None, 5) in got else (4, "", 6), rows[7], rows[8]], key=repr)
+    again = sorted(map(tuple, one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string, n int").repartition(5)).collect()), key=repr)
+    assert again == got
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")], "n_shingles long, text string")
+    assert jaccard_components(df, "n_shingles").columns == ["n_shingles", "n_shingles_", "component_id"]
+
+
 def test_search_equals_counting():
     rng = np.random.RandomState(0)
     base = rng.randint(0, 2**62, 60).astype(np.uint64)

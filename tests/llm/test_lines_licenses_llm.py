@@ -80,13 +80,6 @@ def brute_scan(text):
     grams = lambda w: set(zip(w, w[1:]))
     units = [("line", k, grams(words(x))) for k, x in enumerate(text.split("\n"))]
     units += [("paragraph", k, grams(words(x))) for k, x in enumerate(re.split("\n[ \t\r]*\n", text)) if "\n" in x]
-    w = words(text)
-    run = []
-    for i in [i for i in range(len(w) - 1) if (w[i], w[i + 1]) in EVERY] + [10**9]:
-        if run and i - run[-1] > GAP:
-            units.append(("run", run[0], grams(w[run[0] : run[-1] + 2])))
-            run = []
-        run.append(i)
     out = []
     for kind, nth, a in units:
         best = None
@@ -96,11 +89,35 @@ def brute_scan(text):
                 best = (dice, name)
         if best:
             out.append((kind, nth, best[1], round(best[0], 6)))
+    w, runs = words(text), []
+    for name, b in BIGRAMS.items():
+        run = []
+        for i in [i for i in range(len(w) - 1) if (w[i], w[i + 1]) in b] + [10**9]:
+            if run and i - run[-1] > GAP:
+                a = grams(w[run[0] : run[-1] + 2])
+                if 200 * len(a & b) >= 80 * (len(a) + len(b)):
+                    runs.append((run[0], run[-1], 2 * len(a & b) / (len(a) + len(b)), name))
+                run = []
+            run.append(i)
+    for x in runs:
+        around = [y for y in runs if y is not x and y[0] <= x[0] and y[1] >= x[1]]
+        if all(y[:2] == x[:2] and (y[2], x[3]) < (x[2], y[3]) for y in around):
+            out.append(("run", x[0], x[3], round(x[2], 6)))
     return sorted(out)
 
 
+def test_notices_beside_common_words_are_found(spark):
+    texts = [
+        "See the terms of the agreement. Licensed under the Apache License, Version 2.0. See the file in the root of the source distribution for the rest of the terms.",
+        "The text of the work. This work is licensed under the GNU General Public License, version 3. The rest of the terms of the work are in the file.",
+    ]
+    got = scanned(spark, texts)
+    assert any(k == "run" and "apache" in lic for k, _, lic, _ in got[0]) and any(k == "run" and lic == "gpl-3.0-notice" for k, _, lic, _ in got[1])
+    for n, t in enumerate(texts):
+        assert sorted(got[n]) == brute_scan(t)
+
+
 BIGRAMS = {name: set(template_bigrams(t)) for name, t in sorted(TEMPLATES.items())}
-EVERY = set().union(*BIGRAMS.values())
 
 
 def scanned(spark, texts):

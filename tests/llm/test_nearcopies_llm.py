@@ -3,11 +3,12 @@ import random
 import numpy as np
 import pytest
 
-from ionweave.llm import nearcopies
-from ionweave.llm.nearcopies import Layout, chunk_keys, near_copies, parity, remaining, similar
-
 from test_jaccard_llm import corpus, edited, sets
 
+from ionweave.llm import chunks, nearcopies
+from ionweave.llm.chunks import Layout, chunk_keys, parity, remaining, wide_parity
+from ionweave.llm.nearcopies import near_copies, similar
+
 
 def brute(rows, k, percent):
     ids = sorted({i for i, _ in rows if i is not None})
@@ -97,13 +98,17 @@ def test_parity_sketch_is_a_lower_bound():
         a = random_set(rnd, n)
         b = np.union1d(a[: n // 2], random_set(rnd, 7))
         assert int(np.bitwise_count(parity(a) ^ parity(b)).sum()) <= len(np.setxor1d(a, b))
+    a = random_set(rnd, 3000)
+    folded = wide_parity(a).reshape(2, -1)
+    assert (folded[0] ^ folded[1] == parity(a, 2048)).all() and wide_parity(a[:1024]).size == 0 and wide_parity(a[:1025]).size == 32
 
 
 def test_a_passage_of_many_documents_makes_few_pairs(spark, monkeypatch):
     """Documents of 4 of 12 passages and few words of their own: what leaves the joins grows with the documents."""
     seen = []
     real = nearcopies.cut
-    monkeypatch.setattr(nearcopies, "cut", lambda df, name: seen.append((name, (out := real(df, name)).count())) or out)
+    for module in (nearcopies, chunks):
+        monkeypatch.setattr(module, "cut", lambda df, name: seen.append((name, (out := real(df, name)).count())) or out)
     total = []
     for n in (100, 200, 400):
         rnd = random.Random(7)
