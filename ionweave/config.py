@@ -47,8 +47,10 @@ class Settings:
     use_gpu_cluster: bool = False
     #: One ordered file for each output instead of a folder of ordered parts; all rows then go through one task.
     single_files: bool = False
-    #: Rows of a block up to which it is clustered whole, without a look for its components first.
+    #: Rows of a block up to which one task clusters it.
     max_group: int = 8000
+    #: Rows of a tile of a larger block, and clusters of it from which one task ends its linkage.
+    tile: int = 2048
     #: Reproduce the live behaviour of the representative, the tolerance mask and the retention time key.
     compat: bool = False
     extra: dict = field(default_factory=dict, compare=False, repr=False)

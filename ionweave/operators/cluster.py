@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.config import Settings
-from ionweave.operators import kernels
+from ionweave.operators import kernels, tiles
 from ionweave.operators.components import components
-from ionweave.operators.pairs import pairs, precursor_blocks
+from ionweave.operators.pairs import precursor_blocks
 from ionweave.operators.prefix import totals_before
-from ionweave.session import cut, ship
+from ionweave.session import cut, discard, ship
 
 BLOCK = ["precursor_charge", "bucket", "block"]
 GROUP = [*BLOCK, "part"]
 ORDER = ["identifier", "spec_index"]
-_LOCAL = "precursor_charge byte, bucket int, block int, part string, identifier string, spec_index long, precursor_mz float, scan int, retention_time float, local long, is_representative boolean"
+_LOCAL = (
+    "precursor_charge byte, bucket int, block int, part string, identifier string, spec_index long, precursor_mz float, scan int, "
+    "retention_time float, local long, is_representative boolean"
+)
 
 
 def grouped(encoded: DataFrame, s: Settings) -> DataFrame:
@@ -36,24 +39,40 @@ def _whole(s: Settings) -> bool:
 
 
 def parted(encoded: DataFrame, s: Settings) -> tuple[DataFrame, bool]:
-    """``encoded``, a stored table, with columns ``block`` and ``part``, and whether groups are whole in their partitions already.
+    """``encoded``, a stored table, with columns ``block``, ``part`` and ``known``, and whether groups are whole in their partitions already.
 
-    A part is empty but for blocks of more than ``max_group`` rows. There it is a component of the pairs at most ``eps`` apart, found by
-    distributed joins, so that a task's group is a component and not the block. That holds for all four algorithms: a merge at a
-    height up to eps, by the least, the largest or the mean distance, needs a pair at most eps apart, so no cluster leaves a component.
-    Sizes come from narrow columns; the vectors are shuffled once, by bucket.
+    A part is empty but for blocks of more than ``max_group`` rows. These are clustered in tiles, over as many tasks as they need; there a
+    part is a cluster, which ``known`` says, and a task only refines it. Sizes come from narrow columns; vectors of other blocks are shuffled
+    once, by bucket.
     """
     blocked = grouped(encoded, s)
-    whole = blocked.withColumn("part", F.lit(""))
+    whole = blocked.withColumn("part", F.lit("")).withColumn("known", F.lit(False))
     if _whole(s):
         return whole, False
     sizes = grouped(encoded.select("precursor_charge", "bucket", "precursor_mz"), s).groupBy(*BLOCK).agg(F.count("*").alias("_n"))
     large = cut(sizes.filter(F.col("_n") > s.max_group).drop("_n"), "large")
     if large.isEmpty():
         return whole, True
-    rows = cut(blocked.join(large, BLOCK, "left_semi").withColumn("_uid", F.to_json(F.struct(*ORDER))), "rows")
-    found = component_labels(rows, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), noise=False).withColumnRenamed("component", "part")
-    return whole.join(large, BLOCK, "left_anti").unionByName(rows.join(found, "_uid").drop("_uid")), False
+    place = F.row_number().over(Window.partitionBy(*BLOCK).orderBy(*ORDER)).cast("long")
+    rows = cut(blocked.join(large, BLOCK, "left_semi").withColumn("place", place), "rows")
+    # parts are in the order of their clusters' first rows
+    found = large_clusters(rows, s).withColumn("part", F.lpad(F.col("cluster").cast("string"), 19, "0")).withColumn("known", F.lit(True)).drop("cluster")
+    return whole.join(large, BLOCK, "left_anti").unionByName(rows.join(found, [*BLOCK, "place"]).drop("place")), False
+
+
+def large_clusters(rows: DataFrame, s: Settings, finish: int | None = None) -> DataFrame:
+    """(block, place, cluster) of the rows of large blocks, whose ``place`` is their number in order; a cluster is named by its first."""
+    method = s.cluster_alg.removeprefix("hc_")
+    if method in ("complete", "average"):
+        return tiles.linkage(rows, BLOCK, method, s.eps, *s.precursor_tol, tile=s.tile, finish=s.tile if finish is None else finish)
+    # a name for each row that is in order within its block
+    uid = F.concat_ws(":", *BLOCK, F.lpad(F.col("place").cast("string"), 19, "0"))
+    named = rows.select(*BLOCK, "place", "precursor_mz", "hv", uid.alias("_uid"))
+    links = tiles.forest(named, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), tile=s.tile)
+    found = cut(linked := components(links), "found")
+    discard(links, linked)
+    first = F.coalesce(F.substring_index("component", ":", -1).cast("long"), F.col("place"))
+    return named.join(found, F.col("_uid") == F.col("id"), "left").select(*BLOCK, "place", first.alias("cluster"))
 
 
 def local_labels(blocked: DataFrame, s: Settings, placed: bool = False) -> DataFrame:
@@ -66,6 +85,7 @@ def local_labels(blocked: DataFrame, s: Settings, placed: bool = False) -> DataF
     ship(blocked.sparkSession)
     algorithm, eps, tol, unit, rt_tol, do_refine, compat = s.cluster_alg, s.eps, *s.precursor_tol, s.rt_tol, s.refine, s.compat
     columns = [*GROUP, *ORDER, "precursor_mz", "scan", "retention_time"]
+    sided = "ppm" if compat else unit
 
     def labelled(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         """The rows of whole groups, which begin at ``starts``, with their labels."""
@@ -74,38 +94,49 @@ def local_labels(blocked: DataFrame, s: Settings, placed: bool = False) -> DataF
         hv = rows.column("hv").combine_chunks()
         words = hv.flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
         mz, rt = (rows.column(c).to_numpy().astype(np.float64) for c in ("precursor_mz", "retention_time"))
+        known = rows.column("known").to_numpy()
         for k in np.flatnonzero(ends - starts > 1):
             own = slice(starts[k], ends[k])
-            local[own], flags[own] = kernels.cluster_group(words[own], mz[own], rt[own], algorithm, eps, tol, unit, rt_tol, do_refine, compat)
+            if known[starts[k]]:
+                local[own], flags[own] = kernels.settled_group(words[own], mz[own], rt[own], tol, sided, rt_tol, do_refine)
+            else:
+                local[own], flags[own] = kernels.cluster_group(words[own], mz[own], rt[own], algorithm, eps, tol, unit, rt_tol, do_refine, compat)
         done = rows.select(columns).append_column("local", pa.array(local)).append_column("is_representative", pa.array(flags))
         return done.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        # the batches of the group that the last one ended in; they are joined when it has ended
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            starts = _starts(rows)
-            if len(starts) > 1:
-                yield labelled(rows.slice(0, starts[-1]), starts[:-1])
-            held = rows.slice(starts[-1])
-        if held is not None:
-            yield labelled(held, np.zeros(1, dtype=np.int64))
-
-    rows = blocked.select(*columns, "hv")
+            starts = _starts(batch, held[-1] if held else None)
+            if held and not starts.size:
+                held.append(batch)
+                continue
+            if len(starts) > 1 or (held and starts.size):
+                rows = pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+                before = sum(b.num_rows for b in held)
+                at = before + starts[:-1]
+                yield labelled(rows, np.concatenate([[0], at[at > 0]]))
+            held = [batch.slice(starts[-1])]
+        if held:
+            yield labelled(pa.Table.from_batches(held), np.zeros(1, dtype=np.int64))
+
+    rows = blocked.select(*columns, "hv", "known")
     rows = rows if placed else rows.repartition(*GROUP)
     return rows.sortWithinPartitions(*GROUP, *ORDER).mapInArrow(run, _LOCAL)
 
 
-def _starts(rows: pa.Table) -> np.ndarray:
-    """Where groups begin in ordered rows."""
+def _starts(rows: pa.RecordBatch, before: pa.RecordBatch | None = None) -> np.ndarray:
+    """Where groups begin in ordered rows; the first row begins one unless it goes on with the last of ``before``."""
     fresh = np.zeros(len(rows), dtype=bool)
-    fresh[0] = True
+    fresh[0] = before is None
     for c in GROUP:
-        column = rows.column(c).combine_chunks()
+        column = rows.column(c)
         fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        if before is not None:
+            fresh[0] |= column[0] != before.column(c)[before.num_rows - 1]
     return np.flatnonzero(fresh)
 
 
@@ -121,10 +152,14 @@ def unique_labels(local: DataFrame) -> DataFrame:
     return rows.withColumn("cluster", (F.col("base") + own).cast("long")).drop("base", "found", "_nth", "local")
 
 
-def cluster(encoded: DataFrame, s: Settings) -> DataFrame:
-    """CLUSTERED rows, with ``spec_index`` beside them. All charges go in one job."""
+def cluster(encoded: DataFrame, s: Settings, stored: bool = False) -> DataFrame:
+    """CLUSTERED rows, with ``spec_index`` beside them. All charges go in one job. ``stored`` tells that ``encoded`` is a table."""
     # stored, as it is read for the sizes of blocks and again for their rows; so are the labels, for groups and rows
-    out = unique_labels(cut(local_labels(*_labelled(cut(encoded, "encoded"), s)), "local"))
+    rows = encoded if stored else cut(encoded, "encoded")
+    local = cut(local_labels(*_labelled(rows, s)), "local")
+    if not stored:
+        discard(rows)
+    out = unique_labels(local)
     return out.select("bucket", "precursor_charge", "precursor_mz", "identifier", "scan", "retention_time", "cluster", "is_representative", "spec_index")
 
 
@@ -133,13 +168,15 @@ def _labelled(encoded: DataFrame, s: Settings) -> tuple[DataFrame, Settings, boo
     return rows, s, placed
 
 
-def component_labels(encoded: DataFrame, id_col: str, eps: float, tolerance: float | None, unit: str = "ppm", keys: tuple[str, ...] = ("precursor_charge", "bucket"), noise: bool = True) -> DataFrame:
-    """(id, component) by distributed components, for DBSCAN and single linkage where a group is too large for a task.
+def component_labels(
+    encoded: DataFrame, id_col: str, eps: float, tolerance: float | None, unit: str = "ppm", keys: tuple[str, ...] = ("precursor_charge", "bucket"), noise: bool = True
+) -> DataFrame:
+    """(id, component) by distributed components, for DBSCAN and single linkage where a group is too large for a task. Groups are compared
+    in tiles, which send the edges of spanning forests.
 
     A component is named by its smallest id. Lone rows have a null component, or their own id without ``noise``.
     """
-    links = pairs(encoded, id_col, tolerance, unit, keys).filter(F.col("dist") <= eps).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    found = components(links).withColumnRenamed("id", "_id")
+    found = tiles.forest_components(encoded, id_col, eps, tolerance, unit, keys).withColumnRenamed("id", "_id")
     rows = encoded.select(id_col).join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
     return rows if noise else rows.withColumn("component", F.coalesce("component", id_col))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 FAR = 1.0
@@ -60,64 +62,55 @@ def dbscan(dist: np.ndarray, eps: float) -> np.ndarray:
 
 
 def linkage_cut(dist: np.ndarray, eps: float, method: str) -> np.ndarray:
-    """Flat clusters of complete or average linkage at height eps, by nearest-neighbour chains, in each component of the pairs
-    at most eps apart: no cluster leaves one."""
+    """Flat clusters of complete or average linkage at height eps, in each component of the pairs at most eps apart: no cluster
+    leaves one."""
     out, base = np.zeros(len(dist), dtype=np.int64), 0
     parts = components(dist, eps)
     order = np.argsort(parts, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(order) else ():
-        labels = _chained(dist[np.ix_(own, own)], eps, method) if len(own) > 1 else np.zeros(1, dtype=np.int64)
+        labels = merged(dist[np.ix_(own, own)], np.ones(len(own)), eps, method) if len(own) > 1 else np.zeros(1, dtype=np.int64)
         out[own] = base + labels
         base += int(labels.max()) + 1
     return dense(out)
 
 
-def _chained(dist: np.ndarray, eps: float, method: str) -> np.ndarray:
-    n = len(dist)
-    # the largest of some distances is one of them, so complete linkage needs no more digits; means do
-    d = dist if method == "complete" else dist.astype(np.float64)
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    alive = np.ones(n, dtype=bool)
-    merges: list[tuple[int, int, float]] = []
-    chain: list[int] = []
-    for _ in range(n - 1):
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        while True:
-            top = chain[-1]
-            row = d[top]
-            nearest = int(np.argmin(row))
-            # the one before wins ties, so that chains end
-            if len(chain) > 1 and row[chain[-2]] <= row[nearest]:
-                nearest = chain[-2]
-                break
-            chain.append(nearest)
-        b, a = chain.pop(), chain.pop()
-        merges.append((a, b, float(d[a, b])))
-        if method == "complete":
-            new = np.maximum(d[a], d[b])
-        else:
-            new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        alive[b] = False
-        new[~alive] = np.inf
-        new[a] = np.inf
-        d[a], d[:, a] = new, new
-        d[b], d[:, b] = np.inf, np.inf
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b, height in merges:
-        if height <= eps:
-            x, y = root(a), root(b)
-            parent[max(x, y)] = min(x, y)
-    return dense(np.array([root(k) for k in range(n)]))
+def merged(values: np.ndarray, size: np.ndarray, eps: float, method: str) -> np.ndarray:
+    """Labels of clusters that complete or average linkage merges up to height eps, in rounds of mutual nearest neighbours.
+
+    ``values`` has the largest distance of two clusters' members, or (average) the sum of all; it is overwritten. The nearest is the
+    first of equals, so the least of all pairs is always mutual and ties have one outcome. By both linkages a merge brings no
+    cluster nearer to others, so mutual neighbours may merge at once, and neighbours stay where neither of two has merged.
+    """
+    n, size = len(values), np.array(size, dtype=np.float64)
+    average = method == "average"
+    # the largest of some distances is one of them, so complete linkage needs no more digits; sums do
+    total = values.astype(np.float64) if average else values
+    parent, alive = np.arange(n), np.ones(n, dtype=bool)
+    nearest, height = np.zeros(n, dtype=np.int64), np.full(n, np.inf)
+    stale = np.arange(n)
+    while True:
+        for at in range(0, len(stale), 512):
+            rows = stale[at : at + 512]
+            d = total[rows] / (size[rows, None] * size[None, :]) if average else total[rows].copy()
+            d[:, ~alive] = np.inf
+            d[np.arange(len(rows)), rows] = np.inf
+            nearest[rows] = d.argmin(axis=1)
+            height[rows] = d[np.arange(len(rows)), nearest[rows]]
+        own = np.arange(n)
+        low = np.flatnonzero(alive & (height <= eps) & (nearest[nearest] == own) & (own < nearest))
+        if not low.size:
+            return dense(parent)
+        high = nearest[low]
+        for x, y in ((total, total), (total.T, total.T)):
+            x[low] = x[low] + y[high] if average else np.maximum(x[low], y[high])
+        size[low] += size[high]
+        alive[high], height[high] = False, np.inf
+        into = np.arange(n)
+        into[high] = low
+        parent = into[parent]
+        moved = np.zeros(n, dtype=bool)
+        moved[low] = moved[high] = True
+        stale = np.flatnonzero(alive & (moved | (moved[nearest] & (height <= eps))))
 
 
 def span_groups(values: np.ndarray, tolerance: float, unit: str | None = None) -> np.ndarray:
@@ -131,16 +124,28 @@ def span_groups(values: np.ndarray, tolerance: float, unit: str | None = None) -
 
     if not len(v) or span(v[0], v[-1]) <= tolerance:
         return np.zeros(len(v), dtype=np.int64)
-    groups = [[x, x, 1] for x in v]
-    while len(groups) > 1:
-        gaps = [span(groups[k][0], groups[k + 1][1]) for k in range(len(groups) - 1)]
-        k = int(np.argmin(gaps))
-        if gaps[k] > tolerance:
+    # groups are named by their first place; ``end`` has the place after their last, ``before`` the group to the left
+    n = len(v)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(span(v[k], v[k + 1]), k, k + 2) for k in range(n - 1)]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        gap, left, upto = heapq.heappop(heap)
+        if gap > tolerance:
             break
-        groups[k] = [groups[k][0], groups[k + 1][1], groups[k][2] + groups[k + 1][2]]
-        del groups[k + 1]
-    out = np.empty(len(v), dtype=np.int64)
-    out[order] = np.repeat(np.arange(len(groups)), [g[2] for g in groups])
+        right = end[left]
+        # merges since have left this one out of date
+        if not alive[left] or right >= n or end[right] != upto:
+            continue
+        alive[right], end[left] = False, upto
+        if upto < n:
+            before[upto] = left
+            heapq.heappush(heap, (span(v[left], v[end[upto] - 1]), left, end[upto]))
+        if before[left] >= 0:
+            heapq.heappush(heap, (span(v[before[left]], v[upto - 1]), before[left], upto))
+    out = np.empty(n, dtype=np.int64)
+    out[order] = np.cumsum(alive) - 1
     return out
 
 
@@ -179,6 +184,69 @@ def medoids(labels: np.ndarray, dist: np.ndarray, compat: bool = False) -> np.nd
     return flags
 
 
+def distance_totals(hv: np.ndarray, mz: np.ndarray, tolerance: float | None, unit: str) -> np.ndarray:
+    """For each of some rows, in order, the bits that differ from all the others; pairs whose precursors disagree differ in all.
+
+    No pairs are made: rows agree with a window of those sorted by m/z, whose ones in each dimension are counted as it slides.
+    Where parts per million of one of two rows hold but not of the other, the later row decides; those few are compared.
+    """
+    n, dim = len(hv), 64 * hv.shape[1]
+    bits = hv.view(np.uint8).reshape(n, -1)
+    order = np.argsort(mz, kind="stable")
+    v = mz[order].astype(np.float64)
+
+    def sure(lo: int, hi: int) -> bool:
+        gap = v[hi] - v[lo]
+        return tolerance is None or (gap < tolerance if unit == "Da" else gap * 1e6 < min(abs(v[lo]), abs(v[hi])) * tolerance)
+
+    def maybe(lo: int, hi: int) -> bool:
+        return unit != "Da" and (v[hi] - v[lo]) * 1e6 < max(abs(v[lo]), abs(v[hi])) * tolerance
+
+    out = np.zeros(n, dtype=np.int64)
+    if n and sure(0, n - 1):
+        ones = np.zeros(dim, dtype=np.int64)
+        for at in range(0, n, 1024):
+            ones += np.unpackbits(bits[at : at + 1024], axis=1).sum(axis=0, dtype=np.int64)
+        for at in range(0, n, 1024):
+            own = np.unpackbits(bits[at : at + 1024], axis=1).astype(np.int64)
+            out[at : at + 1024] = ones.sum() + own @ (n - 2 * ones)
+        return out
+    ones, first, last = np.zeros(dim, dtype=np.int64), 0, 0
+    for k in range(n):
+        while last < n and (last <= k or sure(k, last)):
+            ones += np.unpackbits(bits[order[last]])
+            last += 1
+        while first < k and not sure(first, k):
+            ones -= np.unpackbits(bits[order[first]])
+            first += 1
+        i, width = order[k], last - first
+        own = np.unpackbits(bits[i]).astype(bool)
+        out[i] += ones.sum() + (width - 2 * ones[own]).sum() + dim * (n - width)
+        other = last
+        while other < n and maybe(k, other):
+            j = order[other]
+            later = v[k] if i > j else v[other]
+            if (v[other] - v[k]) * 1e6 < abs(later) * tolerance:
+                apart = int(np.bitwise_count(hv[i] ^ hv[j]).sum())
+                out[i] -= dim - apart
+                out[j] -= dim - apart
+            other += 1
+    return out
+
+
+def settled_group(hv, mz, rt, tolerance: float, unit: str, rt_tolerance: float | None, do_refine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (-1: noise) and representatives of the rows of one cluster, which is refined without its pairs."""
+    labels = np.zeros(len(hv), dtype=np.int64)
+    if do_refine:
+        labels = refine(labels, mz, rt, tolerance, unit, rt_tolerance)
+    flags = labels < 0
+    order = np.argsort(labels, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+        if labels[own[0]] >= 0:
+            flags[own[0] if len(own) <= 2 else own[int(np.argmin(distance_totals(hv[own], mz[own], tolerance, unit)))]] = True
+    return labels, flags
+
+
 def cluster_group(hv, mz, rt, algorithm: str, eps: float, tolerance: float, unit: str, rt_tolerance: float | None, do_refine: bool, compat: bool) -> tuple[np.ndarray, np.ndarray]:
     """Labels (-1: noise) and representatives of one group, whose rows are in order."""
     if len(hv) == 1:

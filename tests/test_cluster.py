@@ -72,7 +72,7 @@ def test_distributed_components_equal_the_kernel(spark):
         assert all(min(v) == k for k, v in mine.items())
 
 
-@pytest.mark.parametrize("algorithm", ["dbscan", "hc_single", "hc_complete", "hc_average"])
+@pytest.mark.parametrize("algorithm", ["dbscan", "hc_complete"])
 def test_large_blocks_go_by_components(spark, algorithm):
     df, rows = encoded(spark, seed=8)
     s = replace(S, cluster_alg=algorithm)

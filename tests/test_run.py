@@ -73,3 +73,52 @@ def test_stream_encodes_new_files_once(spark, folder, tmp_path):
         assert spark.read.parquet(str(tmp_path / "hv")).count() == 60 * (k + 1)
     key = lambda df: sorted((r["identifier"], r["spec_index"], tuple(r["hv"])) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "hv"))) == key(encode(clean(read_mgf(spark, str(folder)), s), s))
+
+
+def test_a_resumed_run_shuffles_no_vectors(spark, folder, tmp_path):
+    from ionweave.operators.cluster import local_labels, parted
+    from ionweave.plans.pipeline import encoded_spectra
+    from ionweave.sources.checkpoints import load_checkpoint
+
+    s = Settings(input_filepath=str(folder), output_filename=str(tmp_path / "out"), eps=0.3, checkpoint=str(tmp_path / "ckp"))
+    first = sorted(map(tuple, encoded_spectra(spark, s).collect()))
+    found = load_checkpoint(spark.newSession(), s.checkpoint, s)  # a session whose catalogue doesn't have the table
+    assert sorted(map(tuple, found.collect())) == first
+    rows, placed = parted(load_checkpoint(spark, s.checkpoint, s), s)
+    plan = local_labels(rows, s, placed)._jdf.queryExecution().executedPlan().toString()
+    assert placed and "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_a_checkpoint_without_buckets_is_read(spark, folder, tmp_path):
+    import json
+
+    from ionweave.plans.pipeline import encoded_spectra
+    from ionweave.sources.checkpoints import load_checkpoint
+
+    s = Settings(input_filepath=str(folder), output_filename=str(tmp_path / "out"), eps=0.3)
+    encoded = encoded_spectra(spark, s)
+    encoded.write.parquet(str(tmp_path / "old" / "spectra"))
+    spark.createDataFrame([(json.dumps(s.signature()),)], "value string").coalesce(1).write.text(str(tmp_path / "old" / "settings"))
+    assert load_checkpoint(spark, str(tmp_path / "old"), s).count() == encoded.count() == 120
+    assert load_checkpoint(spark, str(tmp_path / "none"), s) is None
+
+
+def test_counts_are_logged_without_more_jobs(spark, folder, tmp_path, caplog):
+    import logging
+
+    from ionweave.plans.pipeline import Counts
+
+    counts = Counts()
+    df = counts.of("odd", counts.of("all", spark.range(10)).filter("id % 2 = 1"))
+    assert df.count() == 5
+    assert counts.tell() == {"odd": {"rows": 5}, "all": {"rows": 10}} and counts.tell() == counts.told
+    s = Settings(input_filepath=str(folder), output_filename=str(tmp_path / "out"), eps=0.3, cluster_charges=(2, 3), checkpoint=str(tmp_path / "ckp"))
+    with caplog.at_level(logging.INFO, logger="ionweave"):
+        run(spark, s)
+    told = [r.getMessage() for r in caplog.records]
+    assert "spectra read: rows 120" in told and "spectra kept by cleaning: rows 120" in told and "spectra encoded: rows 120" in told
+    assert "spectra clustered: rows 120, charge 2 60, charge 3 60, representatives 6" in told
+    caplog.clear()
+    with caplog.at_level(logging.INFO, logger="ionweave"):
+        run(spark, s)
+    assert not [r for r in caplog.records if r.getMessage().startswith("spectra read")]
