@@ -246,7 +246,7 @@ def runs_of(text: Column, held: Column, known, threshold: int) -> Column:
                     return let(own, lambda g: F.struct(F.lit("run").alias("kind"), x["a"].cast("long").alias("nth"), x["z"].alias("z"), F.size(g).alias("a"), score(g, F.size(g), t).alias("x")))
 
                 runs = F.transform(spans_of(hits, t, low, high), run)
-                return F.filter(runs, lambda r: 200 * r["x.shared"] >= threshold * (r["a"] + r["x.b"]))
+                return F.filter(runs, lambda r: 200 * r["x"]["shared"] >= threshold * (r["a"] + r["x"]["b"]))
 
             return F.flatten(F.transform(held, of_template))
 

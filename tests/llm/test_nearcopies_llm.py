@@ -110,7 +110,7 @@ def test_a_passage_of_many_documents_makes_few_pairs(spark, monkeypatch):
     for module in (nearcopies, chunks):
         monkeypatch.setattr(module, "cut", lambda df, name: seen.append((name, (out := real(df, name)).count())) or out)
     total = []
-    for n in (100, 200, 400):
+    for n in (100, 400):
         rnd = random.Random(7)
         passages = [[f"p{j}w{x}" for x in range(25)] for j in range(12)]
         docs = [" ".join(w for j in rnd.sample(range(12), 4) for w in passages[j]) + " " + " ".join(f"o{i}x{x}" for x in range(18)) for i in range(n)]
@@ -118,7 +118,7 @@ def test_a_passage_of_many_documents_makes_few_pairs(spark, monkeypatch):
         got = run(spark, list(enumerate(docs)))
         assert got == brute(list(enumerate(docs)), 3, 85)
         total.append(sum(c for name, c in seen if name in ("stars", "pairs", "open", "refined", "known")))
-    assert total[2] < 6 * total[1] < 36 * max(total[0], 1)
+    assert total[1] < 8 * max(total[0], 1)
 
 
 def test_a_large_group_of_near_copies(spark):
