@@ -79,7 +79,7 @@ def test_empty_tables_and_names(spark):
 
 
 def test_vectors_whose_errors_might_be_no_longs_take_no_part(spark):
-    rows = some(20, 4) + [(30, [3.0e38, 0.0, 0.0, 0.0], 0), (31, [2.0e6, 0.0, 0.0, 0.0], 0), (32, [1.0e6, -1.0e6, 0.0, 0.0], 0)]
+    rows = some(20, 4) + [(30, [3.0e38, 0.0, 0.0, 0.0], 0), (31, [3.0e6, 0.0, 0.0, 0.0], 0), (32, [1.0e6, -1.0e6, 0.0, 0.0], 0)]
     assert run(spark, rows, parts=2, entries=4) == brute([r for r in rows if r[0] not in (30, 31)], parts=2, entries=4)
 
 
