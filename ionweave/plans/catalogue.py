@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionweave.config import Settings
@@ -17,6 +17,7 @@ from ionweave.operators.codebook import Codebook, pack
 from ionweave.operators.encode import encode, encode_relational
 from ionweave.operators.pairs import pairs, precursor_blocks
 from ionweave.operators.prefix import totals_before
+from ionweave.operators.tiles import near_pairs
 from ionweave.plans import adapters as A
 from ionweave.plans.pipeline import representative_spectra
 from ionweave.session import cut
@@ -64,6 +65,18 @@ def _scaled(scaling: str) -> Query:
     return query
 
 
+def scale_to_top(spark, d):
+    """Roots of the strongest peaks, so that the highest is 1000."""
+    p = P.scale(P.most_intense("peaks", 20, 0.3), "root", 20, max_intensity=1000.0)
+    return A.spectra(spark, d).withColumn("p", p).select(long("spec_index", "id"), *_count_and_sum("p", "intensity", 3))
+
+
+def precursor_removed_ppm(spark, d):
+    """Peaks farther than 20,000 ppm from the precursor and its first two isotopes at every charge."""
+    p = A.spectra(spark, d).withColumn("p", P.remove_precursor("peaks", "precursor_mz", "precursor_charge", 20000.0, "ppm", isotope=2))
+    return p.select(long("spec_index", "id"), *_count_and_sum("p"))
+
+
 def l2_norm(spark, d):
     p = A.spectra(spark, d).withColumn("p", P.unit_norm("peaks"))
     return p.select(long("spec_index", "id"), F.round(F.array_max("p.intensity"), 6).alias("top"), F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["intensity"] * x["intensity"]), 6).alias("norm"))
@@ -187,12 +200,25 @@ def encode_arrow(spark, d):
     """``encode_small`` by the packed encoder."""
     book = Codebook(pack(_rule(17, 37, 101, 97, 48)), pack(_rule(1501, 7919, 104729, 1009, 504)), 64)
     rows = encode(C.clean(A.spectra(spark, d), SETTINGS), replace(SETTINGS, hd_dim=64), book)
+    return rows.select(long("spec_index", "id"), *_ones_and_places())
+
+
+def _ones_and_places():
+    """The ones of a vector of 64 dimensions, and the sum of their places."""
     bit = lambda k: F.shiftrightunsigned(F.get("hv", F.lit(0)), 63 - k).bitwiseAND(F.lit(1).cast("long"))
     places = sum((bit(k) * k for k in range(1, 64)), F.lit(0).cast("long"))
-    return rows.select(long("spec_index", "id"), F.bit_count(F.get("hv", F.lit(0))).cast("long").alias("ones"), places.alias("places"))
+    return F.bit_count(F.get("hv", F.lit(0))).cast("long").alias("ones"), places.alias("places")
+
+
+def encode_fragment(spark, d):
+    """``encode_arrow`` with bins of 5 Da from the lowest m/z instead of whole units."""
+    s = replace(SETTINGS, hd_dim=64, mz_binning="fragment_tol", fragment_tol=5.0)
+    book = Codebook(pack(_rule(17, 37, 101, 97, 48)), pack(_rule(P.bin_count(101.0, 1500.0, 5.0), 7919, 104729, 1009, 504)), 64)
+    rows = encode(C.clean(A.spectra(spark, d), s), s, book)
+    return rows.select(long("spec_index", "id"), *_ones_and_places())
 
 
-def _signature_clusters(algorithm: str) -> Query:
+def _signature_clusters(algorithm: str, **how) -> Query:
     """Clusters of signatures by the code that clusters spectra: kernels, labels and representatives."""
 
     def query(spark, d):
@@ -200,12 +226,30 @@ def _signature_clusters(algorithm: str) -> Query:
             F.lit("v").alias("identifier"), long("id", "spec_index"), F.lit(2).cast("byte").alias("precursor_charge"), F.lit(500.0).cast("float").alias("precursor_mz"),
             F.col("id").cast("int").alias("scan"), F.lit(0.0).cast("float").alias("retention_time"), F.col("bucket").cast("int").alias("bucket"), "hv",
         )
-        s = replace(SETTINGS, cluster_alg=algorithm, eps=NEAR / 64, refine=False)
+        s = replace(SETTINGS, cluster_alg=algorithm, eps=NEAR / 64, refine=False, **how)
         return cluster(rows, s).select(long("spec_index", "id"), long("bucket"), "cluster", "is_representative")
 
     return query
 
 
+def tiled_pairs(spark, d):
+    """``sig_pairs`` by tiles of 32 vectors."""
+    found = near_pairs(A.signatures(spark, d), "id", NEAR / 64, None, keys=("bucket",), tile=32)
+    return found.select(long("bucket"), long("i"), long("j"), F.rint(F.col("dist") * 64).cast("long").alias("bits"))
+
+
+def refined(spark, d):
+    """Clusters of vectors that are all alike, so that refinement by mass and time alone parts them; each is named by its first row."""
+    rows = A.read(spark, d, "part").select(
+        F.lit("p").alias("identifier"), long("p_partkey", "spec_index"), F.lit(2).cast("byte").alias("precursor_charge"), F.col("p_retailprice").cast("float").alias("precursor_mz"),
+        F.col("p_size").cast("int").alias("scan"), (F.col("p_size") * 60).cast("float").alias("retention_time"), (F.col("p_partkey") % 5).cast("int").alias("bucket"),
+        F.array(F.lit(0).cast("long")).alias("hv"),
+    )
+    out = cluster(rows, replace(SETTINGS, cluster_alg="dbscan", precursor_tol=(2.0, "Da"), rt_tol=600.0))
+    named = F.min("spec_index").over(Window.partitionBy("cluster"))
+    return out.select(long("spec_index", "id"), long("bucket"), named.cast("long").alias("first"))
+
+
 def representatives(spark, d):
     """Raw spectra of representatives: here, of every fifth part."""
     raw = A.spectra(spark, d)
@@ -214,6 +258,15 @@ def representatives(spark, d):
     return found.select(long("spec_index", "id"), long("cluster"), "title", *_count_and_sum("peaks"))
 
 
+def representatives_compat(spark, d):
+    """Raw spectra of representatives by the five values of the result: without scans, all rows that have those of one."""
+    raw = A.spectra(spark, d).withColumn("scan", F.lit(-1))
+    five = ["identifier", "precursor_charge", "scan", "precursor_mz", "retention_time"]
+    clustered = raw.filter(F.col("spec_index") % 5 == 0).select(*five, (F.col("spec_index") % 7).alias("cluster"), F.lit(True).alias("is_representative"))
+    found = representative_spectra(raw, clustered, compat=True)
+    return found.select(long("spec_index", "id"), long("cluster"), *_count_and_sum("peaks"))
+
+
 def medoid(spark, d):
     members = dbscan_components(spark, d).withColumnRenamed("component", "cluster")
     return medoid_by_pairs(members, _near(spark, d).select("i", "j", F.col("bits").alias("dist"))).select(long("cluster"), long("id"))
@@ -248,8 +301,12 @@ def queries() -> dict[str, Query]:
     own = (mz_range, valid_spectra, precursor_removed, topk_intensity, l2_norm, bucket_index, bucket_sizes, bucket_histogram, charge_filter, distinct_charges, mass_diff, clean_summary, bin_level, encode_small)
     own += (sig_pairs, hamming_hist, masked_pairs, dbscan_components, hc_single_components, cluster_sizes, label_base, medoid, rep_join, mgf_lines, mgf_round_trip)
     scaled = {f"scale_{s}": _scaled(s) for s in ("root", "log", "rank")}
-    own += (bucket_ranges, encode_arrow, representatives)
-    signed = {"signatures_dbscan": _signature_clusters("dbscan"), "signatures_hc_single": _signature_clusters("hc_single")}
+    own += (bucket_ranges, encode_arrow, representatives, tiled_pairs, refined)
+    own += (scale_to_top, precursor_removed_ppm, encode_fragment, representatives_compat)
+    kinds = ("dbscan", "hc_single", "hc_complete", "hc_average")
+    signed = {f"signatures_{a}": _signature_clusters(a) for a in kinds}
+    # groups of more than 16 go in tiles of 24, as groups of more than 8,000 go in tiles of 2,048
+    signed |= {f"tiled_{a}": _signature_clusters(a, max_group=16, tile=24) for a in kinds}
     whole = signed | {f"cluster_{a}": _clustered(a) for a in ("dbscan", "hc_single", "hc_complete", "hc_average")}
     return {f.__name__: f for f in own} | scaled | {"precursor_blocks": precursor_blocks_} | whole | {"cluster_with_times": _clustered("hc_complete", 600.0)}
 
@@ -278,6 +335,39 @@ reach(id, o) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.id, l.b FROM rea
 comp AS (SELECT id, min(o) AS component FROM reach GROUP BY id)"""
 
 
+def _linkage(value: str) -> str:
+    """Clusters by rounds of mutual nearest neighbours among pairs of clusters whose ``value`` is NEAR at most; the first of equals is nearest."""
+    return f"""walk(id, c, step) AS (
+  SELECT id, id, 0 FROM sig
+  UNION ALL
+  SELECT * FROM (WITH two AS (SELECT least(a.c, b.c) AS lo, greatest(a.c, b.c) AS hi, {value} AS v FROM near AS n JOIN walk AS a ON a.id = n.i JOIN walk AS b ON b.id = n.j
+      WHERE a.c <> b.c GROUP BY 1, 2 HAVING {value} <= {NEAR}),
+    best AS (SELECT c, min({{'v': v, 'o': o}}) AS x FROM (SELECT lo AS c, hi AS o, v FROM two UNION ALL SELECT hi, lo, v FROM two) AS t GROUP BY c),
+    met AS (SELECT a.c AS lo, b.c AS hi FROM best AS a JOIN best AS b ON a.x.o = b.c AND b.x.o = a.c AND a.c < b.c)
+    SELECT w.id, coalesce(m.lo, w.c), w.step + 1 FROM walk AS w LEFT JOIN met AS m ON m.hi = w.c WHERE EXISTS (SELECT 1 FROM met)) AS t),
+comp AS (SELECT id, c AS component FROM walk WHERE step = (SELECT max(step) FROM walk))"""
+
+
+#: Groups of neighbours by mass and by time in each block: the closest two neighbouring groups of a round merge, as far as their span allows.
+_REFINED = """WITH RECURSIVE rows AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 5 AS BIGINT) AS bucket, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS mz, CAST(p_size * 60 AS DOUBLE) AS rt FROM part),
+gaps AS (SELECT *, CASE WHEN mz - lag(mz) OVER w >= 2 THEN 1 ELSE 0 END AS cut FROM rows WINDOW w AS (PARTITION BY bucket ORDER BY mz, id)),
+blocks AS (SELECT *, sum(cut) OVER (PARTITION BY bucket ORDER BY mz, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM gaps),
+twofold AS (SELECT id, bucket, block, 'mz' AS kind, mz AS v, CAST(2 AS DOUBLE) AS tol FROM blocks UNION ALL SELECT id, bucket, block, 'rt', rt, CAST(600 AS DOUBLE) FROM blocks),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket, block, kind ORDER BY v, id) AS nth FROM twofold),
+walk(id, bucket, block, kind, v, tol, g, step) AS (
+  SELECT id, bucket, block, kind, v, tol, nth, 0 FROM ranked
+  UNION ALL
+  SELECT * FROM (WITH spans AS (SELECT bucket, block, kind, g, min(v) AS lo, max(v) AS hi, min(tol) AS tol FROM walk GROUP BY bucket, block, kind, g),
+    edges AS (SELECT *, lead(g) OVER w AS nextg, lead(hi) OVER w - lo AS gap FROM spans WINDOW w AS (PARTITION BY bucket, block, kind ORDER BY g)),
+    sided AS (SELECT *, lag(gap) OVER w AS before, lead(gap) OVER w AS after FROM edges WINDOW w AS (PARTITION BY bucket, block, kind ORDER BY g)),
+    met AS (SELECT * FROM sided WHERE gap <= tol AND (before IS NULL OR gap < before) AND (after IS NULL OR gap <= after))
+    SELECT w.id, w.bucket, w.block, w.kind, w.v, w.tol, coalesce(m.g, w.g), w.step + 1 FROM walk AS w LEFT JOIN met AS m ON m.bucket = w.bucket AND m.block = w.block AND m.kind = w.kind AND m.nextg = w.g
+    WHERE EXISTS (SELECT 1 FROM met)) AS t),
+ended AS (SELECT * FROM walk WHERE step = (SELECT max(step) FROM walk)),
+keyed AS (SELECT m.id, m.bucket, m.block, m.g AS gm, t.g AS gt FROM ended AS m JOIN ended AS t ON m.id = t.id AND m.kind = 'mz' AND t.kind = 'rt')
+SELECT id, bucket, min(id) OVER (PARTITION BY bucket, block, gm, gt) AS first FROM keyed"""
+
+
 _ENCODED = """{levels}, dims AS (SELECT unnest(range(64)) AS dim),
 bits AS (SELECT id, dim, CASE WHEN sum((CASE WHEN (level * 37 + dim * 101) % 97 < 48 THEN 1 ELSE -1 END) * (CASE WHEN (bin * 7919 + dim * 104729) % 1009 < 504 THEN 1 ELSE -1 END)) > 0 THEN 1 ELSE 0 END AS bit FROM levels, dims GROUP BY id, dim)
 SELECT id, CAST(sum(bit) AS BIGINT) AS ones, CAST(sum(bit * dim) AS BIGINT) AS places FROM bits GROUP BY id"""
@@ -307,6 +397,8 @@ def oracle_sql() -> dict[str, str]:
     levels = f"{clean}, levels AS (SELECT id, CAST(floor(mz) AS BIGINT) AS bin, CAST(floor(v * 16) AS BIGINT) AS level FROM clean)"
     sig = f"WITH {_SIGNS}"
     comp = f"WITH RECURSIVE {_SIGNS}, {_COMPONENTS}"
+    complete = f"WITH RECURSIVE {_SIGNS}, {_linkage('max(n.bits)')}"
+    average = f"WITH RECURSIVE {_SIGNS}, {_linkage('CAST(sum(n.bits) AS DOUBLE) / count(*)')}"
     within = f"""{comp}, sides AS (SELECT i AS id, j AS o, bits FROM near UNION ALL SELECT j, i, bits FROM near),
 totals AS (SELECT c.component AS cluster, s.id, sum(s.bits) AS total FROM sides AS s JOIN comp AS c ON s.id = c.id JOIN comp AS e ON s.o = e.id AND c.component = e.component GROUP BY c.component, s.id),
 medoids AS (SELECT cluster, id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY total, id) AS nth FROM totals) AS t WHERE nth = 1)"""
@@ -318,6 +410,13 @@ medoids AS (SELECT cluster, id FROM (SELECT *, row_number() OVER (PARTITION BY c
         "scale_root": _scaled_sql("sqrt(y)"),
         "scale_log": _scaled_sql("ln(1 + y) / ln(2)"),
         "scale_rank": _scaled_sql("CAST(20 - (r - 1) AS DOUBLE)"),
+        "scale_to_top": f"WITH {_PEAKS}, {_TOP.format(src='raw')} SELECT id, count(*) AS n, round(sum(sqrt(y)) * 1000 / max(sqrt(y)), 3) AS total FROM top GROUP BY id",
+        "precursor_removed_ppm": f"""WITH {_PEAKS}, targets AS (SELECT id, ((pmz - CAST(1.007825 AS DOUBLE)) * z + i.i * CAST(1.003355 AS DOUBLE)) / c.c + CAST(1.007825 AS DOUBLE) AS t
+  FROM spectra, (VALUES (1), (2), (3)) AS c(c), (VALUES (0), (1), (2)) AS i(i) WHERE c.c <= z),
+kept AS (SELECT r.id, r.mz, NOT EXISTS (SELECT 1 FROM targets AS t WHERE t.id = r.id AND abs((r.mz - t.t) / t.t * 1000000) <= 20000) AS stays FROM raw AS r)
+SELECT id, sum(CASE WHEN stays THEN 1 ELSE 0 END)::BIGINT AS n, round(sum(CASE WHEN stays THEN mz ELSE 0 END), 2) AS total FROM kept GROUP BY id""",
+        "representatives_compat": f"""WITH {_PEAKS}, sums AS (SELECT id, count(*) AS n, round(sum(mz), 2) AS total FROM raw GROUP BY id)
+SELECT a.id, b.id % 7 AS cluster, s.n, s.total FROM spectra AS a JOIN spectra AS b ON b.id % 5 = 0 AND a.z = b.z AND a.pmz = b.pmz AND a.rt = b.rt JOIN sums AS s ON s.id = a.id""",
         "l2_norm": f"WITH {_PEAKS} SELECT id, round(max(y) / sqrt(sum(y * y)), 6) AS top, CAST(1 AS DOUBLE) AS norm FROM raw GROUP BY id",
         "bucket_index": f"WITH {_PEAKS} SELECT id, bucket FROM bucketed",
         "bucket_sizes": f"WITH {_PEAKS} SELECT z AS precursor_charge, bucket, count(*) AS size FROM bucketed GROUP BY z, bucket",
@@ -331,6 +430,7 @@ SELECT CAST(bin AS BIGINT) AS bin, count(*) AS buckets, round(CAST(100 AS DOUBLE
 SELECT b.z AS precursor_charge, b.bucket, count(*) AS spectra, CAST(sum(e.n) AS BIGINT) AS n_peaks, round(avg(e.top), 4) AS top FROM each AS e JOIN bucketed AS b USING (id) GROUP BY b.z, b.bucket""",
         "bin_level": f"{levels} SELECT bin, level, count(*) AS n FROM levels GROUP BY bin, level",
         "encode_arrow": _ENCODED.format(levels=levels),
+        "encode_fragment": _ENCODED.format(levels=levels.replace("floor(mz)", "floor((mz - 101) / 5)")),
         "encode_small": _ENCODED.format(levels=levels),
         "sig_pairs": f"{sig} SELECT bucket, i, j, bits FROM near WHERE bits <= {NEAR}",
         "hamming_hist": f"{sig} SELECT bits, count(*) AS n FROM near GROUP BY bits",
@@ -348,6 +448,14 @@ places AS (SELECT *, sum(size) OVER (PARTITION BY z ORDER BY bucket) AS upto FRO
 SELECT z AS precursor_charge, bucket, size, CAST(upto - size AS BIGINT) AS first, CAST(upto - 1 AS BIGINT) AS last FROM places""",
         "signatures_dbscan": f"{comp}, {_numbered(False)}",
         "signatures_hc_single": f"{comp}, {_numbered(True)}",
+        "signatures_hc_complete": f"{complete}, {_numbered(True)}",
+        "signatures_hc_average": f"{average}, {_numbered(True)}",
+        "tiled_dbscan": f"{comp}, {_numbered(True)}",
+        "tiled_hc_single": f"{comp}, {_numbered(True)}",
+        "tiled_hc_complete": f"{complete}, {_numbered(True)}",
+        "tiled_hc_average": f"{average}, {_numbered(True)}",
+        "tiled_pairs": f"{sig} SELECT bucket, i, j, bits FROM near WHERE bits <= {NEAR}",
+        "refined": _REFINED,
         "representatives": f"""WITH {_PEAKS} SELECT id, id % 7 AS cluster, 'parts:' || id || ':' || id AS title, count(*) AS n, round(sum(mz), 2) AS total FROM raw WHERE id % 5 = 0 GROUP BY id""",
         "medoid": f"{within} SELECT cluster, id FROM medoids",
         "rep_join": f"{within} SELECT m.id, CAST(e.label AS BIGINT) AS label, m.cluster, round(CAST(e.embedding[1] AS DOUBLE), 5) AS x FROM medoids AS m JOIN embeddings AS e ON e.vec_id = m.id",
