@@ -240,21 +240,6 @@ def both_bands(s: np.ndarray, layout: Layout) -> np.ndarray:
     return np.concatenate([chunk_keys(s, layout, own), chunk_keys(s, layout, own + 1)])
 
 
-def keys_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(rep, n, keys) of the documents whose ids ``wanted`` has; written."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = resident(("chunks", percent), lambda: Layout(percent))
-        for b in batches:
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in b.column(0).to_pylist()]
-            keys = [both_bands(s, layout).view(np.int64) if s.size else np.zeros(0, dtype=np.int64) for s in sets]
-            columns = [b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "keys"])
-
-    got = fetched(docs, wanted, id_col, text_col, k).select("elements", "id")
-    return cut(got.mapInArrow(run, "rep long, n int, keys array<long>"), "keys")
-
-
 def connected(
     docs: DataFrame,
     classes: DataFrame,
