@@ -49,7 +49,7 @@ class Settings:
     single_files: bool = False
     #: Rows of a block up to which one task clusters it.
     max_group: int = 8000
-    #: Rows of a tile of a larger block, and clusters of it from which one task ends its linkage.
+    #: Rows of a tile of a larger block; tiles of few rows are put together (``tiles.PANEL``).
     tile: int = 2048
     #: Reproduce the live behaviour of the representative, the tolerance mask and the retention time key.
     compat: bool = False

@@ -64,7 +64,7 @@ def large_clusters(rows: DataFrame, s: Settings, finish: int | None = None) -> D
     """(block, place, cluster) of the rows of large blocks, whose ``place`` is their number in order; a cluster is named by its first."""
     method = s.cluster_alg.removeprefix("hc_")
     if method in ("complete", "average"):
-        return tiles.linkage(rows, BLOCK, method, s.eps, *s.precursor_tol, tile=s.tile, finish=s.tile if finish is None else finish)
+        return tiles.linkage(rows, BLOCK, method, s.eps, *s.precursor_tol, tile=s.tile, finish=tiles.FINISH if finish is None else finish)
     # a name for each row that is in order within its block
     uid = F.concat_ws(":", *BLOCK, F.lpad(F.col("place").cast("string"), 19, "0"))
     named = rows.select(*BLOCK, "place", "precursor_mz", "hv", uid.alias("_uid"))
@@ -123,6 +123,7 @@ def local_labels(blocked: DataFrame, s: Settings, placed: bool = False) -> DataF
         if held:
             yield labelled(pa.Table.from_batches(held), np.zeros(1, dtype=np.int64))
 
+    blocked = blocked if "known" in blocked.columns else blocked.withColumn("known", F.lit(False))
     rows = blocked.select(*columns, "hv", "known")
     rows = rows if placed else rows.repartition(*GROUP)
     return rows.sortWithinPartitions(*GROUP, *ORDER).mapInArrow(run, _LOCAL)

@@ -25,6 +25,12 @@ def vectors(n, seed, words=2, spread=30, kinds=4):
     return np.array(out), 500 + rng.randint(0, 12, n) * 0.004
 
 
+@pytest.fixture
+def small_tiles(monkeypatch):
+    """Tiles are as small as they are asked to be, so that groups of few rows have many."""
+    monkeypatch.setattr(tiles, "PANEL", 0)
+
+
 def frame(spark, hv, mz, group=None):
     rows = [(2, 7, int(group[k]) if group is not None else 0, k, float(m), [int(x) for x in v]) for k, (v, m) in enumerate(zip(hv, mz, strict=True))]
     return spark.createDataFrame(rows, "precursor_charge byte, bucket int, block int, place long, precursor_mz double, hv array<long>")
@@ -228,3 +234,45 @@ def test_bits_apart_in_strips():
     rng = np.random.RandomState(5)
     a, b = rng.randint(0, 2**63, (150, 3)).astype(np.uint64), rng.randint(0, 2**63, (70, 3)).astype(np.uint64)
     assert (tiles.bits_apart(a, b) == np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2)).all()
+
+
+@pytest.mark.parametrize("method", ["complete", "average"])
+@pytest.mark.parametrize("finish", [0, 25, 1000])
+def test_linkage_over_many_tiles(spark, small_tiles, method, finish):
+    hv, mz = vectors(70, 8, spread=40)
+    group = np.arange(70) % 2
+    got = labels_of(tiles.linkage(frame(spark, hv, mz, group), BLOCK, method, 0.4, 20.0, tile=9, finish=finish), 70)
+    for g in range(2):
+        own = np.flatnonzero(group == g)
+        want = kernels.linkage_cut(kernels.distances(hv[own].view(np.uint64), mz[own], 20.0, "ppm"), 0.4, method)
+        assert partition([got[k] for k in own]) == partition(want)
+
+
+def test_a_forest_over_many_tiles(spark, small_tiles):
+    hv, mz = vectors(90, 6)
+    dist = kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm")
+    got = {r["id"]: r["component"] for r in components(tiles.forest(frame(spark, hv, mz), "place", 0.3, 20.0, tile=11)).collect()}
+    assert partition([got.get(k, k) for k in range(90)]) == bfs_components(90, lambda a, b: a != b and dist[a, b] <= 0.3)
+
+
+def test_small_tiles_are_put_together(spark):
+    df = frame(spark, *vectors(300, 1, words=1))
+    assert tiles.dealt(df, BLOCK, "place", 2).agg(F.max("_tiles")).first()[0] == 1
+    assert tiles.dealt(df, BLOCK, "place", 2, panel=100).agg(F.max("_tiles")).first()[0] == 3
+
+
+@pytest.mark.parametrize("strip", [40, 1 << 19])
+@pytest.mark.parametrize("method", ["complete", "average"])
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_without_a_table_equals_the_one_with_it(monkeypatch, strip, method, seed):
+    monkeypatch.setattr(tiles, "STRIP", strip)
+    monkeypatch.setattr(tiles, "LARGE", 3)
+    hv, mz = vectors(90, seed, spread=25, kinds=3)
+    x = tiles.Vectors(hv.view(np.uint64), mz, np.arange(90))
+    for eps in (0.15, 0.35, 0.6):
+        want = kernels.linkage_cut(kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm"), eps, method)
+        got = tiles.linked_up(x, np.arange(90), method == "average", eps, 20.0, "ppm")
+        assert partition(got.tolist()) == partition(want) and all(got[c] == c for c in got)
+        most = tiles.most_bits(128, eps)
+        dist = kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm")
+        assert partition(tiles.connected(x, most, 20.0, "ppm").tolist()) == partition(kernels.components(dist, eps))
