@@ -68,7 +68,16 @@ def large_clusters(rows: DataFrame, s: Settings, finish: int | None = None) -> D
     # a name for each row that is in order within its block
     uid = F.concat_ws(":", *BLOCK, F.lpad(F.col("place").cast("string"), 19, "0"))
     named = rows.select(*BLOCK, "place", "precursor_mz", "hv", uid.alias("_uid"))
-    links = tiles.forest(named, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), tile=s.tile)
+    if s.precursor_tol[0] <= 0:
+        links = tiles.forest(named, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), tile=s.tile)
+    else:
+        # rows alike in vector and precursor are linked: one of them meets the others, which are linked to it
+        alike = cut(named.groupBy(*BLOCK, "precursor_mz", "hv").agg(F.min("_uid").alias("_uid")), "alike")
+        apart = tiles.forest(alike, "_uid", s.eps, *s.precursor_tol, keys=tuple(BLOCK), tile=s.tile)
+        to = alike.withColumnRenamed("_uid", "b")
+        copies = named.join(to, [*BLOCK, "precursor_mz", "hv"]).filter("_uid <> b").select(F.col("_uid").alias("a"), "b")
+        links = cut(apart.unionByName(copies), "links")
+        discard(alike, apart)
     found = cut(linked := components(links), "found")
     discard(links, linked)
     first = F.coalesce(F.substring_index("component", ":", -1).cast("long"), F.col("place"))
@@ -193,4 +202,3 @@ def medoid_by_pairs(members: DataFrame, distances: DataFrame, id_col: str = "id"
     within = both.join(members.select(id_col, cluster_col), id_col).join(other, "_other").filter(F.col(cluster_col) == F.col("_c"))
     means = within.groupBy(cluster_col, id_col).agg(F.sum("dist").alias("total"))
     return means.groupBy(cluster_col).agg(F.min(F.struct("total", id_col)).alias("x")).select(cluster_col, F.col(f"x.{id_col}").alias(id_col))
-

@@ -116,14 +116,15 @@ def merged(values: np.ndarray, size: np.ndarray, eps: float, method: str) -> np.
 def span_groups(values: np.ndarray, tolerance: float, unit: str | None = None) -> np.ndarray:
     """Complete linkage of numbers, cut at the tolerance: of neighbouring groups the closest merge first, and no group's
     span exceeds the tolerance (in ppm of its least)."""
-    order = np.argsort(values, kind="stable")
-    v = values[order].astype(np.float64)
+    # equal values have no gap between them, so they merge before any others do
+    distinct, place = np.unique(values, return_inverse=True)
+    v = distinct.astype(np.float64)
 
     def span(lo: float, hi: float) -> float:
         return (hi - lo) / lo * 1e6 if unit == "ppm" and lo else hi - lo
 
     if not len(v) or span(v[0], v[-1]) <= tolerance:
-        return np.zeros(len(v), dtype=np.int64)
+        return np.zeros(len(values), dtype=np.int64)
     # groups are named by their first place; ``end`` has the place after their last, ``before`` the group to the left
     n = len(v)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -144,9 +145,7 @@ def span_groups(values: np.ndarray, tolerance: float, unit: str | None = None) -
             heapq.heappush(heap, (span(v[left], v[end[upto] - 1]), left, end[upto]))
         if before[left] >= 0:
             heapq.heappush(heap, (span(v[before[left]], v[upto - 1]), before[left], upto))
-    out = np.empty(n, dtype=np.int64)
-    out[order] = np.cumsum(alive) - 1
-    return out
+    return (np.cumsum(alive) - 1)[place]
 
 
 def refine(labels: np.ndarray, mz: np.ndarray, rt: np.ndarray, tolerance: float, unit: str, rt_tolerance: float | None, compat: bool = False, min_samples: int = 2) -> np.ndarray:
