@@ -202,3 +202,17 @@ def medoid_by_pairs(members: DataFrame, distances: DataFrame, id_col: str = "id"
     within = both.join(members.select(id_col, cluster_col), id_col).join(other, "_other").filter(F.col(cluster_col) == F.col("_c"))
     means = within.groupBy(cluster_col, id_col).agg(F.sum("dist").alias("total"))
     return means.groupBy(cluster_col).agg(F.min(F.struct("total", id_col)).alias("x")).select(cluster_col, F.col(f"x.{id_col}").alias(id_col))
+
+
+
+def medoids_by_ones(members: DataFrame, id_col: str = "id", cluster_col: str = "cluster", hv: str = "hv") -> DataFrame:
+    """``medoid_by_pairs`` of clusters whose precursors all agree, from their vectors and without pairs: a row's total distance follows from the
+    cluster's ones in each dimension. Counts combine before they shuffle, so the work grows with the rows."""
+    words = members.select(cluster_col, id_col, F.posexplode(hv).alias("_w", "_word"))
+    bit = [F.shiftrightunsigned("_word", k).bitwiseAND(F.lit(1).cast("long")) for k in range(64)]
+    ones = words.groupBy(cluster_col, "_w").agg(F.count("*").alias("_n"), F.array(*(F.sum(b) for b in bit)).alias("_ones"))
+    met = words.join(ones.withColumnRenamed(cluster_col, "_c").withColumnRenamed("_w", "_v"), (F.col(cluster_col) == F.col("_c")) & (F.col("_w") == F.col("_v")))
+    # a one differs from the zeros of its dimension, a zero from the ones
+    apart = sum((F.when(b == 1, F.col("_n") - F.get("_ones", F.lit(k))).otherwise(F.get("_ones", F.lit(k))) for k, b in enumerate(bit)), F.lit(0).cast("long"))
+    totals = met.groupBy(cluster_col, id_col).agg(F.sum(apart).alias("total"))
+    return totals.groupBy(cluster_col).agg(F.min(F.struct("total", id_col)).alias("x")).select(cluster_col, F.col(f"x.{id_col}").alias(id_col))

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from ionweave.config import Settings
 from ionweave.functions import peaks as P
 from ionweave.operators import clean as C
-from ionweave.operators.cluster import cluster, component_labels, medoid_by_pairs
+from ionweave.operators.cluster import cluster, component_labels, medoids_by_ones
 from ionweave.operators.codebook import Codebook, pack
 from ionweave.operators.encode import encode, encode_relational
 from ionweave.operators.pairs import pairs, precursor_blocks
 from ionweave.operators.prefix import totals_before
-from ionweave.operators.tiles import near_pairs
+from ionweave.operators.tiles import distance_counts, near_pairs
 from ionweave.plans import adapters as A
 from ionweave.plans.pipeline import representative_spectra
 from ionweave.session import cut
@@ -137,16 +137,17 @@ def encode_small(spark, d):
     return bits.groupBy("id").agg(F.sum("bit").alias("ones"), F.sum(F.col("bit") * F.col("dim")).alias("places")).select(long("id"), long("ones"), long("places"))
 
 
-def _near(spark, d):
-    return pairs(A.signatures(spark, d), "id", None, keys=("bucket",)).withColumn("bits", F.rint(F.col("dist") * 64).cast("long"))
+def _near_pairs(spark, d, **how):
+    found = near_pairs(A.signatures(spark, d), "id", NEAR / 64, None, keys=("bucket",), **how)
+    return found.select(long("bucket"), long("i"), long("j"), F.rint(F.col("dist") * 64).cast("long").alias("bits"))
 
 
 def sig_pairs(spark, d):
-    return _near(spark, d).filter(f"bits <= {NEAR}").select(long("bucket"), long("i"), long("j"), "bits")
+    return _near_pairs(spark, d)
 
 
 def hamming_hist(spark, d):
-    return _near(spark, d).groupBy("bits").agg(F.count("*").alias("n")).select("bits", long("n"))
+    return distance_counts(A.signatures(spark, d), "id", keys=("bucket",)).select("bits", long("n"))
 
 
 def _precursors(spark, d):
@@ -234,8 +235,7 @@ def _signature_clusters(algorithm: str, **how) -> Query:
 
 def tiled_pairs(spark, d):
     """``sig_pairs`` by tiles of 32 vectors."""
-    found = near_pairs(A.signatures(spark, d), "id", NEAR / 64, None, keys=("bucket",), tile=32)
-    return found.select(long("bucket"), long("i"), long("j"), F.rint(F.col("dist") * 64).cast("long").alias("bits"))
+    return _near_pairs(spark, d, tile=32)
 
 
 def refined(spark, d):
@@ -268,8 +268,8 @@ def representatives_compat(spark, d):
 
 
 def medoid(spark, d):
-    members = dbscan_components(spark, d).withColumnRenamed("component", "cluster")
-    return medoid_by_pairs(members, _near(spark, d).select("i", "j", F.col("bits").alias("dist"))).select(long("cluster"), long("id"))
+    members = dbscan_components(spark, d).withColumnRenamed("component", "cluster").join(A.signatures(spark, d).select("id", "hv"), "id")
+    return medoids_by_ones(members).select(long("cluster"), long("id"))
 
 
 def rep_join(spark, d):

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from test_cluster import S, encoded
 
 from ionweave.operators import kernels, tiles
-from ionweave.operators.cluster import BLOCK, ORDER, cluster, component_labels, grouped, large_clusters
+from ionweave.operators.cluster import BLOCK, ORDER, cluster, component_labels, grouped, large_clusters, medoid_by_pairs, medoids_by_ones
 from ionweave.operators.components import components
+from ionweave.operators.pairs import pairs
 
 
 def vectors(n, seed, words=2, spread=30, kinds=4):
@@ -276,3 +277,33 @@ def test_linkage_without_a_table_equals_the_one_with_it(monkeypatch, strip, meth
         most = tiles.most_bits(128, eps)
         dist = kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm")
         assert partition(tiles.connected(x, most, 20.0, "ppm").tolist()) == partition(kernels.components(dist, eps))
+
+
+def test_counts_of_distances_and_medoids_without_pairs(spark, small_tiles):
+    hv, mz = vectors(80, 3)
+    group = np.arange(80) % 3
+    df = frame(spark, hv, mz, group)
+    every = [(a, b, round(hamming(hv[a], hv[b]) * 128)) for a in range(80) for b in range(a + 1, 80) if group[a] == group[b]]
+    want = dict(zip(*np.unique([x for *_, x in every], return_counts=True), strict=True))
+    assert {r["bits"]: r["n"] for r in tiles.distance_counts(df, "place", tuple(BLOCK), tile=11).collect()} == want
+    distances = spark.createDataFrame([(a, b, float(x)) for a, b, x in every], "i long, j long, dist double")
+    members = df.select(F.col("place").alias("id"), F.col("block").alias("cluster"), "hv")
+    by_pairs = {r["cluster"]: r["id"] for r in medoid_by_pairs(members, distances).collect()}
+    assert {r["cluster"]: r["id"] for r in medoids_by_ones(members).collect()} == by_pairs
+
+
+def test_a_distance_of_known_length_is_compiled(spark):
+    df = frame(spark, *vectors(30, 4))
+    slow, fast = (pairs(df, "place", 20.0, words=w) for w in (None, 2))
+    assert sorted(slow.collect()) == sorted(fast.collect())
+    assert "lambda" not in fast._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_are_alike_meet_others_once(spark, monkeypatch):
+    hv, mz = vectors(40, 6, words=1)
+    hv, mz = np.tile(hv, (5, 1)), np.tile(mz, 5)
+    met, forest = [], tiles.forest
+    monkeypatch.setattr(tiles, "forest", lambda rows, *more, **how: (met.append(rows.count()), forest(rows, *more, **how))[1])
+    got = labels_of(large_clusters(frame(spark, hv, mz), replace(S, cluster_alg="dbscan")), 200)
+    assert met[0] <= 40
+    assert partition(got) == partition(kernels.components(kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm"), S.eps))
