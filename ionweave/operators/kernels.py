@@ -6,16 +6,19 @@ import heapq
 
 import numpy as np
 
+from ionweave.operators import tiles
+
 FAR = 1.0
 
 
-def distances(hv: np.ndarray, mz: np.ndarray, tolerance: float | None, unit: str) -> np.ndarray:
-    """Normalised Hamming distances as float32; 1.0 where precursors disagree, or the first does in ppm of the second."""
+def distances(hv: np.ndarray, mz: np.ndarray, tolerance: float | None, unit: str, kind: type = np.float32) -> np.ndarray:
+    """Normalised Hamming distances as float32 values; 1.0 where precursors disagree, or the first does in ppm of the second."""
     n, words = hv.shape
-    out = np.zeros((n, n), dtype=np.float32)
-    step = max(1, (1 << 22) // max(1, n * words))
+    out = np.zeros((n, n), dtype=kind)
+    columns = np.ascontiguousarray(hv.T)
+    step = max(1, (1 << 17) // max(1, n))
     for a in range(0, n, step):
-        apart = np.bitwise_count(hv[a : a + step, None, :] ^ hv[None, :, :]).sum(axis=2, dtype=np.int32)
+        apart = tiles.apart(columns[:, a : a + step], columns)
         d = (apart / (64.0 * words)).astype(np.float32)
         if tolerance is not None:
             gap = np.abs(mz[a : a + step, None] - mz[None, :])
@@ -84,7 +87,7 @@ def merged(values: np.ndarray, size: np.ndarray, eps: float, method: str) -> np.
     n, size = len(values), np.array(size, dtype=np.float64)
     average = method == "average"
     # the largest of some distances is one of them, so complete linkage needs no more digits; sums do
-    total = values.astype(np.float64) if average else values
+    total = values.astype(np.float64, copy=False) if average else values
     parent, alive = np.arange(n), np.ones(n, dtype=bool)
     nearest, height = np.zeros(n, dtype=np.int64), np.full(n, np.inf)
     stale = np.arange(n)
@@ -238,18 +241,51 @@ def settled_group(hv, mz, rt, tolerance: float, unit: str, rt_tolerance: float |
     labels = np.zeros(len(hv), dtype=np.int64)
     if do_refine:
         labels = refine(labels, mz, rt, tolerance, unit, rt_tolerance)
+    return labels, medoids_without_table(labels, hv, mz, tolerance, unit)
+
+
+#: Rows up to which all of a group's distances are held as a table.
+TABLE = 1024
+
+
+def without_table(hv, mz, algorithm: str, eps: float, tolerance: float, unit: str) -> np.ndarray:
+    """Labels of a group by its vectors, of which a strip is compared at a time. Only complete and average linkage have a table, one for
+    a component at a time, which is not copied."""
+    x = tiles.Vectors(hv, mz, np.arange(len(hv)))
+    label = tiles.connected(x, tiles.most_bits(x.dim, eps), tolerance, unit)
+    if algorithm == "hc_single":
+        return dense(label)
+    counts = np.bincount(label)
+    if algorithm == "dbscan":
+        return dense(np.where(counts[label] >= 2, label, -1))
+    out, method = np.arange(len(hv)), algorithm.removeprefix("hc_")
+    order = np.argsort(label, kind="stable")
+    for own in np.split(order, np.cumsum(counts)[:-1]):
+        if len(own) > 1:
+            found = merged(distances(hv[own], mz[own], tolerance, unit, np.float64 if method == "average" else np.float32), np.ones(len(own)), eps, method)
+            out[own] = own[np.unique(found, return_index=True)[1]][found]
+    return dense(out)
+
+
+def medoids_without_table(labels: np.ndarray, hv, mz, tolerance: float, unit: str) -> np.ndarray:
+    """``medoids`` by totals of distances that make no pairs."""
     flags = labels < 0
     order = np.argsort(labels, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
         if labels[own[0]] >= 0:
             flags[own[0] if len(own) <= 2 else own[int(np.argmin(distance_totals(hv[own], mz[own], tolerance, unit)))]] = True
-    return labels, flags
+    return flags
 
 
 def cluster_group(hv, mz, rt, algorithm: str, eps: float, tolerance: float, unit: str, rt_tolerance: float | None, do_refine: bool, compat: bool) -> tuple[np.ndarray, np.ndarray]:
     """Labels (-1: noise) and representatives of one group, whose rows are in order."""
     if len(hv) == 1:
         return np.array([-1]), np.array([True])
+    if len(hv) > TABLE and not compat:
+        labels = without_table(hv, mz, algorithm, eps, tolerance, unit)
+        if do_refine:
+            labels = refine(labels, mz, rt, tolerance, unit, rt_tolerance)
+        return labels, medoids_without_table(labels, hv, mz, tolerance, unit)
     dist = distances(hv, mz, tolerance, "ppm" if compat else unit)
     if algorithm == "dbscan":
         labels = dbscan(dist, eps)

@@ -307,3 +307,27 @@ def test_rows_that_are_alike_meet_others_once(spark, monkeypatch):
     got = labels_of(large_clusters(frame(spark, hv, mz), replace(S, cluster_alg="dbscan")), 200)
     assert met[0] <= 40
     assert partition(got) == partition(kernels.components(kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm"), S.eps))
+
+
+@pytest.mark.parametrize("algorithm", ["dbscan", "hc_single", "hc_complete", "hc_average"])
+@pytest.mark.parametrize("table", [3, 30])
+def test_a_group_without_a_table_equals_one_with_it(monkeypatch, algorithm, table):
+    for seed, do_refine in ((1, True), (2, False)):
+        hv, mz = vectors(120, seed, spread=40)
+        rt = np.random.RandomState(seed).rand(120) * 100
+        how = (hv.view(np.uint64), mz, rt, algorithm, 0.35, 20.0, "ppm", 40.0, do_refine, False)
+        monkeypatch.setattr(kernels, "TABLE", 1000)
+        want = kernels.cluster_group(*how)
+        monkeypatch.setattr(kernels, "TABLE", table)
+        got = kernels.cluster_group(*how)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_a_large_group_has_one_table_at_most():
+    import tracemalloc
+
+    hv, mz = vectors(2000, 1, words=4, kinds=1, spread=120)
+    tracemalloc.start()
+    kernels.cluster_group(hv.view(np.uint64), np.full(2000, 500.0), mz, "hc_average", 0.25, 20.0, "ppm", None, True, False)
+    assert tracemalloc.get_traced_memory()[1] < 2000 * 2000 * 8 + (24 << 20)
+    tracemalloc.stop()
