@@ -249,22 +249,30 @@ TABLE = 1024
 
 
 def without_table(hv, mz, algorithm: str, eps: float, tolerance: float, unit: str) -> np.ndarray:
-    """Labels of a group by its vectors, of which a strip is compared at a time. Only complete and average linkage have a table, one for
-    a component at a time, which is not copied."""
+    """Labels of a group by its vectors, of which a strip is compared at a time. Complete and average linkage hold the near pairs of rows that
+    are not alike; where these are so many that a table takes less, they have one for a component at a time, which is not copied."""
     x = tiles.Vectors(hv, mz, np.arange(len(hv)))
-    label = tiles.connected(x, tiles.most_bits(x.dim, eps), tolerance, unit)
-    if algorithm == "hc_single":
-        return dense(label)
-    counts = np.bincount(label)
-    if algorithm == "dbscan":
-        return dense(np.where(counts[label] >= 2, label, -1))
-    out, method = np.arange(len(hv)), algorithm.removeprefix("hc_")
+    most = tiles.most_bits(x.dim, eps)
+    if algorithm in ("hc_single", "dbscan"):
+        label = tiles.connected(x, most, tolerance, unit)
+        counts = np.bincount(label)
+        return dense(label if algorithm == "hc_single" else np.where(counts[label] >= 2, label, -1))
+    average = algorithm == "hc_average"
+    near = tiles.Near(x, average, eps, tolerance, unit)
+    if near.find(min(tiles.NEAR, len(near.x) ** 2 // 16)):
+        return dense(near.labels())
+    out, label = np.arange(len(near.x)), tiles.connected(near.x, most, tolerance, unit)
     order = np.argsort(label, kind="stable")
-    for own in np.split(order, np.cumsum(counts)[:-1]):
+    for own in np.split(order, np.cumsum(np.bincount(label))[:-1]):
         if len(own) > 1:
-            found = merged(distances(hv[own], mz[own], tolerance, unit, np.float64 if method == "average" else np.float32), np.ones(len(own)), eps, method)
+            at, size = near.first[own], near.weight[own].astype(np.float64)
+            dist = distances(hv[at], mz[at], tolerance, unit, np.float64 if average else np.float32)
+            if average:
+                dist *= size[:, None]
+                dist *= size[None, :]
+            found = merged(dist, size, eps, algorithm.removeprefix("hc_"))
             out[own] = own[np.unique(found, return_index=True)[1]][found]
-    return dense(out)
+    return dense(out[near.kind])
 
 
 def medoids_without_table(labels: np.ndarray, hv, mz, tolerance: float, unit: str) -> np.ndarray:

@@ -331,3 +331,46 @@ def test_a_large_group_has_one_table_at_most():
     kernels.cluster_group(hv.view(np.uint64), np.full(2000, 500.0), mz, "hc_average", 0.25, 20.0, "ppm", None, True, False)
     assert tracemalloc.get_traced_memory()[1] < 2000 * 2000 * 8 + (24 << 20)
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("algorithm", ["hc_complete", "hc_average"])
+def test_rows_that_are_alike_are_compared_once(monkeypatch, algorithm):
+    hv, mz = vectors(40, 6)
+    hv, mz = np.tile(hv, (30, 1)), np.tile(mz, 30)
+    how = (hv.view(np.uint64), mz, np.zeros(1200), algorithm, 0.35, 20.0, "ppm", None, False, False)
+    monkeypatch.setattr(kernels, "TABLE", 5000)
+    want = kernels.cluster_group(*how)
+    monkeypatch.setattr(kernels, "TABLE", 1000)
+    met, apart = [], tiles.apart
+    monkeypatch.setattr(tiles, "apart", lambda a, b: (met.append(a.shape[1] * b.shape[1]), apart(a, b))[1])
+    got = kernels.cluster_group(*how)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert sum(met) <= 40 * 40
+
+
+def test_a_group_that_one_task_ends_has_no_round(spark, monkeypatch):
+    hv, mz = vectors(60, 5)
+    monkeypatch.setattr(tiles, "over_pairs", None)
+    got = labels_of(tiles.linkage(frame(spark, hv, mz), BLOCK, "average", 0.3, 20.0, tile=9, finish=60), 60)
+    assert partition(got) == partition(kernels.linkage_cut(kernels.distances(hv.view(np.uint64), mz, 20.0, "ppm"), 0.3, "average"))
+
+
+@pytest.mark.parametrize("near", [1 << 20, -1])
+@pytest.mark.parametrize("seed", range(6))
+def test_near_pairs_link_up_as_a_table_does(monkeypatch, near, seed):
+    monkeypatch.setattr(tiles, "NEAR", near)
+    hv, _ = vectors(30, seed, spread=25)
+    hv, n = np.tile(hv, (3, 1)), 90
+    rng = np.random.RandomState(seed)
+    # masses on the edge, so that the order of two rows decides on whether they agree
+    mz = 900 + rng.randint(0, 4, n) * 0.18 + rng.randint(0, 3, n) * 1e-5
+    x = tiles.Vectors(hv.view(np.uint64), mz, np.arange(n))
+    for method, eps in (("average", 0.2), ("average", 0.5), ("complete", 0.2), ("complete", 0.5)):
+        dist = kernels.distances(hv.view(np.uint64), mz, 200.0, "ppm")
+        want = kernels.linkage_cut(dist, eps, method)
+        least = np.where(np.eye(n, dtype=bool), np.inf, dist)
+        i, j = np.divmod(least.argmin(), n)
+        begun = np.arange(n)
+        begun[max(i, j)] = min(i, j)
+        for own in (np.arange(n), begun):
+            assert partition(tiles.ended(x, own, method == "average", eps, 200.0, "ppm").tolist()) == partition(want)
