@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_cluster import S, encoded
 
 from ionweave.operators import kernels, tiles
+from ionweave.operators import pairs as pairs_module
 from ionweave.operators.cluster import BLOCK, ORDER, cluster, component_labels, grouped, large_clusters, medoid_by_pairs, medoids_by_ones
 from ionweave.operators.components import components
 from ionweave.operators.pairs import pairs
@@ -374,3 +375,25 @@ def test_near_pairs_link_up_as_a_table_does(monkeypatch, near, seed):
         begun[max(i, j)] = min(i, j)
         for own in (np.arange(n), begun):
             assert partition(tiles.ended(x, own, method == "average", eps, 200.0, "ppm").tolist()) == partition(want)
+
+
+@pytest.mark.parametrize("tol,unit", [(20.0, "ppm"), (0.02, "Da"), (None, "Da")])
+def test_pairs_of_many_runs(spark, monkeypatch, tol, unit):
+    monkeypatch.setattr(pairs_module, "RUN", 4)
+    monkeypatch.setattr(pairs_module, "SHARE", 2)
+    hv, mz = vectors(70, 4)
+    mz[[3, 4]] = np.nan, np.inf
+    group = np.arange(70) % 3
+    agreed = lambda a, b: tol is None or (abs(mz[a] - mz[b]) < tol if unit == "Da" else abs(mz[a] - mz[b]) * 1e6 < mz[b] * tol)
+    want = {(group[a], a, b): hamming(hv[a], hv[b]) for a in range(70) for b in range(a + 1, 70) if group[a] == group[b] and agreed(a, b)}
+    got = pairs(frame(spark, hv, mz, group), "place", tol, unit, ("precursor_charge", "bucket", "block")).collect()
+    assert {(r["block"], r["i"], r["j"]): r["dist"] for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_pairs_of_two_runs_follow_each_other(spark):
+    # so that in a file the same few j come again for each i
+    rows = spark.range(0, 600_000, 1000).select(F.lit(1).alias("bucket"), "id", F.array(F.col("id")).alias("hv"))
+    found = pairs(rows, "id", None, keys=("bucket",), words=1).collect()
+    i = np.array([r["i"] for r in found])
+    assert len(found) == 600 * 599 // 2
+    assert np.diff(np.flatnonzero(np.diff(i, prepend=-1))).max() <= 256
